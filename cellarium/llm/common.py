@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -39,26 +39,42 @@ def is_held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % 3 == 1, F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also inside lambdas of the body."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def running(values: Column, combine, zero: Column, block: int = 256) -> Column:
     """Array of inclusive running totals of ``values`` under ``combine``.
 
     Works in blocks of ``block``, so that n values take about n * block / 2 small
     steps and never an array copy for each value.
     """
-    size = F.size(values)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.greatest(size, F.lit(1)) - 1) / block).cast("int")),
-        lambda b: F.slice(values, b * block + 1, F.lit(block)),
-    )
     fold = lambda xs: F.aggregate(xs, zero, combine)
-    totals = F.transform(blocks, fold)
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda xs, b: F.transform(
-                xs, lambda _, i: combine(fold(F.slice(totals, F.lit(1), b)), fold(F.slice(xs, F.lit(1), i + 1)))
-            ),
+
+    def totalled(bound: Column) -> Column:
+        blocks, totals = bound["blocks"], bound["totals"]
+        return F.flatten(
+            F.transform(
+                blocks,
+                lambda xs, b: let(
+                    fold(F.slice(totals, F.lit(1), b)),
+                    lambda before: F.transform(
+                        xs, lambda _, i: combine(before, fold(F.slice(xs, F.lit(1), i + 1)))
+                    ),
+                ),
+            )
         )
+
+    def blocked(whole: Column) -> Column:
+        last = F.floor((F.greatest(F.size(whole), F.lit(1)) - 1) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(whole, b * block + 1, F.lit(block)))
+
+    return let(
+        let(values, blocked),
+        lambda blocks: let(
+            F.struct(blocks.alias("blocks"), F.transform(blocks, fold).alias("totals")), totalled
+        ),
     )
 
 

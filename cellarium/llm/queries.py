@@ -3,17 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, is_held_out
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
+from .pii import BASE_KINDS, base_digest, find_pii, train_pii
+from .quality import score_quality, train_quality
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    forest = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_quality(docs.select("doc_id", "text"), forest)
+    return scored.select(
+        "doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(documents(spark, sf_dir).select("doc_id", "text"), train_pii(spark))
+    return found.select("doc_id", *[f"n_{k}" for k in BASE_KINDS], base_digest().alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
+    "op4_pii": op4_pii,
 }
 
 ORACLE_SQL = {
