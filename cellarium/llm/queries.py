@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_digests
 from .common import documents, is_held_out
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
+from .packing import pack_documents
 from .pii import BASE_KINDS, base_digest, find_pii, train_pii
 from .quality import score_quality, train_quality
 
@@ -29,10 +31,20 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in BASE_KINDS], base_digest().alias("base_sha256"), "spans")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(documents(spark, sf_dir))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
     "op4_pii": op4_pii,
+    "op8_bpe": op8_bpe,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
