@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_digests
 from .common import documents, is_held_out
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
+from .ngram_join import NGRAM_JOIN_SQL, ngram_jaccard_join
 from .packing import pack_documents
 from .pii import BASE_KINDS, base_digest, find_pii, train_pii
 from .quality import score_quality, train_quality
@@ -35,6 +36,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
@@ -44,9 +49,11 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_pii": op4_pii,
     "op8_bpe": op8_bpe,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": LINE_DEDUP_SQL,
+    "op9_ngram_jaccard_join": NGRAM_JOIN_SQL,
 }
