@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_digests
+from .chat import PREFERENCES_SQL, format_preferences, neighbour_pairs
 from .common import documents, is_held_out
+from .imatch import build_lexicon, compare_with_edits
+from .language import identify_language, train_language
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .ngram_join import NGRAM_JOIN_SQL, ngram_jaccard_join
+from .ogg import media_digests
 from .packing import pack_documents
 from .pii import BASE_KINDS, base_digest, find_pii, train_pii
 from .quality import score_quality, train_quality
@@ -27,11 +31,33 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(neighbour_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(documents(spark, sf_dir).select("doc_id", "text"), train_pii(spark))
     return found.select("doc_id", *[f"n_{k}" for k in BASE_KINDS], base_digest().alias("base_sha256"), "spans")
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return compare_with_edits(docs, build_lexicon(docs))
+
+
+def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(documents(spark, sf_dir))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = identify_language(docs.select("doc_id", "text"), train_language(docs))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["begin"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        "doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score", F.array_join(spans, ",").alias("spans")
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir))
 
@@ -47,7 +73,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
+    "op3_chat_preferences": op3_chat_preferences,
     "op4_pii": op4_pii,
+    "op5_imatch": op5_imatch,
+    "op6_ogg": op6_ogg,
+    "op7_language": op7_language,
     "op8_bpe": op8_bpe,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_packing": op10_packing,
@@ -55,5 +85,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": LINE_DEDUP_SQL,
+    "op3_chat_preferences": PREFERENCES_SQL,
     "op9_ngram_jaccard_join": NGRAM_JOIN_SQL,
 }
