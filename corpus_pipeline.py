@@ -32,12 +32,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class that links of word 5-gram likeness 0.8 make: the one with the
-    least id. Of rows with that id and text one stays. Documents without words make one class."""
-    classes = ngram_jaccard_join(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.struct("doc_id").alias("_id")).distinct()
-    keyed = docs.withColumn("_id", F.struct("doc_id"))
-    return keyed.join(kept, "_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One document of each class that links of word 5-gram likeness 0.8 make: the first by
+    (id, hash of the text), null ids last. Rows that repeat both are one document. Documents
+    without words make one class."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("hash"))
+    keyed = docs.withColumn("_row", row)
+    classes = ngram_jaccard_join(keyed, id_col="_row")
+    kept = classes.where(F.col("_row") == F.col("class_id")).select("_row")
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
