@@ -10,6 +10,7 @@ that a group of thousands of near copies never becomes millions of rows.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -327,8 +328,9 @@ def ngram_jaccard_join(
     chosen = cut_lineage(chosen)
 
     # The sets of the classes with candidates, made again from one of their texts.
-    wanted = chosen.select("key").distinct().join(classes.select("key", "set_id"), "key")
-    texts = plain.join(wanted, plain["id"].eqNullSafe(wanted["set_id"])).select("key", "text")
+    wanted = cut_lineage(chosen.select("key").distinct().join(classes.select("key", "set_id"), "key"))
+    sieved = plain.where(_may_be_among(plain["id"], wanted, "set_id"))
+    texts = sieved.join(wanted, sieved["id"].eqNullSafe(wanted["set_id"])).select("key", "text")
 
     def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cut(batches):
@@ -389,6 +391,24 @@ def ngram_jaccard_join(
     )
 
 
+def _may_be_among(column: Column, few: DataFrame, name: str, bits: int = 22) -> Column:
+    """False only for values that are not in ``few[name]``: a filter of 2^bits bits.
+
+    It spares the shuffle texts that the join after it would drop. Its size is fixed
+    (2^bits / 8 bytes, at most as many numbers reach the driver as it has words), however
+    many values there are; with many of them it lets more through, never less.
+    """
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    set_bits = few.select(place(F.col(name)).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("word"))
+    got = set_bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).collect()
+    words = [0] * (1 << (bits - 6))
+    for row in got:
+        words[row["word"]] = row["bits"]
+    sieve = F.from_json(F.lit(json.dumps(words, separators=(",", ":"))), "array<bigint>")
+    h = place(column)
+    return F.getbit(F.get(sieve, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def _by_group(df: DataFrame) -> DataFrame:
     """Rows of a block in one task, one after the other."""
     return df.repartition(*GROUP).sortWithinPartitions(*GROUP, "key")
