@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,11 +34,27 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[k for name, k in names.items() if name.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _encode_words(self, words: list[str], together: int = 512) -> list[bytes]:
+        """Ids of words of letters: many are one text, cut where a token ends a word. Where
+        the ends are not one a word (rare letters normalise to several words), one by one."""
+        parts = [words[a : a + together] for a in range(0, len(words), together)]
+        out: list[bytes] = []
+        for part, encoded in zip(parts, self._encode([" ".join(p) for p in parts]), strict=True):
+            ends = (np.flatnonzero(self.ends_word[np.frombuffer(encoded, "<u4")]) * 4 + 4).tolist()
+            if len(ends) == len(part):
+                out += [encoded[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self._encode(part)
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, each as little-endian 32-bit numbers."""
@@ -48,15 +65,28 @@ class WordTokenizer:
         if len(self.known) + len(wanted) > REMEMBERED:
             self.known = {}
         known = self.known
-        missing = [w for w in wanted if w not in known]
-        # A word of letters before one full stop or comma is that word and the mark; case doesn't count.
-        stems = {w: (w[:-1].lower(), w[-1]) for w in missing if w[-1] in ".," and w.isascii() and w[:-1].isalpha()}
-        stems |= {w: (w.lower(), "") for w in missing if w.isascii() and w.isalpha()}
-        todo = {s for pair in stems.values() for s in pair if s} | {w for w in missing if w not in stems}
-        todo = [w for w in todo if w not in known]
-        known.update(zip(todo, self._encode(todo), strict=True))
-        for w, (stem, mark) in stems.items():
-            known[w] = known[stem] + (known[mark] if mark else b"")
+        # A word of letters before one full stop or comma is that word and the mark.
+        whole: dict[str, str] = {}
+        marked: dict[str, tuple[str, str]] = {}
+        other: list[str] = []
+        for w in wanted:
+            if w in known:
+                continue
+            if w.isalpha():
+                whole[w] = w.lower() if w.isascii() else w
+            elif w[-1] in ".," and w[:-1].isalpha():
+                marked[w] = (w[:-1].lower() if w.isascii() else w[:-1], w[-1])
+            else:
+                other.append(w)
+        stems = {*whole.values(), *(s for s, _ in marked.values())}
+        stems = [s for s in stems if s not in known]
+        known.update(zip(stems, self._encode_words(stems), strict=True))
+        other += [c for c in ".," if c not in known]
+        known.update(zip(other, self._encode(other), strict=True))
+        for w, stem in whole.items():
+            known[w] = known[stem]
+        for w, (stem, mark) in marked.items():
+            known[w] = known[stem] + known[mark]
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
