@@ -43,11 +43,12 @@ def fit(
     depth: int = 4,
     rate: float = 0.15,
     bins: int = 64,
-    least_rows: int = 10,
+    least_rows: int | None = None,
     penalty: float = 1.0,
 ) -> Forest:
     """Boost ``trees`` level-wise trees on the logistic loss over binned features.
 
+    A leaf has at least ``least_rows`` rows, by default 2 to 10 with the number of rows.
     With no rows, or rows of one class, the forest has no trees and gives the
     smoothed share of class 1.
     """
@@ -58,6 +59,7 @@ def fit(
     if len(y) == 0 or y.min() == y.max():
         return Forest(none, np.zeros(0), none, none, np.zeros(0), none, depth, base)
     n, width = x.shape
+    least_rows = least_rows or int(np.clip(n // 50, 2, 10))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
     binned = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(width)], axis=1)
     offsets = np.arange(width) * bins
