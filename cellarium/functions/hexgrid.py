@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Latitude and longitude of one face's centre and the azimuth from it to
@@ -69,7 +69,8 @@ CENTRES, AXES, LEFTS = _faces()
 
 
 def _array(values: np.ndarray) -> Column:
-    return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
+    """A constant array, folded once; not an array built for each row."""
+    return F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in values) + "]"), "array<double>")
 
 
 def _dot(rows: np.ndarray, face: Column | None, p: tuple[Column, Column, Column]) -> Column:
@@ -84,9 +85,14 @@ def sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     return F.cos(phi) * F.cos(theta), F.cos(phi) * F.sin(theta), F.sin(phi)
 
 
-def nearest_face(p: tuple[Column, Column, Column]) -> Column:
-    dots = _dot(CENTRES, None, p)
-    return (F.array_position(dots, F.array_max(dots)) - 1).cast("int")
+def face_products(p: tuple[Column, Column, Column]) -> Column:
+    """How near a point is to the middle of each face."""
+    return _dot(CENTRES, None, p)
+
+
+def nearest_face(products: str) -> Column:
+    """The face from a column of ``face_products``, kept so that it is made once."""
+    return (F.array_position(products, F.array_max(products)) - 1).cast("int")
 
 
 def _scale(res: int) -> float:
@@ -127,14 +133,20 @@ def lat_lon(p: tuple[Column, Column, Column]) -> tuple[Column, Column]:
     return F.degrees(F.atan2(p[2], F.sqrt(p[0] * p[0] + p[1] * p[1]))), F.degrees(F.atan2(p[1], p[0]))
 
 
-def cell_name(face: Column, q: Column, s: Column, res: int) -> Column:
-    """The cell's name. Where its middle lies on another face, that face names it."""
-    p = centre(face, q, s, res)
-    home = nearest_face(p)
-    hq, hs = to_cell(*plane(p, home, res))
-    same = home == face
-    part = lambda a, b: F.when(same, a).otherwise(b).cast("string")
-    return F.concat_ws("/", F.lit(f"hex{res}"), F.when(same, face).otherwise(home).cast("string"), part(q, hq), part(s, hs))
+def named(df: DataFrame, res: int) -> DataFrame:
+    """``df`` with ``cell``, the name of the cell in its columns face, q and s.
+
+    Where a cell's middle lies on another face, that face names it; so every cell has one
+    name, from whichever face it was reached.
+    """
+    df = df.withColumns({f"_c{k}": c for k, c in enumerate(centre(F.col("face"), F.col("q"), F.col("s"), res))})
+    p = tuple(F.col(f"_c{k}") for k in range(3))
+    df = df.withColumn("_dots", face_products(p)).withColumn("_home", nearest_face("_dots"))
+    hq, hs = plane(p, F.col("_home"), res)
+    df = df.withColumns({"_hq": hq, "_hs": hs})
+    hq, hs = to_cell(F.col("_hq"), F.col("_hs"))
+    name = F.concat_ws("/", F.lit(f"hex{res}"), F.col("_home").cast("string"), hq.cast("string"), hs.cast("string"))
+    return df.withColumn("cell", name).drop("_c0", "_c1", "_c2", "_dots", "_home", "_hq", "_hs")
 
 
 def disk_steps(radius_m: float, res: int) -> int:

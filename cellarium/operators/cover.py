@@ -156,24 +156,64 @@ def skipped(sized: DataFrame, by: str) -> DataFrame:
 
 
 def point_cells(points: DataFrame, scheme: str, resolutions: list[int]) -> DataFrame:
-    """A row for each point and resolution: geohash, quadkey, morton2d or hex."""
-    names = ["local_x", "local_y", "cell"] if scheme == "morton2d" else ["cell"]
-    rows = F.array(*[F.struct(F.lit(r).alias("resolution"), *_point_key(scheme, r)) for r in resolutions])
-    return points.select("osm_id", F.explode(rows).alias("c")).select("osm_id", "c.resolution", *[f"c.{n}" for n in names])
+    """A row for each point and resolution: geohash, quadkey, morton2d or hex.
 
+    The places of all resolutions come from one scan; keys are made from them one level up,
+    so that no expression holds a place many times over.
+    """
+    if scheme == "hex":
+        return _hex_point_cells(points, resolutions)
+    rows = F.array(*[F.struct(F.lit(r).alias("resolution"), *_place(scheme, r)) for r in resolutions])
+    placed = points.select("osm_id", F.explode(rows).alias("c")).select("osm_id", "c.*")
+    return placed.select("osm_id", "resolution", *lattice_key(scheme))
 
-def _point_key(scheme: str, r: int) -> list[Column]:
-    lat, lon = F.col("lat"), F.col("lon")
+
+def _place(scheme: str, r: int) -> list[Column]:
     if scheme == "geohash":
-        return [keys.geohash(lat, lon, r).alias("cell")]
+        i, j = keys.geohash_ij("lat", "lon", r)
+    else:
+        i, j = keys.tile_x("lon", r), keys.tile_y("lat", r)
+        if scheme == "quadkey":
+            i, j = keys.clamp_tile(i, r), keys.clamp_tile(j, r)
+    return [i.alias("i"), j.alias("j")]
+
+
+def lattice_key(scheme: str) -> list[Column]:
+    """The cell's key from the columns i, j and resolution."""
+    i, j, r = F.col("i"), F.col("j"), F.col("resolution")
+    if scheme == "morton2d":
+        return [i.alias("local_x"), j.alias("local_y"), keys.morton2d(i, j).alias("cell")]
     if scheme == "quadkey":
-        return [keys.quadkey(lat, lon, r).alias("cell")]
-    if scheme == "hex":
-        p = hexgrid.sphere(lat, lon)
-        face = hexgrid.nearest_face(p)
-        return [hexgrid.cell_name(face, *hexgrid.to_cell(*hexgrid.plane(p, face, r)), r).alias("cell")]
-    x, y = keys.tile_x(lon, r), keys.tile_y(lat, r)
-    return [x.alias("local_x"), y.alias("local_y"), keys.morton2d(x, y).alias("cell")]
+        return [F.lpad(F.conv(keys.morton2d(i, j).cast("string"), 10, 4), r, F.lit("0")).alias("cell")]
+    key = F.when(r % 2 == 0, keys.morton2d(j, i)).otherwise(keys.morton2d(i, j))
+    code = F.lpad(F.conv(key.cast("string"), 10, 32), r, F.lit("0"))
+    return [F.translate(code, keys.BASE32_DIGITS, keys.GEOHASH_DIGITS).alias("cell")]
+
+
+def _on_face(df: DataFrame, lat: Column, lon: Column) -> DataFrame:
+    """p0, p1, p2 and face of a place, kept as columns for all that is built on them."""
+    p = hexgrid.sphere(lat, lon)
+    df = df.withColumns({f"p{k}": c for k, c in enumerate(p)})
+    df = df.withColumn("_dots", hexgrid.face_products(tuple(F.col(f"p{k}") for k in range(3))))
+    return df.withColumn("face", hexgrid.nearest_face("_dots")).drop("_dots")
+
+
+def _in_lattice(df: DataFrame, r: int) -> DataFrame:
+    """q and s of the cell of p0, p1, p2 on its face."""
+    q, s = hexgrid.plane(tuple(F.col(f"p{k}") for k in range(3)), F.col("face"), r)
+    df = df.withColumns({"_q": q, "_s": s})
+    q, s = hexgrid.to_cell(F.col("_q"), F.col("_s"))
+    return df.withColumns({"q": q, "s": s})
+
+
+def _hex_point_cells(points: DataFrame, resolutions: list[int]) -> DataFrame:
+    placed = _on_face(points, F.col("lat"), F.col("lon"))
+    out = None
+    for r in resolutions:
+        part = _in_lattice(placed, r)
+        part = hexgrid.named(part, r).select("osm_id", F.lit(r).alias("resolution"), "cell")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def box_ranges(scheme: str, r: int) -> tuple[Column, Column, Column, Column]:
@@ -211,14 +251,8 @@ def _lattice_box_cells(boxes: DataFrame, scheme: str, r: int, id_col: str) -> Da
     x0, x1, y0, y1 = box_ranges(scheme, r)
     df = boxes.select(id_col, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
     df = df.withColumn("i", F.explode(F.sequence("x0", "x1"))).withColumn("j", F.explode(F.sequence("y0", "y1")))
-    i, j = F.col("i"), F.col("j")
-    if scheme == "geohash":
-        key = [keys.geohash_of_ij(i, j, r).alias("cell")]
-    elif scheme == "quadkey":
-        key = [keys.quadkey_of_tile(i, j, r).alias("cell")]
-    else:
-        key = [i.alias("local_x"), j.alias("local_y"), keys.morton2d(i, j).alias("cell")]
-    return df.select(id_col, F.lit(r).alias("resolution"), *key)
+    df = df.withColumn("resolution", F.lit(r))
+    return df.select(id_col, "resolution", *lattice_key(scheme))
 
 
 def _hex_box_cells(boxes: DataFrame, r: int, id_col: str) -> DataFrame:
@@ -227,22 +261,21 @@ def _hex_box_cells(boxes: DataFrame, r: int, id_col: str) -> DataFrame:
     The box is taken to lie on the face of its middle, as boxes of up to some degrees away
     from a face's edge do.
     """
-    mid = hexgrid.sphere((F.col("ymin") + F.col("ymax")) / 2, (F.col("xmin") + F.col("xmax")) / 2)
-    df = boxes.select(id_col, "xmin", "ymin", "xmax", "ymax", *[c.alias(f"m{k}") for k, c in enumerate(mid)])
-    df = df.withColumn("face", hexgrid.nearest_face(tuple(F.col(f"m{k}") for k in range(3))))
+    df = boxes.select(id_col, "xmin", "ymin", "xmax", "ymax")
+    df = _in_lattice(_on_face(df, (F.col("ymin") + F.col("ymax")) / 2, (F.col("xmin") + F.col("xmax")) / 2), r)
     corners = [
         hexgrid.plane(hexgrid.sphere(F.col(b), F.col(a)), F.col("face"), r) for a in ("xmin", "xmax") for b in ("ymin", "ymax")
     ]
     bound = lambda f, k, d: (F.floor(f(*[c[k] for c in corners])) + d).cast("long")
-    middle = hexgrid.to_cell(*hexgrid.plane(tuple(F.col(f"m{k}") for k in range(3)), F.col("face"), r))
     df = df.select(
-        id_col, "xmin", "ymin", "xmax", "ymax", "face", middle[0].alias("mq"), middle[1].alias("ms"),
+        id_col, "xmin", "ymin", "xmax", "ymax", "face", F.col("q").alias("mq"), F.col("s").alias("ms"),
         bound(F.least, 0, -1).alias("q0"), bound(F.greatest, 0, 2).alias("q1"),
         bound(F.least, 1, -1).alias("s0"), bound(F.greatest, 1, 2).alias("s1"),
     )
     df = df.withColumn("q", F.explode(F.sequence("q0", "q1"))).withColumn("s", F.explode(F.sequence("s0", "s1")))
-    lat, lon = hexgrid.lat_lon(hexgrid.centre(F.col("face"), F.col("q"), F.col("s"), r))
-    df = df.select("*", lat.alias("lat"), lon.alias("lon"))
+    df = df.withColumns({f"p{k}": c for k, c in enumerate(hexgrid.centre(F.col("face"), F.col("q"), F.col("s"), r))})
+    lat, lon = hexgrid.lat_lon(tuple(F.col(f"p{k}") for k in range(3)))
+    df = df.withColumns({"lat": lat, "lon": lon})
     inside = F.col("lon").between(F.col("xmin"), F.col("xmax")) & F.col("lat").between(F.col("ymin"), F.col("ymax"))
     own = (F.col("q") == F.col("mq")) & (F.col("s") == F.col("ms"))
     # Only cells inside and the middle one can count, so what is grouped is the cover itself.
@@ -250,24 +283,17 @@ def _hex_box_cells(boxes: DataFrame, r: int, id_col: str) -> DataFrame:
     kept = near.groupBy(id_col, "face").agg(
         F.collect_list(F.when(F.col("inside"), F.struct("q", "s"))).alias("cells"), F.first(F.struct("mq", "ms")).alias("m")
     )
-    cells = F.when(F.size("cells") > 0, F.col("cells")).otherwise(F.array(F.struct(F.col("m.mq").alias("q"), F.col("m.ms").alias("s"))))
-    kept = kept.select(id_col, "face", F.explode(cells).alias("c"))
-    return kept.select(
-        id_col, F.lit(r).alias("resolution"), hexgrid.cell_name(F.col("face"), F.col("c.q"), F.col("c.s"), r).alias("cell")
-    )
+    middle = F.array(F.struct(F.col("m.mq").alias("q"), F.col("m.ms").alias("s")))
+    cells = F.when(F.size("cells") > 0, F.col("cells")).otherwise(middle)
+    kept = kept.select(id_col, "face", F.explode(cells).alias("c")).select(id_col, "face", "c.q", "c.s")
+    return hexgrid.named(kept, r).select(id_col, F.lit(r).alias("resolution"), "cell")
 
 
 def hex_disk(points: DataFrame, r: int, k: int, id_col: str = "osm_id") -> DataFrame:
     """The 3k(k + 1) + 1 cells up to k steps from each point's cell."""
-    p = hexgrid.sphere(F.col("lat"), F.col("lon"))
-    df = points.select(id_col, *[c.alias(f"p{i}") for i, c in enumerate(p)])
-    at = tuple(F.col(f"p{i}") for i in range(3))
-    df = df.withColumn("face", hexgrid.nearest_face(at))
-    q, s = hexgrid.to_cell(*hexgrid.plane(at, F.col("face"), r))
-    steps = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-k, k + 1) for b in range(-k, k + 1) if abs(a + b) <= k]
-    df = df.select(id_col, "face", q.alias("q"), s.alias("s"), F.explode(F.array(*steps)).alias("d"))
-    return df.select(
-        id_col,
-        F.lit(r).alias("resolution"),
-        hexgrid.cell_name(F.col("face"), F.col("q") + F.col("d.a"), F.col("s") + F.col("d.b"), r).alias("cell"),
-    )
+    df = _in_lattice(_on_face(points.select(id_col, "lat", "lon"), F.col("lat"), F.col("lon")), r)
+    side = F.sequence(F.lit(-k), F.lit(k))
+    df = df.select(id_col, "face", "q", "s", F.explode(side).alias("a")).withColumn("b", F.explode(side))
+    df = df.where(F.abs(F.col("a") + F.col("b")) <= k)
+    df = df.select(id_col, "face", (F.col("q") + F.col("a")).alias("q"), (F.col("s") + F.col("b")).alias("s"))
+    return hexgrid.named(df, r).select(id_col, F.lit(r).alias("resolution"), "cell")
