@@ -146,7 +146,9 @@ def named(df: DataFrame, res: int) -> DataFrame:
     df = df.withColumns({"_hq": hq, "_hs": hs})
     hq, hs = to_cell(F.col("_hq"), F.col("_hs"))
     name = F.concat_ws("/", F.lit(f"hex{res}"), F.col("_home").cast("string"), hq.cast("string"), hs.cast("string"))
-    return df.withColumn("cell", name).drop("_c0", "_c1", "_c2", "_dots", "_home", "_hq", "_hs")
+    # A generator: rules that trace a join key down to the scan stop here, where they would
+    # otherwise write the whole chain of formulas out in full.
+    return df.withColumn("cell", F.explode(F.array(name))).drop("_c0", "_c1", "_c2", "_dots", "_home", "_hq", "_hs")
 
 
 def disk_steps(radius_m: float, res: int) -> int:
