@@ -13,6 +13,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,8 @@ def _cut(batches: Iterator[pa.RecordBatch], words: int = 1_000_000) -> Iterator[
             continue
         ends = batch.columns[-1].offsets.to_numpy()
         part = (ends[1:] - ends[0]) // words
-        for a, b in zip(*(lambda e: (e[:-1], e[1:]))([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]), strict=True):
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in pairwise(edges):
             yield batch.slice(a, b - a)
 
 
