@@ -6,7 +6,6 @@ import heapq
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def a_star(
@@ -76,7 +75,3 @@ def route_case(name, start: tuple[int, int], goal: tuple[int, int], margin: int
         "case": name, "sx": sx, "sy": sy, "gx": gx, "gy": gy,
         "x0": min(sx, gx) - margin, "x1": max(sx, gx) + margin, "y0": min(sy, gy) - margin, "y1": max(sy, gy) + margin,
     }
-
-
-def with_case(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn("case", F.lit(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import heights, hexgrid, keys
@@ -453,10 +453,6 @@ def morton3d_ranges(spark, sf_dir):
 # Corridors
 
 
-def _tile(spark: SparkSession, expr: Column) -> int:
-    return spark.range(1).select(expr.alias("v")).first()["v"]
-
-
 def tiles_of(spark: SparkSession, lon: float, lat: float, z: int) -> tuple[int, int]:
     row = spark.range(1).select(keys.tile_x(F.lit(lon), z).alias("x"), keys.tile_y(F.lit(lat), z).alias("y")).first()
     return row["x"], row["y"]
@@ -511,7 +507,7 @@ def _hits_sql(scheme: str) -> str:
     near = sql.merged("keyed", '"case", v', 4)
     return f"""WITH {sql.OBSTACLES}, {sql.sized_bins(Z, fx.BINS_M)}, o AS ({ORIGIN_SQL}), {CASES_3D_SQL},
       placed AS (SELECT osm_id, v, {sql.morton3('(x - x_origin)', '(y - y_origin)', 'h')} AS key FROM cells, o),
-      near AS ({near.replace('PARTITION BY "case", v', 'PARTITION BY "case", v')}),
+      near AS ({near}),
       hits AS (SELECT n."case", p.osm_id FROM placed p JOIN near n ON p.v = n.v AND p.key BETWEEN n.lo AND n.hi)"""
 
 
