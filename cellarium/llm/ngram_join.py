@@ -46,7 +46,7 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], words: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], words: int = 400_000) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``words`` elements of their last column, a list."""
     for batch in batches:
         if not batch.num_rows:
