@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, let
+from .ngram_join import _may_be_among
 
 
 def terms(text: Column) -> Column:
@@ -25,15 +26,22 @@ def build_lexicon(
 ) -> Column:
     """The terms in a band of document frequency, as a lookup column.
 
-    Frequencies are counted over all documents. Terms in more than a share ``most`` or
-    less than a share ``least`` of them are out; of the rest the ``size`` most frequent
+    Frequencies are counted over the distinct texts of all documents (told apart by a
+    64-bit hash), so that copies don't push their own terms out. Terms in more than a
+    share ``most`` or less than a share ``least`` of them are out; of the rest the ``size`` most frequent
     (ties by hash) make the lexicon. At most the mean number of terms a document over
     ``least`` can be in the band, and ``size`` bounds what is sent to the tasks: 8 bytes
     a term. The column is a constant, an array of ``slots`` short arrays: a term's hash is
     looked up in the slot that it falls in.
     """
-    total = docs.count()
-    found = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("t"))
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    hashed = docs.select(text).withColumn("hash", F.xxhash64("text"))
+    copies = cut_lineage(hashed.groupBy("hash").count())
+    total = copies.count()
+    copied = _may_be_among(F.col("hash"), copies.where("count > 1"), "hash")  # the others need no shuffle of their text
+    once = hashed.where(copied).groupBy("hash").agg(F.first("text").alias("text"))
+    texts = hashed.where(~copied).select("text").union(once.select("text"))
+    found = texts.select(F.explode(terms(F.col("text"))).alias("t"))
     counted = found.groupBy("t").agg(F.count("*").alias("df"))
     band = counted.where(F.col("df").between(math.ceil(total * least), math.floor(total * most)))
     kept = band.orderBy(F.col("df").desc(), "t").limit(size).collect()
@@ -50,15 +58,22 @@ def in_lexicon(found: Column, lexicon: Column, slots: int = 65_536) -> Column:
     )
 
 
-def signatures(found: Column, lexicon: Column, text: Column, subsets: int = 24, share: int = 56) -> Column:
+def signatures(
+    found: Column, lexicon: Column, text: Column, subsets: int = 24, share: int = 56, covered: int = 16
+) -> Column:
     """Hashes of a document's lexicon terms, the first over all of them, the others over
     randomised subsets of the lexicon.
 
     Subset k holds the terms whose hash with k falls in one of ``share`` parts. A subset
-    with no term of the document gives null. A document with no term in the lexicon gets
-    one signature from all its terms, or from its characters if it has no term.
+    with no term of the document gives null. Where less than one in ``covered`` of a
+    document's terms is in the lexicon (near copies that make a large part of the rows, a
+    rare language), all its terms stand in for the lexicon terms, in the first signature
+    and in the subsets; it is like others of its kind then, but not like a text of which
+    only a part is of that kind. A document without terms gets one signature from its
+    characters.
     """
     kept = in_lexicon(found, lexicon)
+    few = lambda own: F.size(own) * covered < F.size(found)
 
     def of(own: Column) -> Column:
         parts = F.transform(
@@ -68,15 +83,10 @@ def signatures(found: Column, lexicon: Column, text: Column, subsets: int = 24,
                 lambda s: F.when(F.size(s) > 0, F.xxhash64(k, s)),
             ),
         )
-        none = F.transform(F.sequence(F.lit(1), F.lit(subsets - 1)), lambda _: F.expr("cast(null as bigint)"))
-        whole = F.when(F.size(own) > 0, F.xxhash64(F.lit(0), own)).when(
-            F.size(found) > 0, F.xxhash64(F.lit(-1), found)
-        )
-        return F.concat(
-            F.array(F.coalesce(whole, F.xxhash64(F.lit(-2), text))), F.when(F.size(own) > 0, parts).otherwise(none)
-        )
+        whole = F.when(F.size(own) > 0, F.xxhash64(F.lit(0), own)).otherwise(F.xxhash64(F.lit(-2), text))
+        return F.concat(F.array(whole), parts)
 
-    return let(kept, of)
+    return let(let(kept, lambda own: F.when(few(own), found).otherwise(own)), of)
 
 
 def fingerprint_text(sigs: Column) -> Column:

@@ -240,6 +240,32 @@ def test_imatch_edges(edge, empty):
     assert imatch.compare_with_edits(empty, imatch.build_lexicon(empty)).count() == 0
 
 
+@pytest.mark.parametrize("words", ["own", "common"])
+def test_imatch_of_a_third_of_copies(spark, words):
+    rng = random.Random(9)
+    common = [f"w{k}" for k in range(400)]
+    base = [f"c{k}" for k in range(200)] if words == "own" else common[:40]
+    rows = [(k, " ".join(rng.sample(common, 30))) for k in range(200)]
+    for k in range(200, 300):  # near copies, one word changed to one of the band; or exact copies
+        copy = list(base)
+        if words == "own":
+            copy[rng.randrange(200)] = rng.choice(common)
+        rows.append((k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = imatch.build_lexicon(df)
+    got = imatch.fingerprint(df, lexicon).withColumn("kept", F.size(imatch.in_lexicon(imatch.terms(F.col("text")), lexicon)))
+    by = {r["doc_id"]: r for r in got.collect()}
+
+    def like(a, b):
+        pairs = [(x, y) for x, y in zip(by[a]["signatures"], by[b]["signatures"], strict=True) if x is not None or y is not None]
+        return sum(x == y for x, y in pairs) / len(pairs)
+
+    assert np.mean([like(k, k + 1) for k in range(200, 299)]) > 0.7
+    assert np.mean([like(k, k + 1) for k in range(199)]) < 0.1
+    if words == "common":  # copies count once: their words stay in the band
+        assert by[200]["kept"] == 40
+
+
 # Ogg
 
 
