@@ -36,8 +36,8 @@ GENERATORS = {
     r"[a-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= )) ?[a-z0-9-]{1,63}+){1,6}+",
     "number": r"(?<![0-9A-Za-z.+])(?<!\+[0-9]{1,3}[ -]\(?)\(?[0-9](?:[ ().-]{0,2}+[0-9]){6,40}+(?![0-9A-Za-z])",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])",
-    "secret": r"(?i)(?<![0-9a-z])(?:(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?\"?[^\s\"]{4,256}+\"?"
-    r"|[a-z0-9_+/-]{16,256}+)",
+    "secret": r"(?i)(?<![0-9a-z])(?:(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?\"?[^\s\"]{4,}+\"?"
+    r"|[a-z0-9_+/-]{16,}+)",
 }
 GENERATOR_NAMES = list(GENERATORS)
 

@@ -205,6 +205,16 @@ def test_added_spans_and_redaction(spark, pii_model):
     assert got[2] == "nothing to see" and got[3] is None
 
 
+def test_long_secrets_are_covered_to_their_end(spark, pii_model):
+    rng = random.Random(11)
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(400))
+    rows = [(1, f"see token={key} end"), (2, f"key {key} end"), (3, f"see {key}{key}{key} end")]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), pii_model)
+    assert {r["doc_id"]: r["spans"] for r in found.collect()} == {1: "secret:4:410", 2: "secret:4:404", 3: "secret:4:1204"}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}
+    assert got == {1: "see [REDACTED] end", 2: "key [REDACTED] end", 3: "see [REDACTED] end"}
+
+
 def test_pii_edges(edge, empty, pii_model):
     got = pii.find_pii(edge, pii_model).collect()
     assert len(got) == len(EDGE)
