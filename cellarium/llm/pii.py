@@ -41,6 +41,9 @@ GENERATORS = {
 }
 GENERATOR_NAMES = list(GENERATORS)
 
+#: What every match of the mail generator holds, so that no candidate depends on the rest of the text.
+MAIL_GATE = r"(?i)@|\(at\)|\[at\]|[a-z0-9._%+-] at [a-z0-9-]{1,63}+ ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= ))"
+
 #: Words before a candidate that speak for a kind, or against all.
 HINTS = {
     "hint_mail": r"(?i)(mail|write to|contact|reach)",
@@ -151,7 +154,7 @@ def base_spans(text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Overlapping spans of all generators with their features."""
     gates = {
-        "mail": text.rlike(r"(?i)@|\(at\)|\[at\]|\bdot\b"),
+        "mail": text.rlike(MAIL_GATE),
         "number": text.rlike("[0-9]"),
         "account": text.rlike("[A-Z]{2}[0-9]{2}"),
         "secret": text.rlike("[0-9=:]"),

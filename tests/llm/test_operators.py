@@ -215,6 +215,18 @@ def test_long_secrets_are_covered_to_their_end(spark, pii_model):
     assert got == {1: "see [REDACTED] end", 2: "key [REDACTED] end", 3: "see [REDACTED] end"}
 
 
+def test_mail_candidates_of_a_place_need_nothing_else(spark):
+    rows = [
+        (1, "write to jane.doe at example.com today"), (2, "write to jane.doe at example.com today, or @home"),
+        (3, "WRITE TO JANE AT EXAMPLE DOT COM"), (4, "jane at example [dot] com"), (5, "we met at noon and left"), (6, "jane(at)x.org"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    mails = F.filter(pii.candidates(F.col("text")), lambda c: c["generator"] == 0)
+    got = df.select("doc_id", F.transform(mails, lambda c: F.struct(c["start"], c["end"])).alias("at")).collect()
+    at = {r["doc_id"]: [tuple(c) for c in r["at"]] for r in got}
+    assert at == {1: [(9, 32)], 2: [(9, 32)], 3: [(9, 32)], 4: [(0, 25)], 5: [], 6: [(0, 13)]}
+
+
 def test_pii_edges(edge, empty, pii_model):
     got = pii.find_pii(edge, pii_model).collect()
     assert len(got) == len(EDGE)
