@@ -23,16 +23,16 @@ def terms(text: Column) -> Column:
 
 def build_lexicon(
     docs: DataFrame, text_col: str = "text", most: float = 0.25, least: float = 0.01, size: int = 32_768, slots: int = 65_536
-) -> Column:
-    """The terms in a band of document frequency, as a lookup column.
+) -> Column | DataFrame:
+    """The terms in a band of document frequency, as a lookup column or a table.
 
     Frequencies are counted over the distinct texts of all documents (told apart by a
     64-bit hash), so that copies don't push their own terms out. Terms in more than a
-    share ``most`` or less than a share ``least`` of them are out; of the rest the ``size`` most frequent
-    (ties by hash) make the lexicon. At most the mean number of terms a document over
-    ``least`` can be in the band, and ``size`` bounds what is sent to the tasks: 8 bytes
-    a term. The column is a constant, an array of ``slots`` short arrays: a term's hash is
-    looked up in the slot that it falls in.
+    share ``most`` or less than a share ``least`` of them are out; all others make the
+    lexicon, at most the mean number of distinct terms a text over ``least``. Up to
+    ``size`` of them are sent to the tasks, 8 bytes a term; more are a table with the
+    column ``t``, to be joined. The column is a constant, an array of ``slots`` short
+    arrays: a term's hash is looked up in the slot that it falls in.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     hashed = docs.select(text).withColumn("hash", F.xxhash64("text"))
@@ -44,7 +44,9 @@ def build_lexicon(
     found = texts.select(F.explode(terms(F.col("text"))).alias("t"))
     counted = found.groupBy("t").agg(F.count("*").alias("df"))
     band = counted.where(F.col("df").between(math.ceil(total * least), math.floor(total * most)))
-    kept = band.orderBy(F.col("df").desc(), "t").limit(size).collect()
+    kept = band.select("t").limit(size + 1).collect()
+    if len(kept) > size:
+        return cut_lineage(band.select("t"))
     in_slot: list[list[int]] = [[] for _ in range(slots)]
     for row in sorted(kept):
         in_slot[row["t"] % slots].append(row["t"])
@@ -59,9 +61,9 @@ def in_lexicon(found: Column, lexicon: Column, slots: int = 65_536) -> Column:
 
 
 def signatures(
-    found: Column, lexicon: Column, text: Column, subsets: int = 24, share: int = 56, covered: int = 16
+    found: Column, kept: Column, text: Column, subsets: int = 24, share: int = 56, covered: int = 16
 ) -> Column:
-    """Hashes of a document's lexicon terms, the first over all of them, the others over
+    """Hashes of a document's lexicon terms ``kept``, the first over all of them, the others over
     randomised subsets of the lexicon.
 
     Subset k holds the terms whose hash with k falls in one of ``share`` parts. A subset
@@ -72,7 +74,6 @@ def signatures(
     only a part is of that kind. A document without terms gets one signature from its
     characters.
     """
-    kept = in_lexicon(found, lexicon)
     few = lambda own: F.size(own) * covered < F.size(found)
 
     def of(own: Column) -> Column:
@@ -105,12 +106,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(seen, F.lit(0), lambda s, x: s + x).cast("double") / F.greatest(F.size(seen), F.lit(1))
 
 
-def fingerprint(docs: DataFrame, lexicon: Column, text_col: str = "text", out: str = "signatures") -> DataFrame:
+def fingerprint(docs: DataFrame, lexicon: Column | DataFrame, text_col: str = "text", out: str = "signatures") -> DataFrame:
     """``docs`` with the array ``signatures``. Only the text counts: equal texts have
     equal signatures; null counts as empty. An input column of that name is replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.withColumn("_im_terms", terms(text))
-    return found.withColumn(out, signatures(F.col("_im_terms"), lexicon, text)).drop("_im_terms")
+    if isinstance(lexicon, DataFrame):
+        found = found.withColumn("_im_hash", F.xxhash64(text))
+        own = found.select("_im_hash", F.explode("_im_terms").alias("t")).join(lexicon, "t", "left_semi")
+        own = own.groupBy("_im_hash").agg(F.array_sort(F.collect_set("t")).alias("_im_kept"))
+        found = found.join(own, "_im_hash", "left")
+        kept = F.coalesce(F.col("_im_kept"), F.expr("cast(array() as array<bigint>)"))
+    else:
+        kept = in_lexicon(F.col("_im_terms"), lexicon)
+    return found.withColumn(out, signatures(F.col("_im_terms"), kept, text)).drop("_im_terms", "_im_hash", "_im_kept")
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
@@ -136,7 +145,9 @@ def next_keys(keys: DataFrame) -> DataFrame:
     return led.join(ring, "part").select("key", F.coalesce("next", "after").alias("next"))
 
 
-def compare_with_edits(docs: DataFrame, lexicon: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edits(
+    docs: DataFrame, lexicon: Column | DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many

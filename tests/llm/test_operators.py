@@ -288,6 +288,17 @@ def test_imatch_of_a_third_of_copies(spark, words):
         assert by[200]["kept"] == 40
 
 
+def test_imatch_keeps_a_band_over_the_size(spark):
+    rng = random.Random(10)
+    common = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.sample(common, 30))) for k in range(60)] + [(60, None), (61, ""), (62, "x y"), (None, "w1 w2")]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    whole = [imatch.compare_with_edits(df, imatch.build_lexicon(df, size=n)) for n in (32_768, 20)]
+    assert whole[0].columns == whole[1].columns
+    by = [sorted(map(tuple, w.collect()), key=repr) for w in whole]
+    assert len(by[0]) == 69 and by[0] == by[1]
+
+
 # Ogg
 
 
