@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NO_RANK = np.int64(1) << 40
+from .common import Batches, sliced, tidy
+from .words import WordIds, encode_texts, ragged
 
-#: Words that a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 800_000
+#: Ranks and vocabularies stay below 2^20; places below 2^40.
+NO_RANK, PLACE_BITS = np.int64(1) << 20, 40
 
 
 def _byte_letters() -> dict[str, int]:
@@ -32,28 +35,33 @@ class PairTree:
     """Least rank of the adjacent pairs of one long word: a segment tree.
 
     The root holds (rank, place) packed in one number, so its minimum is the
-    leftmost pair of the lowest rank; a change of a pair walks up to the root.
+    leftmost pair of the lowest rank; a change of a pair walks up to the root. It is a flat
+    array of 16 to 32 bytes a pair.
     """
 
-    def __init__(self, ranks: list[int]):
-        self.size = 1 << max(len(ranks) - 1, 1).bit_length()
-        none = int(NO_RANK) << 40
-        self.none = none
-        leaves = [(r << 40) | i if r < NO_RANK else none for i, r in enumerate(ranks)]
-        self.tree = [none] * self.size + leaves + [none] * (self.size - len(leaves))
-        for k in range(self.size - 1, 0, -1):
-            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+    def __init__(self, ranks: np.ndarray):
+        size = self.size = 1 << max(len(ranks) - 1, 1).bit_length()
+        self.none = int(NO_RANK) << PLACE_BITS
+        tree = np.full(2 * size, self.none, np.int64)
+        tree[size : size + len(ranks)] = np.where(
+            ranks < NO_RANK, (ranks << PLACE_BITS) | np.arange(len(ranks)), self.none
+        )
+        low = size
+        while low > 1:
+            low >>= 1
+            tree[low : 2 * low] = np.minimum(tree[2 * low : 4 * low : 2], tree[2 * low + 1 : 4 * low : 2])
+        self.tree = array("q", tree.tobytes())
 
     def set(self, place: int, rank: int) -> None:
         tree, k = self.tree, self.size + place
-        tree[k] = (rank << 40) | place if rank < NO_RANK else self.none
+        tree[k] = (rank << PLACE_BITS) | place if rank < NO_RANK else self.none
         while k > 1:
             k >>= 1
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
 
     def best(self) -> int:
         """Place of the leftmost pair of lowest rank, -1 if no pair can be merged."""
-        return self.tree[1] & ((1 << 40) - 1) if self.tree[1] < self.none else -1
+        return self.tree[1] & ((1 << PLACE_BITS) - 1) if self.tree[1] < self.none else -1
 
 
 class BytePairEncoder:
@@ -66,11 +74,14 @@ class BytePairEncoder:
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         letters = _byte_letters()
         names = self.vocab | self.special
-        self.tokens = [b""] * (max(names.values()) + 1)
+        tokens = [b""] * (max(names.values()) + 1)
         for name, k in self.vocab.items():
-            self.tokens[k] = bytes(letters[c] for c in name)
+            tokens[k] = bytes(letters[c] for c in name)
         for name, k in self.special.items():
-            self.tokens[k] = name.encode()
+            tokens[k] = name.encode()
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_sizes = np.array(list(map(len, tokens)), np.int64)
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.byte_ids = np.zeros(256, np.int64)
         for letter, b in letters.items():
             self.byte_ids[b] = self.vocab[letter]
@@ -84,7 +95,6 @@ class BytePairEncoder:
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         )
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _key(a, b):
@@ -98,14 +108,15 @@ class BytePairEncoder:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one word, for long ones: each merge costs the logarithm of the length."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        first = self.byte_ids[np.frombuffer(word, np.uint8)]
+        n = len(first)
+        tree = PairTree(self._ranks(first[:-1], first[1:]))
+        ids = array("q", first.tobytes())
+        before, after = array("q", range(-1, n - 1)), array("q", range(1, n + 1))
         rank = lambda i, j: self.rank_of.get((ids[i] << 20) | ids[j], int(NO_RANK))
-        tree = PairTree([rank(i, i + 1) for i in range(n - 1)])
         while (i := tree.best()) >= 0:
             j = after[i]
-            ids[i] = int(self.merged[tree.tree[1] >> 40])
+            ids[i] = int(self.merged[tree.tree[1] >> PLACE_BITS])
             ids[j] = -1
             after[i] = after[j]
             if after[j] < n:
@@ -186,40 +197,47 @@ class BytePairEncoder:
                 out[k] = ids
         return out
 
-    def _pieces(self, text: str) -> list[str]:
-        """The text cut before single spaces between non-spaces, where no word of the
-        pattern can reach over; as it is, where other spaces make that less plain."""
-        pieces = text.split(" ")
-        for p in pieces:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return self.words.findall(text)
-        return pieces[:1] + [" " + p for p in pieces[1:]]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, each as little-endian 32-bit numbers."""
-        cut: list[list[str]] = []
-        for text in texts:
-            parts = self.parts.split(text) if self.parts and any(s in text for s in self.special) else [text]
-            cut.append([w for p in parts if p for w in ([p] if p in self.special else self._pieces(p))])
-        wanted = set().union(*cut) if cut else set()
-        if len(self.known) + len(wanted) > REMEMBERED:
-            self.known = {}
-        missing = [w for w in wanted if w not in self.known and w not in self.special]
-        split = [self.words.findall(w) for w in missing]
-        atoms = list(dict.fromkeys(a for s in split for a in s if a not in self.known))
-        new = dict(zip(atoms, self.encode_words(atoms), strict=True))
-        known = self.known
-        known.update(new)
-        for w, s in zip(missing, split, strict=True):
-            if len(s) != 1:
-                known[w] = b"".join([known[a] for a in s])
-        for name, k in self.special.items():
-            known[name] = np.array([k], "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in cut]
-
-    def decode(self, ids: bytes) -> str:
-        tokens = self.tokens
-        raw = b"".join([tokens[k] for k in np.frombuffer(ids, "<u4").tolist()])
+    def split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of texts that no word of the pattern reaches over, and where each text's begin.
+
+        A text is cut before single spaces between non-spaces; where other spaces or special
+        tokens make that less plain, it is cut into its words.
+        """
+        whole = pa.array(texts, pa.string())
+        lists = pc.split_pattern(pc.replace_substring(whole, " ", "\0 "), "\0")
+        pieces, edges = lists.values, lists.offsets.to_numpy().astype(np.int64)
+        inner = np.ones(len(pieces), np.int64)
+        inner[edges[:-1]] = 0  # a text's first piece has no space before it
+        size = pc.binary_length(pieces).to_numpy()
+        bare = pc.binary_length(pc.utf8_trim_whitespace(pieces)).to_numpy()
+        plain = np.logical_and.reduceat((bare > 0) & (bare == size - inner), edges[:-1]) if len(texts) else np.zeros(0, bool)
+        for mark in ("\0", *self.special):
+            plain &= ~pc.match_substring(whole, mark).to_numpy(zero_copy_only=False)
+        if plain.all():
+            return pieces, edges
+        odd = [self._words(t) for t, p in zip(texts, plain.tolist(), strict=True) if not p]
+        both = pa.concat_arrays([lists.filter(pa.array(plain)), pa.array(odd, pa.list_(pa.string()))])
+        both = both.take(pa.array(np.argsort(np.argsort(~plain, kind="stable"))))
+        return both.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(both).to_numpy(), dtype=np.int64)])
+
+    def _words(self, text: str) -> list[str]:
+        parts = self.parts.split(text) if self.parts and any(s in text for s in self.special) else [text]
+        return [w for p in parts if p for w in ([p] if p in self.special else self.words.findall(p))]
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces or special tokens, each as little-endian 32-bit numbers."""
+        split = [[p] if p in self.special else self.words.findall(p) for p in pieces]
+        atoms = list(dict.fromkeys(a for s in split for a in s if a not in self.special))
+        known = dict(zip(atoms, self.encode_words(atoms), strict=True))
+        known |= {name: np.array([k], "<u4").tobytes() for name, k in self.special.items()}
+        return [known[s[0]] if len(s) == 1 else b"".join([known[a] for a in s]) for s in split]
+
+    def encode(self, texts: list[str], words: WordIds | None = None, chars: int = 5_000_000) -> Iterator[np.ndarray]:
+        """Ids of texts, in their order."""
+        return encode_texts(texts, self.split, words or WordIds(self.encode_pieces), chars)
+
+    def decode(self, ids: np.ndarray) -> str:
+        raw = self.token_bytes[ragged(self.token_starts[ids], self.token_sizes[ids])].tobytes()
         return raw.decode("utf-8", errors="replace")
 
 
@@ -229,7 +247,7 @@ def encoder(path: str) -> BytePairEncoder:
 
 
 def encode_digests(
-    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4_000_000
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 5_000_000
 ) -> DataFrame:
     """Encode and decode every whole text; returns the id and digests of both.
 
@@ -237,19 +255,22 @@ def encode_digests(
     numbers) and ``decoded_sha256``. Null counts as empty; an empty text has no ids.
     A special token's text inside a text is that token. ``path`` names a byte-level
     vocabulary on every node; by default it is found on the node. Rows are
-    independent: repeats get equal results, other columns are not read.
+    independent: repeats get equal results. Other columns are not read, whatever their
+    names; an empty table gives no rows. Long texts are worked on in slices; one word
+    without white space takes about 60 bytes of a worker's memory a byte.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def run(batches: Batches) -> Batches:
         bpe = encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
-        for batch in batches:
+        words = WordIds(bpe.encode_pieces)
+        for batch in sliced(batches, batch_chars):
             row_ids, texts = batch.columns
             n, ids_sha, text_sha = [], [], []
-            for part in text_parts([t or "" for t in texts.to_pylist()], batch_chars):
-                for ids in bpe.encode_batch(part):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            for ids in bpe.encode([t or "" for t in texts.to_pylist()], words, batch_chars):
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [row_ids, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -259,16 +280,3 @@ def encode_digests(
     return docs.select(F.col(id_col).alias("_bpe_id"), F.col(text_col).alias("_bpe_text")).mapInArrow(
         run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
-
-
-def text_parts(texts: list[str], chars: int) -> Iterator[list[str]]:
-    """The texts in their order, in lists of about ``chars`` characters."""
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part

@@ -5,29 +5,26 @@ from __future__ import annotations
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import text_parts
-
-#: Words that a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 800_000
-
+from .common import Batches, cut_lineage, sliced, tidy
+from .words import WordIds, encode_texts, flat_words
 
 class WordTokenizer:
     """Ids by the tokenizers library for a vocabulary whose words never hold white space.
 
     The library normalises white space to spaces and drops it, so a text's ids are
     those of its white-space separated parts, one after the other. Each different
-    part is encoded once and remembered.
+    part is encoded once as long as it is remembered.
     """
 
     def __init__(self, path: str):
@@ -37,13 +34,13 @@ class WordTokenizer:
         names = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         self.ends_word[[k for name, k in names.items() if name.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _encode(self, texts: list[str], together: int = 64) -> list[bytes]:
+        parts = (texts[a : a + together] for a in range(0, len(texts), together))  # encodings are large
+        found = (e for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _encode_words(self, words: list[str], together: int = 512) -> list[bytes]:
+    def _encode_letters(self, words: list[str], together: int = 512) -> list[bytes]:
         """Ids of words of letters: many are one text, cut where a token ends a word. Where
         the ends are not one a word (rare letters normalise to several words), one by one."""
         parts = [words[a : a + together] for a in range(0, len(words), together)]
@@ -56,38 +53,34 @@ class WordTokenizer:
                 out += self._encode(part)
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, each as little-endian 32-bit numbers."""
-        # The library doesn't take these four for white space, Python does.
-        plain = [not any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        cut = [t.split() if p else [t] for t, p in zip(texts, plain, strict=True)]
-        wanted = set().union(*cut) if cut else set()
-        if len(self.known) + len(wanted) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        # A word of letters before one full stop or comma is that word and the mark.
-        whole: dict[str, str] = {}
-        marked: dict[str, tuple[str, str]] = {}
-        other: list[str] = []
-        for w in wanted:
-            if w in known:
-                continue
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words. One of letters before a full stop or comma is that word
+        and the mark."""
+        plain = lambda w: w.lower() if w.isascii() else w
+        stem_of, mark_of, other = {}, {}, []
+        for w in words:
             if w.isalpha():
-                whole[w] = w.lower() if w.isascii() else w
-            elif w[-1] in ".," and w[:-1].isalpha():
-                marked[w] = (w[:-1].lower() if w.isascii() else w[:-1], w[-1])
+                stem_of[w] = plain(w)
+            elif w[-1:] in (".", ",") and w[:-1].isalpha():
+                stem_of[w], mark_of[w] = plain(w[:-1]), w[-1]
             else:
                 other.append(w)
-        stems = {*whole.values(), *(s for s, _ in marked.values())}
-        stems = [s for s in stems if s not in known]
-        known.update(zip(stems, self._encode_words(stems), strict=True))
-        other += [c for c in ".," if c not in known]
-        known.update(zip(other, self._encode(other), strict=True))
-        for w, stem in whole.items():
-            known[w] = known[stem]
-        for w, (stem, mark) in marked.items():
-            known[w] = known[stem] + known[mark]
-        return [b"".join([known[w] for w in words]) for words in cut]
+        stems = list(dict.fromkeys(stem_of.values()))
+        known = dict(zip(stems, self._encode_letters(stems), strict=True))
+        marks = dict(zip(".,", self._encode([".", ","]), strict=True)) | {"": b""}
+        found = dict(zip(other, self._encode(other), strict=True))
+        found |= {w: known[stem] + marks[mark_of.get(w, "")] for w, stem in stem_of.items()}
+        return [found[w] for w in words]
+
+
+def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The white-space separated words of texts and where each text's begin."""
+    # The library doesn't take these four for white space, Python and Arrow do.
+    if any(c in t for t in texts for c in "\x1c\x1d\x1e\x1f"):
+        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
+        return flat_words([[t] if o else t.split() for t, o in zip(texts, odd, strict=True)])
+    lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+    return lists.values, lists.offsets.to_numpy().astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +95,7 @@ def token_pieces(
     end_id: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
-    batch_chars: int = 4_000_000,
+    batch_chars: int = 5_000_000,
 ) -> DataFrame:
     """Each document's ids and ``end_id``, in pieces of ``capacity``; the last may be shorter.
 
@@ -110,21 +103,19 @@ def token_pieces(
     empty text, which is the end id alone.
     """
     kind = docs.schema[id_col].dataType
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(path or public_tokenizers.path("word_bpe_49k.json"))
-        for batch in batches:
+    @tidy
+    def run(batches: Batches) -> Batches:
+        words = WordIds(tokenizer(path or public_tokenizers.path("word_bpe_49k.json")).encode_words)
+        for batch in sliced(batches, batch_chars):
             ids, texts = batch.columns
             rows: list[tuple[int, int, int, int, int]] = []
-            at = 0
-            for part in text_parts([t or "" for t in texts.to_pylist()], batch_chars):
-                for encoded in words.encode_batch(part):
-                    encoded += end
-                    for k, a in enumerate(range(0, len(encoded), 4 * capacity)):
-                        cut = encoded[a : a + 4 * capacity]
-                        rows.append((at, k, a // 4, len(cut) // 4, zlib.crc32(cut)))
-                    at += 1
+            for at, encoded in enumerate(encode_texts([t or "" for t in texts.to_pylist()], split_words, words, batch_chars)):
+                encoded = np.append(encoded, end)
+                for k, a in enumerate(range(0, len(encoded), capacity)):
+                    cut = encoded[a : a + capacity]
+                    rows.append((at, k, a, len(cut), zlib.crc32(cut)))
             row, piece, start, length, crc = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(row)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc))],
@@ -167,93 +158,107 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def empty_bins(
-    bins: list[list[int]], sizes: np.ndarray, capacity: int, patience: int = 48, failures: int = 24
-) -> list[list[int]]:
+def least_bins(sizes: np.ndarray, capacity: int) -> int:
+    """How many bins any packing needs at least.
+
+    For every limit k up to half a bin: sizes over half a bin share with none of their
+    kind, and those from k on that are smaller go beside them or into bins of their own.
+    """
+    count = np.bincount(np.asarray(sizes, np.int64), minlength=capacity + 1)
+    weight = count * np.arange(capacity + 1)
+    n, w = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(weight)])  # of sizes below k
+    k = np.arange(capacity // 2 + 1)
+    half = capacity // 2 + 1
+    large = n[-1] - n[half]
+    beside = n[capacity - k + 1] - n[half]  # large ones that leave k or more
+    room = beside * capacity - (w[capacity - k + 1] - w[half])
+    left = w[half] - w[k] - room
+    return int((large + np.maximum(-(-left // capacity), 0)).max())
+
+
+def empty_bins(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search: exchange or move documents between underfull bins until bins empty.
 
-    The bin with the least fill gives: a document moves to another bin with room, or
-    changes places with a smaller one there (one for one), or two change places with
-    one smaller than both together (two for one). Each step raises the sum of squared
-    fills, so the search ends. It also ends when the free room of all bins together is
-    less than one bin, since then no bin can be saved, and when ``failures`` bins one
-    after the other could not be emptied within ``patience`` steps each.
+    Bins give in order of their fill, to bins that are no emptier: a document moves to
+    another bin with room, or changes places with a smaller one there (one for one), or
+    two change places with one smaller than both together (two for one). Each step raises
+    the sum of squared fills, so the search ends: when no bin has a step left, or when
+    there are no more bins than any packing needs.
     """
     bins = [list(b) for b in bins]
     sizes = np.asarray(sizes, np.int64)
     fill = np.array([sizes[b].sum() for b in bins], np.int64)
-    if not len(bins):
-        return bins
-    stuck: set[int] = set()
-    steps = np.zeros(len(bins), np.int64)
-    while len(stuck) < failures and (capacity - fill)[fill > 0].sum() >= capacity:
+    at = np.zeros(len(sizes), np.int64)
+    for k, b in enumerate(bins):
+        at[b] = k
+    used, least, moved = int((fill > 0).sum()), least_bins(sizes, capacity), True
+    while moved and used > least:
+        moved = False
         order = np.flatnonzero((fill > 0) & (fill < capacity))
-        order = [b for b in order[np.argsort(fill[order], kind="stable")].tolist() if b not in stuck]
-        if not order:
-            break
-        giver = order[0]
-        others = np.flatnonzero((fill > 0) & (fill < capacity))
-        others = others[others != giver]
-        steps[giver] += 1
-        step = _step(bins, sizes, fill, giver, others, capacity) if steps[giver] <= patience else None
-        if step is None:
-            stuck.add(giver)
-            continue
-        out, taker, back = step
-        for k in out:
-            bins[giver].remove(k)
-        for k in back:
-            bins[taker].remove(k)
-        bins[taker] += out
-        bins[giver] += back
-        moved = int(sizes[out].sum() - (sizes[back].sum() if back else 0))
-        fill[giver] -= moved
-        fill[taker] += moved
-        if not fill[giver]:
-            stuck.clear()
-            steps[:] = 0
+        for giver in order[np.argsort(fill[order], kind="stable")].tolist():
+            while fill[giver] and (step := _step(bins[giver], sizes, fill, at, giver, capacity)):
+                out, taker, back = step
+                for k in out:
+                    bins[giver].remove(k)
+                for k in back:
+                    bins[taker].remove(k)
+                bins[taker] += out
+                bins[giver] += back
+                at[out], at[back] = taker, giver
+                gain = int(sizes[out].sum() - sizes[back].sum())
+                fill[giver] -= gain
+                fill[taker] += gain
+                moved = True
+            used -= not fill[giver]
+            if used <= least:
+                break
     return [b for b in bins if b]
 
 
-def _step(bins, sizes, fill, giver, others, capacity):
+def _step(own: list[int], sizes, fill, at, giver: int, capacity: int) -> tuple[list[int], int, list[int]] | None:
     """The exchange that fills a taker most: (documents out, taker, documents back), or None."""
-    if not len(others):
+    takes = (fill >= fill[giver]) & (fill < capacity)
+    takes[giver] = False
+    takers = np.flatnonzero(takes)
+    if not len(takers):
         return None
-    room = capacity - fill[others]
-    own = sorted(bins[giver], key=lambda k: -sizes[k])
-    for k in own:  # a move
-        fits = np.flatnonzero(room >= sizes[k])
-        if len(fits):
-            return [k], int(others[fits[room[fits].argmin()]]), []
-    members = [(k, at) for at, b in enumerate(others.tolist()) for k in bins[b]]
-    if not members:
-        return None
-    ids, at = (np.array(v) for v in zip(*members, strict=True))
+    room = capacity - fill
     by_size = {int(sizes[k]): k for k in own}
-    twice = [k for k in own if by_size[int(sizes[k])] != k]  # a second one of its size
-    singles = [[k] for k in by_size.values()]
-    pairs = {}
-    several = list(by_size.values()) + list({int(sizes[k]): k for k in twice}.values())
-    for i, a in enumerate(several):
-        for b in several[i + 1 :]:
-            pairs.setdefault(int(sizes[a] + sizes[b]), [a, b])
-    best, found = 0, None
-    for out in [*singles, *pairs.values()]:  # one for one, then two for one
-        gain = sizes[out].sum() - sizes[ids]
-        # squared fill rises only if the taker is, or becomes, the fuller of the two
-        fine = (gain > best) & (gain <= room[at]) & (fill[others[at]] + gain > fill[giver])
-        k = int(np.where(fine, gain, 0).argmax())
-        if fine[k]:
-            best, found = int(gain[k]), (out, int(others[at[k]]), [int(ids[k])])
-    return found
+    fits = np.sort(room[takers])
+    for size in sorted(by_size, reverse=True):  # a move, to where least room is left
+        if size <= fits[-1]:
+            least = fits[np.searchsorted(fits, size)]
+            return [by_size[size]], int(takers[room[takers] == least][0]), []
+    # Of each size the document in the bin with most room: it can make place for up to size + room.
+    members = np.flatnonzero(takes[at])
+    best = np.full(capacity + 1, -1)
+    np.maximum.at(best, sizes[members], room[at[members]] * len(sizes) + members)
+    partner = np.full(capacity + 1, -1)  # by size that comes: the smallest size that can make place
+    for size in np.flatnonzero(best >= 0)[::-1].tolist():
+        partner[size + 1 : size + int(best[size]) // len(sizes) + 1] = size
+    second = {int(sizes[k]): k for k in own if by_size[int(sizes[k])] != k}
+    several = [*by_size.values(), *second.values()]
+    single = np.array(list(by_size), np.int64)
+    gains = [(int(g), [by_size[int(v)]]) for v, g in zip(single, single - partner[single], strict=True) if partner[v] >= 0]
+    one = np.array([sizes[k] for k in several], np.int64)
+    i, j = np.triu_indices(len(one), 1)
+    both = one[i] + one[j]
+    fine = np.flatnonzero(both <= capacity)
+    fine = fine[partner[both[fine]] >= 0]
+    if len(fine):
+        k = fine[(both[fine] - partner[both[fine]]).argmax()]
+        gains.append((int(both[k] - partner[both[k]]), [several[i[k]], several[j[k]]]))
+    if not gains:
+        return None
+    _, out = max(gains, key=lambda g: g[0])
+    back = int(best[partner[int(sizes[out].sum())]]) % len(sizes)
+    return out, int(at[back]), [back]
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each length; a length of ``capacity`` has a bin of its own."""
+    """Bin and offset of each length."""
     lengths = np.asarray(lengths, np.int64)
-    part = np.flatnonzero(lengths < capacity)
-    bins = [part[b].tolist() for b in empty_bins(best_fit(lengths[part], capacity), lengths[part], capacity)]
-    bins += [[k] for k in np.flatnonzero(lengths >= capacity).tolist()]
+    bins = empty_bins(best_fit(lengths, capacity), lengths, capacity)
     bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for b, members in enumerate(bins):
         at = 0
@@ -263,16 +268,22 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bin_of, offset
 
 
-def pack(pieces: DataFrame, n_docs: int, capacity: int = 4096, group_docs: int = 25_000, id_col: str = "doc_id") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = 25_000) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt by hash to groups of about ``group_docs`` documents; each group is
-    packed on its own, which costs less than one sequence a group. ``n_docs`` only sets
-    the number of groups. Repeated rows are packed as often as they come. A group holds
-    numbers of pieces only, never ids.
+    Pieces of ``capacity`` are sequences of their own, numbered below 0 where they are.
+    The others are dealt by their place in the table, whatever they hold, to groups of
+    about ``group_pieces``; each group is packed on its own, which costs about one
+    sequence a group. Repeated rows are packed as often as they come. The pieces, not
+    their texts or ids, are kept in the checkpoint folder, so that places are fixed.
     """
-    groups = max(1, -(-n_docs // group_docs))
-    dealt = pieces.withColumn("_pk_group", F.pmod(F.xxhash64(F.col(id_col), "piece", "ids_crc32"), F.lit(groups)))
+    pieces = cut_lineage(pieces)
+    place = F.monotonically_increasing_id()
+    full = pieces.where(F.col("length") >= capacity)
+    full = full.withColumns({"sequence_id": -1 - place, "offset": F.lit(0).cast("long")})
+    part = pieces.where(F.col("length") < capacity)
+    groups = max(1, -(-part.count() // group_pieces))
+    dealt = part.withColumn("_pk_group", F.pmod(F.xxhash64(place), F.lit(groups)))
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("piece", "ascending")])
@@ -283,13 +294,14 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = 4096, group_docs: int =
 
     added = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     schema = T.StructType([*pieces.schema.fields, *added])
-    return dealt.groupBy("_pk_group").applyInArrow(run, schema)
+    return dealt.groupBy("_pk_group").applyInArrow(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Tokenise, cut and pack all documents: a row for each piece with its place.
 
     Null texts count as empty; repeated rows and equal ids are packed each for itself;
-    an empty table gives no rows; other columns are not read.
+    long texts are cut into pieces, never shortened; an empty table gives no rows; other
+    columns are not read, whatever their names.
     """
-    return pack(token_pieces(docs, path, capacity, end_id), docs.count(), capacity)
+    return pack(token_pieces(docs, path, capacity, end_id), capacity)
