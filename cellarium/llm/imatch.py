@@ -11,8 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, let
-from .ngram_join import _may_be_among
+from .common import cut_lineage, let, may_be_among
 
 
 def terms(text: Column) -> Column:
@@ -38,7 +37,7 @@ def build_lexicon(
     hashed = docs.select(text).withColumn("hash", F.xxhash64("text"))
     copies = cut_lineage(hashed.groupBy("hash").count())
     total = copies.count()
-    copied = _may_be_among(F.col("hash"), copies.where("count > 1"), "hash")  # the others need no shuffle of their text
+    copied = may_be_among(F.col("hash"), copies.where("count > 1"), "hash")  # the others need no shuffle of their text
     once = hashed.where(copied).groupBy("hash").agg(F.first("text").alias("text"))
     texts = hashed.where(~copied).select("text").union(once.select("text"))
     found = texts.select(F.explode(terms(F.col("text"))).alias("t"))

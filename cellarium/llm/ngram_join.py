@@ -10,17 +10,15 @@ that a group of thousands of near copies never becomes millions of rows.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from functools import reduce
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import Batches, cut_lineage, may_be_among, sliced, tidy
 
 U64 = np.uint64
 
@@ -46,18 +44,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], words: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about ``words`` elements of their last column, a list."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = batch.columns[-1].offsets.to_numpy()
-        part = (ends[1:] - ends[0]) // words
-        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        for a, b in pairwise(edges):
-            yield batch.slice(a, b - a)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
@@ -108,7 +94,7 @@ def _fast(x: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def _grouped(batches: Batches, keys: list[str]) -> Iterator[pa.Table]:
     """Tables that end where a group ends, from batches sorted by ``keys``."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -229,17 +215,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
-def ngram_jaccard_join(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    n: int = 5,
-    over: int = 4,
-    under: int = 5,
-    recall: float = 0.9999,
-    block_docs: int = 384,
-    block_grams: int = 1_000_000,
-) -> DataFrame:
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's place in the order of documents: by id, nulls last, then by hash of the text.
+    Rows that repeat both have one key."""
+    return F.struct(
+        F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash")
+    )
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row a document: all links of word ``n``-gram likeness ``over`` / ``under`` or more.
 
     Words are what white space separates, as written. Returns
@@ -254,14 +238,42 @@ def ngram_jaccard_join(
     ones more surely; what is found is exact. Texts of 1 to n - 1 words have one
     n-gram, all their words. Texts without words (null, empty, blank) all have the
     empty set and form one class without links. Rows with the same id are documents
-    of their own; null ids count as greater than all. Other columns are not read.
-    Buckets are compared in blocks of at most ``block_docs`` documents and about
+    of their own; null ids count as greater than all. Other columns are not read,
+    whatever their names; an empty table gives no rows. Long texts count whole.
+    ``settings`` are those of ``ngram_classes``.
+    """
+    found = ngram_classes(docs, id_col, text_col, **settings)
+    return found.select(
+        F.col("row.id").alias(id_col),
+        F.col("class_row.id").alias("class_id"),
+        F.col("set_row.id").alias("set_id"),
+        "n_copies",
+        "n_links",
+    )
+
+
+def ngram_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 5,
+    over: int = 4,
+    under: int = 5,
+    recall: float = 0.9999,
+    block_docs: int = 384,
+    block_grams: int = 1_000_000,
+) -> DataFrame:
+    """``row``, ``set_row`` and ``class_row`` (by ``row_key``: the row's, the first of its set,
+    the first of its class), ``n_copies`` and ``n_links`` of each row; see ``ngram_jaccard_join``.
+
+    Buckets are compared in blocks of about ``block_docs`` documents (dealt by hash) and
     ``block_grams`` n-grams: large ones become many blocks, none is cut short.
     """
     bands, rows = choose_bands(over / under, recall)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _cut(batches):
+    @tidy
+    def sketch(batches: Batches) -> Batches:
+        for batch in sliced(batches, 400_000):
             ids, words = batch.columns
             sets, starts = ngram_sets(words, n)
             sizes = np.diff(starts)
@@ -274,18 +286,18 @@ def ngram_jaccard_join(
                 pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands), pa.array(hashes.ravel().view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(key, pa.binary()), pa.array(sizes.astype(np.int64)), lists], ["id", "key", "size", "bands"]
+                [ids, pa.array(key, pa.binary()), pa.array(sizes.astype(np.int64)), lists], ["row", "key", "size", "bands"]
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = plain.select("id", word_hashes(F.col("text")).alias("words")).mapInArrow(
-        sketch, f"id {kind}, key binary, size long, bands array<long>"
+    plain = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    kind = plain.schema["row"].dataType.simpleString()
+    sketches = plain.select("row", word_hashes(F.col("text")).alias("words")).mapInArrow(
+        sketch, f"row {kind}, key binary, size long, bands array<long>"
     )
     sketches = cut_lineage(sketches)
 
     classes = sketches.groupBy("key").agg(
-        F.min("id").alias("set_id"),
+        F.min("row").alias("set_row"),
         F.count("*").alias("n_copies"),
         F.first("size").alias("size"),
         F.first("bands").alias("bands"),
@@ -308,7 +320,8 @@ def ngram_jaccard_join(
     )
     together = placed.join(classes.select("key", "bands"), "key")
 
-    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def involved(batches: Batches) -> Batches:
         for table in _grouped(batches, GROUP):
             table = table.combine_chunks()
             matrix = table["bands"].combine_chunks()
@@ -330,12 +343,13 @@ def ngram_jaccard_join(
     chosen = cut_lineage(chosen)
 
     # The sets of the classes with candidates, made again from one of their texts.
-    wanted = cut_lineage(chosen.select("key").distinct().join(classes.select("key", "set_id"), "key"))
-    sieved = plain.where(_may_be_among(plain["id"], wanted, "set_id"))
-    texts = sieved.join(wanted, sieved["id"].eqNullSafe(wanted["set_id"])).select("key", "text")
+    wanted = cut_lineage(chosen.select("key").distinct().join(classes.select("key", F.col("set_row").alias("row")), "key"))
+    sieved = plain.where(may_be_among(plain["row"], wanted, "row")).dropDuplicates(["row"])
+    texts = sieved.join(wanted, "row").select("key", "text")
 
-    def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _cut(batches):
+    @tidy
+    def remake(batches: Batches) -> Batches:
+        for batch in sliced(batches, 400_000):
             key, words = batch.columns
             sets, starts = ngram_sets(words, n)
             own = [hashlib.md5(sets[a:b].tobytes()).digest() for a, b in zip(starts, starts[1:], strict=False)]
@@ -346,7 +360,8 @@ def ngram_jaccard_join(
     made = texts.select("key", word_hashes(F.col("text")).alias("words")).mapInArrow(remake, "key binary, grams array<long>")
     ready = chosen.join(made, "key").join(classes.select("key", "bands"), "key")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def verify(batches: Batches) -> Batches:
         for table in _grouped(batches, GROUP):
             table = table.combine_chunks()
             matrix = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(table), bands)
@@ -355,17 +370,15 @@ def ngram_jaccard_join(
             keys = table["key"].to_pylist()
             nodes, roots, counts = [], [], []
             for a, b, band, left, right, side in _groups(table):
-                _, one = np.unique(np.array(keys[a:b], object), return_index=True)  # a repeated id brings a set twice
-                one = np.sort(one)
-                sets = [flat[ends[a + k] : ends[a + k + 1]] for k in one]
-                pairs = _links(sets, _owned(matrix[a:b][one], band, side[one], left, right), over, under)
+                sets = [flat[ends[k] : ends[k + 1]] for k in range(a, b)]
+                pairs = _links(sets, _owned(matrix[a:b], band, side, left, right), over, under)
                 if not len(pairs):
                     continue
-                degree = np.bincount(pairs.ravel(), minlength=len(one))
-                root = _roots(len(one), pairs)
+                degree = np.bincount(pairs.ravel(), minlength=b - a)
+                root = _roots(b - a, pairs)
                 for k in np.flatnonzero(degree):
-                    nodes.append(keys[a + one[k]])
-                    roots.append(keys[a + one[root[k]]])
+                    nodes.append(keys[a + k])
+                    roots.append(keys[a + root[k]])
                     counts.append(int(degree[k]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.binary()), pa.array(roots, pa.binary()), pa.array(counts, pa.int64())],
@@ -379,36 +392,16 @@ def ngram_jaccard_join(
     degrees = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
     reached = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = (
-        classes.select("key", "set_id", "n_copies")
+        classes.select("key", "set_row", "n_copies")
         .join(degrees, "key", "left")
         .join(reached.withColumnRenamed("node", "key"), "key", "left")
         .withColumn("root", F.coalesce("root", "key"))
     )
-    least = named.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    least = named.groupBy("root").agg(F.min("set_row").alias("class_row"))
     named = named.join(least, "root").select(
-        "key", "class_id", "set_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    return sketches.select("id", "key").join(named, "key").select(
-        F.col("id").alias(id_col), "class_id", "set_id", "n_copies", "n_links"
+        "key", "class_row", "set_row", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-
-
-def _may_be_among(column: Column, few: DataFrame, name: str, bits: int = 22) -> Column:
-    """False only for values that are not in ``few[name]``: a filter of 2^bits bits.
-
-    It spares the shuffle texts that the join after it would drop. Its size is fixed
-    (2^bits / 8 bytes, at most as many numbers reach the driver as it has words), however
-    many values there are; with many of them it lets more through, never less.
-    """
-    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
-    set_bits = few.select(place(F.col(name)).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("word"))
-    got = set_bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).collect()
-    words = [0] * (1 << (bits - 6))
-    for row in got:
-        words[row["word"]] = row["bits"]
-    sieve = F.from_json(F.lit(json.dumps(words, separators=(",", ":"))), "array<bigint>")
-    h = place(column)
-    return F.getbit(F.get(sieve, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return sketches.select("row", "key").join(named, "key").drop("key")
 
 
 def _by_group(df: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Batches, sliced, tidy
+
 #: Fixed values of the Ogg page format.
 CAPTURE = b"OggS"
 HEADER = struct.Struct("<4sBBqIIIB")  # pattern, version, flags, granule, serial, page number, checksum, lacing values
@@ -222,7 +223,8 @@ def read_media(files: DataFrame, id_col: str, media_col: str = "media") -> DataF
     """
     schema = T.StructType([files.schema[id_col], *MEDIA.fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for at in range(batch.num_rows):
                 m = load(batch.column(1)[at].as_py() or b"")
@@ -243,16 +245,15 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         [docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    @tidy
+    def run(batches: Batches) -> Batches:
+        for batch in sliced(batches):
             ids, texts = batch.columns
-            for a in range(0, batch.num_rows, 256):
-                raw = [(t or "").encode() for t in texts[a : a + 256].to_pylist()]
-                media = [store(padded(r)) for r in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, len(raw)), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())],
-                    schema.names,
-                )
+            raw = [(t or "").encode() for t in texts.to_pylist()]
+            media = [store(padded(r)) for r in raw]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], schema.names
+            )
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -280,7 +281,8 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             ids, sizes, files = batch.columns
             rows = []

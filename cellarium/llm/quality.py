@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gbdt
-from .common import is_held_out
+from .common import is_held_out, tidy
 
 #: Classes of UTF-8 bytes whose shares are features.
 UPPER, LOWER, DIGIT, SPACE, STOP, BAR, MARK, SYMBOL, HIGH, OTHER = range(10)
@@ -100,6 +100,7 @@ def train_quality(
     texts = docs.select(F.col(id_col).alias("_q_id"), F.col(text_col).alias("_q_text"))
     labelled = texts.join(F.broadcast(chosen), "_q_id").select("_q_id", "_q_label", "_q_text")
 
+    @tidy
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = pd.DataFrame(_features(batch["_q_text"]), columns=FEATURES)
@@ -122,7 +123,9 @@ def score_quality(docs: DataFrame, forest: gbdt.Forest, text_col: str = "text",
     """
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(forest.score(_features(texts))[: len(texts)])
+    @tidy
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(forest.score(_features(texts))[: len(texts)])
 
     return docs.withColumn(score_col, scored(F.col(text_col)))
