@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_held_out
+from .common import Batches, is_held_out, sliced, tidy
 
 #: First code point, last code point and script of Unicode ranges. What
 #: lies between ranges has no script of its own here.
@@ -40,6 +40,18 @@ _FIRSTS = np.array([a for a, _, _ in SCRIPT_RANGES])
 _LASTS = np.array([b for _, b, _ in SCRIPT_RANGES])
 _NAMES = np.array([SCRIPTS.index(n) for _, _, n in SCRIPT_RANGES])
 
+#: Words of these scripts aren't parted by spaces; their runs are cut after so many letters.
+UNSPACED, RUN = ("han", "kana", "thai"), 4
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
+_RUNS = re.compile(
+    "|".join(
+        "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, n in SCRIPT_RANGES if n == name) + r"\W\d_]" + (f"{{1,{RUN}}}" if name in UNSPACED else "+")
+        for name in SCRIPTS
+    )
+    + "|.",
+    re.DOTALL,
+)
+
 SLOTS = 1 << 15
 UNDETERMINED = "und"
 
@@ -50,6 +62,14 @@ def scripts_of(points: np.ndarray) -> np.ndarray:
     return np.where((at >= 0) & (points <= _LASTS[np.maximum(at, 0)]), _NAMES[np.maximum(at, 0)], -1)
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words: what white space separates, cut where the script changes."""
+    words = (text or "").lower().split()
+    if not text or text.isascii() or not _BEYOND_LATIN.search(text):
+        return words
+    return [p for w in words for p in (_RUNS.findall(w) if _BEYOND_LATIN.search(w) else (w,))]
+
+
 @dataclass
 class Words:
     """Different words, cut to their letters: slots of their letter trigrams, number of
@@ -154,25 +174,35 @@ def train_language(
     lang_col: str = "lang",
     smooth: float = 0.5,
     least_share: float = 0.02,
+    most_languages: int = 512,
 ) -> LanguageModel:
     """Count letter trigrams of at most ``sample`` documents a language.
 
     Never learns from rows that ``is_held_out``, nor from null languages, ids or texts.
     The sample is the documents with the smallest hash of their id in each language;
     only their ids and languages are broadcast. What reaches the driver is at most a
-    number for each slot and language.
+    number for each slot and language; more than ``most_languages`` languages are an error.
+    Rows that repeat an id count as one of the sample.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     fit = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out("id"))
-    by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = fit.select("id", "lang").withColumn("rank", F.row_number().over(by_lang)).where(F.col("rank") <= sample)
-    texts = fit.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text")
+    ids = fit.select("id", "lang").distinct()
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn")
+    # Only ids whose hash lies below a language's cut, about twice the sample, are ranked.
+    shares = [F.when(F.col("lang") == lang, 2 * sample / n) for lang, n in sorted(sizes.items()) if n > 2 * sample]
+    below = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.coalesce(*shares, F.lit(1.0)) * float(1 << 30)
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id")
+    chosen = ids.where(below).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    texts = fit.join(F.broadcast(chosen.select("id", "lang")), ["id", "lang"]).select("lang", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    @tidy
+    def count(batches: Batches) -> Batches:
+        for batch in sliced(batches):
             for lang in dict.fromkeys(batch["lang"].to_pylist()):
                 mine = batch.filter(pc.equal(batch["lang"], lang))
-                words = [w for t in mine["text"].to_pylist() for w in (t or "").lower().split()]
+                words = [w for t in mine["text"].to_pylist() for w in words_of(t)]
                 m = measure(words)
                 slots = np.bincount(m.slots, minlength=SLOTS)
                 scripts = np.bincount(m.script[m.script >= 0], m.letters[m.script >= 0], len(SCRIPTS)).astype(np.int64)
@@ -201,13 +231,14 @@ def identify_language(
 ) -> DataFrame:
     """The id, ``lang_pred``, ``score`` and ``spans`` of every whole text.
 
-    Words are what white space separates. The path over them with the best sum of word
+    Words are what white space separates, cut where the script changes. The path over them with the best sum of word
     scores, less a penalty for each switch, labels spans; the language with most letters
     is predicted. ``score`` is its share of the letters times its chance by the word
     scores alone. ``spans`` is an array of (lang, begin, end) in words, end exclusive.
     Null texts and texts without a letter are ``und`` with score 0 and no spans, as is
     everything where no language was learned. Only the text counts, so equal texts have
-    equal results; ties go to the language first by name.
+    equal results; ties go to the language first by name. Other columns are not read,
+    whatever their names; texts are labelled whole, and an empty table gives no rows.
     """
     span = T.StructType(
         [T.StructField("lang", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]
@@ -222,12 +253,13 @@ def identify_language(
     )
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def run(batches: Batches) -> Batches:
         fitted = sent.value
         names = np.array([*fitted.languages, UNDETERMINED], object)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.columns
-            words = [(t or "").lower().split() for t in texts.to_pylist()]
+            words = [words_of(t) for t in texts.to_pylist()]
             order = sorted(range(len(words)), key=lambda k: -len(words[k]))  # alike lengths step together
             pred, score = [UNDETERMINED] * len(words), [0.0] * len(words)
             spans: list[list[dict]] = [[] for _ in words]
