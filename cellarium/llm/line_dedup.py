@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe
+from .common import cut_lineage, null_safe
 
 KEY = ["_ld_first", "_ld_second"]
 WHO = ["_ld_id", "_ld_text"]
+COMMON_RUNS = 1000
+
+
+def shares(n: Column, each: int = 2000, most: int = 4096) -> Column:
+    """Over how many tasks the ``n`` occurrences of a run are dealt."""
+    return F.least(F.ceil(n / each), F.lit(most)).cast("int")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
@@ -26,7 +32,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * texts of fewer than ``window`` lines have no run and stay as they are.
     * a null id comes first in the order; rows with the same id and text count as
       one document: each of them keeps the same lines.
-    * an input column named like an added one is replaced.
+    * an input column named like an added one is replaced; texts count whole, however long,
+      and an empty table gives no rows.
     """
     lines = F.split(F.col(text_col), "\n", -1)
     named = docs.withColumns(
@@ -52,7 +59,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = (
         runs.groupBy(*KEY).agg(F.min(place).alias("_ld_kept"), F.count("*").alias("_ld_n")).where("_ld_n > 1")
     )
-    later = runs.join(repeated, KEY).where(~place.eqNullSafe(F.col("_ld_kept")))
+    repeated = cut_lineage(repeated)
+    # The commonest runs (a fixed number, so that they can be broadcast) are dealt over several
+    # tasks: their occurrences by document, their first place to each of them.
+    common = repeated.orderBy(F.desc("_ld_n"), *KEY).limit(COMMON_RUNS).select(*KEY, shares(F.col("_ld_n")).alias("_ld_of"))
+    common = common.where("_ld_of > 1")
+    salted = runs.join(F.broadcast(common), KEY, "left")
+    salt = F.pmod(F.xxhash64(*WHO), F.coalesce(F.col("_ld_of"), F.lit(1))).cast("int")
+    salted = salted.withColumn("_ld_salt", salt)
+    dealt = repeated.join(F.broadcast(common), KEY, "left").withColumn(
+        "_ld_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ld_of"), F.lit(1)) - 1))
+    )
+    later = salted.join(dealt.select(*KEY, "_ld_salt", "_ld_kept"), [*KEY, "_ld_salt"])
+    later = later.where(~place.eqNullSafe(F.col("_ld_kept")))
     covered = later.groupBy(*WHO).agg(F.sort_array(F.collect_set("_ld_at")).alias("_ld_starts"))
 
     starts = F.coalesce(F.col("_ld_starts"), F.expr("cast(array() as array<int>)"))
