@@ -34,14 +34,18 @@ def format_preferences(turns: DataFrame, trained_role: str = "assistant") -> Dat
     their end marks, not their headers.
 
     A side without turns has a null id and an empty completion, and the prompt is empty.
-    If one side is a prefix of the other its completion is empty. Rows with a null
-    ``pair_id`` form one pair. Repeated turns stay, in a row. A pair's turns meet in one
-    row, as its record does; there is no other limit.
+    If one side is a prefix of the other its completion is empty. Turns with a null
+    ``pair_id`` belong to no pair: each is a record of its own, however many there are.
+    Repeated turns stay, in a row, and ties in the order are turns that are equal. A pair's
+    turns meet in one row, as its record does, with texts of any length; there is no other
+    limit. Other columns are not read; an empty table gives no rows.
     """
+    lone = F.when(F.col("pair_id").isNull(), F.monotonically_increasing_id())
+    turns = turns.select("pair_id", "side", "conv_id", "turn", "role", "text", lone.alias("_lone"))
     content = F.struct("turn", "role", "text")
     side = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, content)))
     first = lambda k: F.min(F.when(F.col("side") == k, F.col("conv_id")))
-    pairs = turns.groupBy("pair_id").agg(
+    pairs = turns.groupBy("pair_id", "_lone").agg(
         first(0).alias("chosen_id"), first(1).alias("rejected_id"), side(0).alias("a"), side(1).alias("b")
     )
     said = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))
@@ -88,7 +92,7 @@ def format_preferences(turns: DataFrame, trained_role: str = "assistant") -> Dat
 
 def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     """Turns dealt to pairs: conversation 2k is the chosen, 2k + 1 the rejected side of
-    pair k. A conversation with a null id is the chosen side of the pair without id."""
+    pair k. Turns with a null id are chosen sides without a pair."""
     return conversations.select(
         F.floor(F.col("conv_id") / 2).alias("pair_id"),
         F.coalesce(F.pmod("conv_id", F.lit(2)).cast("int"), F.lit(0)).alias("side"),
