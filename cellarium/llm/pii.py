@@ -30,19 +30,21 @@ BASE_PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: High-recall generators of further candidates; their spans may overlap.
+#: High-recall generators of further candidates; their spans may overlap. Repeats have no
+#: upper end; only accounts have one, as their format has. A run of digits alone is a
+#: number, never a secret.
 GENERATORS = {
-    "mail": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]|(?<= )at(?= )) ?"
-    r"[a-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= )) ?[a-z0-9-]{1,63}+){1,6}+",
-    "number": r"(?<![0-9A-Za-z.+])(?<!\+[0-9]{1,3}[ -]\(?)\(?[0-9](?:[ ().-]{0,2}+[0-9]){6,40}+(?![0-9A-Za-z])",
+    "mail": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]|(?<= )at(?= )) ?"
+    r"[a-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= )) ?[a-z0-9-]++)++",
+    "number": r"(?<![0-9A-Za-z.+])(?<!\+[0-9]{1,3}[ -]\(?)\(?[0-9](?:[ ().-]{0,2}+[0-9]){6,}+(?![0-9A-Za-z])",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])",
     "secret": r"(?i)(?<![0-9a-z])(?:(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?\"?[^\s\"]{4,}+\"?"
-    r"|[a-z0-9_+/-]{16,}+)",
+    r"|(?![0-9]++(?![a-z_+/-]))[a-z0-9_+/-]{16,}+)",
 }
 GENERATOR_NAMES = list(GENERATORS)
 
 #: What every match of the mail generator holds, so that no candidate depends on the rest of the text.
-MAIL_GATE = r"(?i)@|\(at\)|\[at\]|[a-z0-9._%+-] at [a-z0-9-]{1,63}+ ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= ))"
+MAIL_GATE = r"(?i)@|\(at\)|\[at\]|[a-z0-9._%+-] at [a-z0-9-]++ ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= ))"
 
 #: Words before a candidate that speak for a kind, or against all.
 HINTS = {
@@ -51,11 +53,11 @@ HINTS = {
     "hint_card": r"(?i)(card|visa|credit|debit|pay)",
     "hint_id": r"(?i)(ssn|social|iban|account|passport|tax)",
     "hint_secret": r"(?i)(password|passwd|pwd|secret|token|key)",
-    "hint_other": r"(?i)(order|invoice|page|isbn|version|total|room|year|part no|serial|chapter|population|at noon)",
+    "hint_other": r"(?i)(order|invoice|page|isbn|version|total|room|year|part no|serial|chapter|population|at noon|ref |batch|model|lot )",
 }
 FEATURES = [
     "length", "digits", "letters", "upper", "spaces", "dots", "dashes", "brackets", "groups", "at", "wordy_at",
-    "luhn", "first_zero", "equals", "ssn", "phone_shape", "mixed", "generator", *HINTS,
+    "luhn", "first_zero", "equals", "ssn", "phone_shape", "mixed", "switches", "hex_run", "generator", *HINTS,
 ]
 CONTEXT = 28
 
@@ -194,6 +196,8 @@ def _features(m: Column, generator: int) -> list[Column]:
         "ssn": v.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$").cast("int"),
         "phone_shape": v.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$").cast("int"),
         "mixed": v.rlike("[0-9][A-Za-z]+[0-9]+[A-Za-z]").cast("int"),
+        "switches": _n("[0-9][A-Za-z]|[A-Za-z](?=[0-9])", v),
+        "hex_run": v.rlike("[0-9a-f]{16}").cast("int"),
         "generator": F.lit(generator),
         **{name: m["before"].rlike(hint).cast("int") for name, hint in HINTS.items()},
     }
@@ -217,47 +221,77 @@ def tree_margin(forest: gbdt.Forest, c: str, features: list[str] = FEATURES) ->
     return " + ".join([f"{forest.base:.17g}D", *(grow(int(root)) for root in forest.roots)])
 
 
-def _examples(seed: int = 7, copies: int = 80) -> list[dict]:
-    """Short made-up texts with one candidate each; real says whether it is personal."""
+def _examples(seed: int = 7, copies: int = 60) -> list[dict]:
+    """Short made-up texts with one candidate each: real says whether it is personal, form
+    is the number of the template."""
     r = random.Random(seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     h = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     u = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    b = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
     w = lambda: "".join(r.choice(["an", "ber", "to", "el", "mi", "ra", "sh", "en"]) for _ in range(r.randint(2, 4)))
     yes = [
         lambda: f"{r.choice(['contact', 'mail', w()])} {w()}.{w()} (at) {w()} (dot) com",
         lambda: f"{r.choice(['write to', w()])} {w()}[at]{w()}[dot]org",
         lambda: f"{w()} {w()}{d(2)}@{w()}.example.com",
+        lambda: f"{r.choice(['reach me', w()])} {w()}_{d(2)} [at] {w()} [dot] {w()} [dot] net",
         lambda: f"{r.choice(['call', 'phone', w()])} ({d(3)}) {d(3)}-{d(4)}",
         lambda: f"{r.choice(['tel', 'mobile', w()])} {d(3)}-{d(3)}-{d(4)}",
         lambda: f"{r.choice(['call', 'fax', 'tel'])} 0{d(3)} {d(7)}",
+        lambda: f"{r.choice(['ring', 'mobile', w()])} {d(3)}.{d(3)}.{d(4)}",
         lambda: f"{r.choice(['card', 'visa', 'credit card'])} {d(4)} {d(4)} {d(4)} {d(4)}",
+        lambda: f"{r.choice(['pay with', 'debit', 'card'])} {d(4)}-{d(4)}-{d(4)}-{d(4)}",
         lambda: f"{r.choice(['ssn', 'social security', w()])} {d(3)}-{d(2)}-{d(4)}",
+        lambda: f"{r.choice(['tax', 'my ssn is', w()])} {d(3)}-{d(2)}-{d(4)}",
         lambda: f"{r.choice(['iban', 'account', w()])} {r.choice(['DE', 'FR', 'ES'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)}",
+        lambda: f"{r.choice(['account', 'iban', w()])} {r.choice(['GB', 'NL'])}{d(2)}{u(4)}{d(12)}",
+        lambda: f"{r.choice(['iban', 'my account'])} {r.choice(['PL', 'PT', 'AT'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}",
+        lambda: f"{r.choice(['card', 'credit', 'visa'])} {d(16)}",
         lambda: f"{w()} {r.choice(['password', 'token', 'api_key', 'secret'])}{r.choice(['=', ': ', ' = '])}{h(18)}",
-        lambda: f'{w()} token = "{h(r.choice([32, 40]))}"',
+        lambda: f'{w()} {r.choice(["token", "secret"])} = "{h(r.choice([32, 40, 64, 400]))}"',
+        lambda: f"{w()} {r.choice(['pwd', 'password'])}: {b(r.randint(9, 24))}{d(2)}",
+        lambda: f'{w()} {r.choice(["password", "api_key"])} = "{b(r.randint(12, 20))}"',
         lambda: f"{w()} AKIA{u(16)}",
-        lambda: f"{r.choice(['key', 'token', w()])} {h(32)}",
+        lambda: f"{r.choice(['key id', w()])} {r.choice(['ASIA', 'AIZA'])}{u(r.choice([16, 31]))}",
+        lambda: f"{r.choice(['key', 'token', w()])} {h(r.choice([32, 64, 300]))}",
+        lambda: f"{r.choice(['key', w()])} {b(r.choice([24, 40, 88]))}{d(1)}",
+        lambda: f"{r.choice(['token', w()])} {r.choice(['sk', 'ghp', 'pat'])}_{b(r.randint(24, 40))}{d(1)}",
     ]
     no = [
         lambda: f"{w()} at {w()} dot {w()}",
         lambda: f"{w()} {r.choice(['at noon', 'meet'])} at {w()}. {w()}",
+        lambda: f"{w()} {w()} at {w()}. {w().title()} {w()}",
         lambda: f"{r.choice(['order', 'invoice', 'part no'])} {d(r.randint(7, 14))}",
+        lambda: f"{r.choice(['order', w(), 'serial'])} {d(r.randint(7, 19))}",
         lambda: f"{r.choice(['year', w(), 'version'])} {r.randint(1900, 2030)}-{d(2)}-{d(2)} {d(2)}",
+        lambda: f"{r.choice(['year', w()])} {d(2)}.{d(2)}.{r.randint(1900, 2030)}",
         lambda: f"{r.choice(['isbn', w()])} 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}",
         lambda: f"{r.choice(['total', 'population', w()])} {d(1)} {d(3)} {d(3)} {d(3)}",
         lambda: f"{w()} {d(2)}.{d(1)} {d(2)}.{d(1)} {d(2)}.{d(1)} {d(2)}.{d(1)}",
+        lambda: f"{r.choice(['total', w()])} {' '.join(d(r.randint(1, 4)) for _ in range(r.randint(5, 30)))}",
+        lambda: f"{w()} {d(r.randint(20, 80))}",
+        lambda: f"{w()} {r.choice(['', 'and '])}{d(16)} {w()}",
         lambda: f"{r.choice(['serial', 'order'])} {d(4)} {d(4)} {d(4)} {d(4)}",
         lambda: f"{r.choice(['version', 'chapter', w()])} {d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(1)}",
         lambda: f"{w()} {w()}{w()}{w()}{w()}{w()}{w()}",
         lambda: f"{w()} {w()}-{w()}-{w()}-{w()}-{w()}-{w()}",
+        lambda: f"{w()} {w()}/{w()}/{w()}/{w()}{d(1)}/{w()}",
         lambda: f"{w()} {w().upper()}{w().upper()}{w().upper()}{w().upper()}{w().upper()}",
         lambda: f"{w()} ref DA{d(2)} {u(4)} {u(4)} {u(4)}",
+        lambda: f"{r.choice(['batch', 'model'])} XK{d(2)}{u(12)}",
+        lambda: f"lot AB{d(2)} {d(4)} {d(4)} {d(4)}",
+        lambda: f"{r.choice(['model', 'ref'])} QT{d(2)}{d(4)}{d(4)}{d(4)}{d(4)}",
+        lambda: f"{r.choice(['order', 'invoice', 'batch'])} {d(4)}-{d(4)}-{d(4)}-{d(4)}",
+        lambda: f"{r.choice(['part no', 'model'])} {d(3)}-{d(2)}-{d(4)}",
         lambda: f"{w()} token: {w()}",
         lambda: f"{w()} secret: {w()}",
         lambda: f"{w()} {w()}_{w()}_{w()}_{w()}_{w()}",
+        lambda: f"{w()} {w()}_{w()}_{d(2)}_{w()}_{w()}",
+        lambda: f"{w()} {'=' * r.randint(2, 9)}{'-' * r.randint(16, 60)}",
+    ]
+    return [
+        {"text": make(), "real": float(k < len(yes)), "form": k} for _ in range(copies) for k, make in enumerate(yes + no)
     ]
-    return [{"text": make(), "real": float(k < len(yes))} for _ in range(copies) for k, make in enumerate(yes + no)]
 
 
 class PiiModel:
@@ -267,32 +301,37 @@ class PiiModel:
         self.forest, self.thresholds = forest, thresholds
 
 
-def train_pii(spark: SparkSession, precision: float = 0.98, trees: int = 16, depth: int = 3) -> PiiModel:
+def train_pii(spark: SparkSession, precision: float = 0.98, trees: int = 32, depth: int = 3, folds: int = 6) -> PiiModel:
     """Fit the trees on made-up examples (a fixed, small number) and calibrate.
 
-    Half of the examples grow the trees; on the other half each kind gets the lowest
-    threshold at which at least ``precision`` of what is reported is real. A kind
-    that never reaches it reports nothing.
+    The thresholds are set on margins from trees that never saw the example's form: the
+    templates are dealt to ``folds`` parts, and each part is judged by trees grown on the
+    others. Each kind gets the lowest threshold at which at least ``precision`` of what is
+    reported is real. A kind that never reaches it reports nothing.
     """
-    fields = "array<struct<text:string,real:double>>"
+    fields = "array<struct<text:string,real:double,form:int>>"
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(_examples())), fields)).alias("e"))
     rows = rows.select("e.*", F.explode(candidates(F.col("e.text"))).alias("c"))
-    rows = rows.select("text", "real", F.expr(f"{SPAN_KIND} AS kind"), *[F.col("c")[f].alias(f) for f in FEATURES])
+    rows = rows.select(
+        "text", "real", "form", F.expr(f"{SPAN_KIND} AS kind"), *[F.col("c")[f].alias(f) for f in FEATURES]
+    )
     got = [tuple(r) for r in rows.orderBy("text", "generator", *FEATURES).collect()]
-    x = np.array([g[3:] for g in got], float)
-    y = np.array([g[1] for g in got])
-    kind = np.array([g[2] for g in got])
-    half = np.arange(len(y)) % 2 == 0
-    forest = gbdt.fit(x[half], y[half], trees=trees, depth=depth, rate=0.3, least_rows=5)
-    margin, thresholds = forest.margin(x), []
+    x = np.array([g[4:] for g in got], float)
+    y, form, kind = (np.array([g[k] for g in got]) for k in (1, 2, 3))
+    grow = lambda rows: gbdt.fit(x[rows], y[rows], trees=trees, depth=depth, rate=0.3, least_rows=5)
+    margin = np.zeros(len(y))
+    for fold in range(folds):
+        mine = form % folds == fold
+        margin[mine] = grow(~mine).margin(x[mine])
+    thresholds = []
     for k in range(len(KINDS)):
-        m, real = margin[~half & (kind == k)], y[~half & (kind == k)]
+        m, real = margin[kind == k], y[kind == k]
         order = np.argsort(-m, kind="stable")
         kept = np.cumsum(real[order]) / np.arange(1, len(order) + 1) >= precision
         last = np.append(m[order][1:] < m[order][:-1], True) if len(order) else np.zeros(0, bool)  # ties go together
         good = np.flatnonzero(kept & last)
         thresholds.append(float(m[order][good[-1]]) if len(good) else float("inf"))
-    return PiiModel(forest, thresholds)
+    return PiiModel(grow(np.ones(len(y), bool)), thresholds)
 
 
 def added_spans(found: str, model: PiiModel) -> Column:
@@ -318,23 +357,39 @@ def _listed(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base_spans``, ``all_spans`` (arrays of start, kind_at, end),
-    ``n_<kind>`` of each base kind and ``spans``, all spans as kind:start:end.
-
-    Base spans always stay; the trees only add. Places are code points, ends are
-    exclusive. A null text counts as empty: no spans. Added columns replace input
-    columns of the same names; rows are independent, so repeats get equal results.
+    ``n_<kind>`` of each base kind, ``n_added``, ``n_spans`` and ``spans``, all spans as
+    kind:start:end.
+
+    Base spans always stay; the trees only add. An added span that lies inside another
+    span is left out, whatever the kinds. Places are code points, ends are exclusive. A
+    null text counts as empty: no spans; texts are searched whole, however long. Added
+    columns replace input columns of the same names; rows are independent, so repeats get
+    equal results and an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.withColumns({"base_spans": base_spans(text), "_pii_found": candidates(text)})
     found = found.withColumn("_pii_added", added_spans("_pii_found", model))
-    merged = F.array_sort(F.concat("base_spans", "_pii_added"))
-    found = found.withColumn("_pii_all", merged)
-    found = found.withColumn(
-        "all_spans", F.filter("_pii_all", lambda s, i: (i == 0) | ~s.eqNullSafe(F.get(F.col("_pii_all"), i - 1)))
+    # In order of start, the longer first, base spans before added ones of the same place.
+    ranked = lambda column, added: F.transform(
+        column,
+        lambda s: F.struct(
+            s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(added).alias("added"), s["kind_at"].alias("kind_at")
+        ),
     )
+    merged = F.array_sort(F.concat(ranked("base_spans", 0), ranked("_pii_added", 1)))
+    found = found.withColumn("_pii_all", F.when(F.size("_pii_added") > 0, merged))
+    reach = running(F.transform("_pii_all", lambda s: -s["back"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    found = found.withColumn("_pii_reach", F.when(F.size("_pii_all") > 0, reach))
+    before = lambda i: F.coalesce(F.get(F.col("_pii_reach"), i - 1), F.lit(0))
+    kept = F.filter("_pii_all", lambda s, i: (s["added"] == 0) | (-s["back"] > before(i)))
+    kept = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind_at"].alias("kind_at"), (-s["back"]).alias("end")))
+    found = found.withColumn("all_spans", F.coalesce(F.array_sort(kept), F.col("base_spans")))
     count = lambda at: F.size(F.filter("base_spans", lambda s: s["kind_at"] == at)).cast("long")
     counts = {f"n_{kind}": count(at) for at, kind in enumerate(BASE_KINDS)}
-    return found.withColumns(counts | {"spans": _listed(F.col("all_spans"))}).drop("_pii_found", "_pii_added", "_pii_all")
+    counts["n_spans"] = F.size("all_spans").cast("long")
+    counts["n_added"] = (F.size("all_spans") - F.size("base_spans")).cast("long")
+    dropped = ("_pii_found", "_pii_added", "_pii_all", "_pii_reach")
+    return found.withColumns(counts | {"spans": _listed(F.col("all_spans"))}).drop(*dropped)
 
 
 def base_digest(spans: str = "base_spans") -> Column:

@@ -37,7 +37,7 @@ def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(documents(spark, sf_dir).select("doc_id", "text"), train_pii(spark))
-    return found.select("doc_id", *[f"n_{k}" for k in BASE_KINDS], base_digest().alias("base_sha256"), "spans")
+    return found.select("doc_id", *[f"n_{k}" for k in BASE_KINDS], base_digest().alias("base_sha256"), "spans", "n_added", "n_spans")
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

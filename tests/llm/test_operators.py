@@ -500,14 +500,14 @@ def test_remembered_words_are_bounded_in_bytes():
     asked = []
 
     def encode(ws):
-        asked.extend(ws)
-        return [np.array([len(w), 7], "<u4").tobytes() for w in ws]
+        asked.extend(ws.to_pylist())
+        return words.packed([np.array([len(w), 7], "<u4").tobytes() for w in ws.to_pylist()])
 
     ids = words.WordIds(encode, most_bytes=4000, longest=8)
     rng = random.Random(3)
     for _ in range(200):
         batch = [f"w{rng.randint(0, 400)}" for _ in range(40)] + ["long " * 1000]
-        got, counts = ids(pa.array(batch))
+        got, counts = ids.find(pa.array(batch)).of(0, len(batch))
         assert got.tolist() == [v for w in batch for v in (len(w), 7)] and set(counts) == {2}
         assert ids.bytes <= 4000 + 200
     assert 200 < len(asked) < 200 * 41
