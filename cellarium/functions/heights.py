@@ -14,17 +14,22 @@ MOST_HEIGHT, MOST_LEVELS = 9999, 500
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def number(text: Column) -> Column:
     """A plain decimal number, else null; an underscore between digits is ignored. Spellings
     that only some engines take for numbers, like a trailing letter d, are not numbers."""
-    plain = F.regexp_replace(F.trim(text), "(?<=[0-9])_(?=[0-9])", "")
+    plain = F.regexp_replace(stripped(text), "(?<=[0-9])_(?=[0-9])", "")
     return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
 
 
 def parse_height_m(tag: str | Column) -> Column:
     """Metres from a height tag: the first of a list, in feet or metres; null if there is
     no number above 0 and below 9999. Feet are rounded to centimetres."""
-    first = F.trim(F.split(F.trim(tag), ";")[0])
+    first = stripped(F.split(stripped(F.col(tag) if isinstance(tag, str) else tag), ";")[0])
     feet = first.rlike(r"(?i)(ft|feet|foot)\s*$")
     value = number(F.regexp_replace(first, r"(?i)\s*(ft|feet|foot|m|meters?|metres?)\s*$", ""))
     value = F.when(feet, value * METRES_PER_FOOT).otherwise(value)

@@ -151,6 +151,75 @@ def named(df: DataFrame, res: int) -> DataFrame:
     return df.withColumn("cell", F.explode(F.array(name))).drop("_c0", "_c1", "_c2", "_dots", "_home", "_hq", "_hs")
 
 
+# The same for constants of a query, whose cells are few: on the driver.
+
+
+def _points(lat, lon) -> np.ndarray:
+    phi, theta = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(phi) * np.cos(theta), np.cos(phi) * np.sin(theta), np.sin(phi)], axis=-1)
+
+
+def _places(p: np.ndarray, face: np.ndarray, res: int) -> np.ndarray:
+    away = (CENTRES[face] * p).sum(axis=-1)
+    x, y = ((rows[face] * p).sum(axis=-1) / away * _scale(res) for rows in (AXES, LEFTS))
+    if res % 2:
+        x, y = x * math.cos(TURN) + y * math.sin(TURN), y * math.cos(TURN) - x * math.sin(TURN)
+    s = y * (2 / math.sqrt(3))
+    return np.stack([x - s / 2, s], axis=-1)
+
+
+def _nearest(place: np.ndarray) -> np.ndarray:
+    whole = np.append(place, -place.sum(axis=-1, keepdims=True), axis=-1)
+    near = np.round(whole)
+    worst = np.abs(near - whole).argmax(axis=-1)[..., None]
+    others = near.sum(axis=-1, keepdims=True) - np.take_along_axis(near, worst, axis=-1)
+    np.put_along_axis(near, worst, -others, axis=-1)
+    return near[..., :2].astype(np.int64)
+
+
+def _middles(face: np.ndarray, cell: np.ndarray, res: int) -> np.ndarray:
+    q, s = cell[..., 0], cell[..., 1]
+    x, y = q + s * 0.5, s * (math.sqrt(3) / 2)
+    if res % 2:
+        x, y = x * math.cos(TURN) - y * math.sin(TURN), x * math.sin(TURN) + y * math.cos(TURN)
+    x, y = (v[..., None] / _scale(res) for v in (x, y))
+    return CENTRES[face] + x * AXES[face] + y * LEFTS[face]
+
+
+def _names(face: np.ndarray, cell: np.ndarray, res: int) -> list[str]:
+    middle = _middles(face, cell, res)
+    home = (middle @ CENTRES.T).argmax(axis=-1)
+    return [f"hex{res}/{f}/{q}/{s}" for f, (q, s) in zip(home.tolist(), _nearest(_places(middle, home, res)).tolist(), strict=True)]
+
+
+def _around(lat: float, lon: float, res: int) -> tuple[np.ndarray, np.ndarray]:
+    p = _points(lat, lon)
+    face = (p @ CENTRES.T).argmax()
+    return face, _nearest(_places(p, face, res))
+
+
+def disk_names(lat: float, lon: float, res: int, k: int) -> list[str]:
+    """The cells up to k steps from a constant place's cell."""
+    face, own = _around(lat, lon, res)
+    steps = np.array([(a, b) for a in range(-k, k + 1) for b in range(-k, k + 1) if abs(a + b) <= k])
+    return _names(np.full(len(steps), face), own + steps, res)
+
+
+def box_names(box: tuple[float, float, float, float], res: int) -> list[str]:
+    """The cells whose middle lies in a constant box (west, south, east, north), or the cell of
+    the box's middle if there is none."""
+    west, south, east, north = box
+    face, own = _around((south + north) / 2, (west + east) / 2, res)
+    corners = _places(_points(np.array([south, north, south, north]), np.array([west, west, east, east])), face, res)
+    (q0, s0), (q1, s1) = np.floor(corners.min(axis=0)).astype(int) - 1, np.floor(corners.max(axis=0)).astype(int) + 2
+    cells = np.stack(np.meshgrid(np.arange(q0, q1 + 1), np.arange(s0, s1 + 1), indexing="ij"), axis=-1).reshape(-1, 2)
+    p = _middles(np.full(len(cells), face), cells, res)
+    lat, lon = np.degrees(np.arctan2(p[:, 2], np.hypot(p[:, 0], p[:, 1]))), np.degrees(np.arctan2(p[:, 1], p[:, 0]))
+    inside = cells[(lon >= west) & (lon <= east) & (lat >= south) & (lat <= north)]
+    inside = inside if len(inside) else own[None]
+    return _names(np.full(len(inside), face), inside, res)
+
+
 def disk_steps(radius_m: float, res: int) -> int:
     """How many rings a disk needs for a radius; it covers more than the circle."""
     return max(1, math.ceil(radius_m / EDGE_M.get(res, OTHER_EDGE_M)))

@@ -6,6 +6,7 @@ and metres. A null input gives a null key.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,6 +42,17 @@ def tile_y(lat, z) -> Column:
     return F.floor(_power(z) * (1 - F.ln(F.tan(phi) + 1 / F.cos(phi)) / F.pi()) / 2)
 
 
+def tile_at(lon: float, lat: float, z: int) -> tuple[int, int]:
+    """The tile of a constant place, for the constants of a plan."""
+    phi = math.radians(lat)
+    y = 2.0**z * (1 - math.log(math.tan(phi) + 1 / math.cos(phi)) / math.pi) / 2
+    return math.floor(2.0**z * ((lon + 180) / 360)), math.floor(y)
+
+
+def level_at(height: float, z: int) -> int:
+    return math.floor(max(0.0, height) * 2.0**z / 2.0**VERTICAL_EXPONENT)
+
+
 def level(height, z) -> Column:
     """Vertical cell of a height at zoom z; heights below 0 count as 0."""
     return F.floor(F.greatest(F.lit(0.0), _col(height)) * _power(z) / float(2**VERTICAL_EXPONENT))
@@ -78,6 +90,16 @@ def morton2d(x, y) -> Column:
     return _spread(low(x), SPREAD_2).bitwiseOR(F.shiftleft(_spread(low(y), SPREAD_2), 1))
 
 
+def morton2d_at(x: int, y: int) -> int:
+    spread = lambda v: reduce(lambda a, s: (a | a << s[0]) & s[1], SPREAD_2, v & 0xFFFFFFFF)
+    return spread(x) | spread(y) << 1
+
+
+def morton3d_at(x: int, y: int, h: int) -> int:
+    spread = lambda v: reduce(lambda a, s: (a | a << s[0]) & s[1], SPREAD_3, min(max(v, 0), 2**MORTON3D_BITS - 1))
+    return spread(x) | spread(y) << 1 | spread(h) << 2
+
+
 def morton2d_xy(key) -> tuple[Column, Column]:
     return _compact(_col(key)), _compact(F.shiftright(_col(key), 1))
 
@@ -131,6 +153,15 @@ def geohash_ij(lat, lon, precision: int) -> tuple[Column, Column]:
     return place(_col(lon), -180.0, 360.0, nx), place(_col(lat), -90.0, 180.0, ny)
 
 
+def text_of(key: int, base: int, digits: int) -> str:
+    """A constant key as text, as quadkeys (base 4) and geohashes (base 32) write it."""
+    out = ""
+    for _ in range(digits):
+        key, d = divmod(key, base)
+        out = GEOHASH_DIGITS[d] + out
+    return out
+
+
 def geohash_of_ij(i, j, precision: int) -> Column:
     nx, ny = geohash_bits(precision)
     # Longitude has the first bit: of an even number of bits it lies on odd places, else on even ones.

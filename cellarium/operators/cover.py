@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hexgrid, keys
+from . import ranges
 
 #: A box over more tiles, or of more cells in all, gets no cells.
 XY_CAP, CELL_CAP = 200, 1000
@@ -235,6 +238,42 @@ def box_ranges(scheme: str, r: int) -> tuple[Column, Column, Column, Column]:
     return F.least(x0, x1), F.greatest(x0, x1), F.least(y0, y1), F.greatest(y0, y1)
 
 
+def box_ranges_at(scheme: str, r: int, box: tuple[float, float, float, float]) -> tuple[int, int, int, int]:
+    """The same for a constant box (west, south, east, north): i0, i1, j0, j1."""
+    west, south, east, north = box
+    if scheme == "geohash":
+        nx, ny = keys.geohash_bits(r)
+        u = lambda v: (v + 180) / 360.0 * float(2**nx)
+        v = lambda v: (v + 90) / 180.0 * float(2**ny)
+        clamp = lambda c, n: min(max(c, 0), 2**n - 1)
+        return (
+            clamp(math.ceil(u(west)) - 1, nx), clamp(math.floor(u(east)), nx),
+            clamp(math.ceil(v(south)) - 1, ny), clamp(math.floor(v(north)), ny),
+        )
+    edge = 1e-11 if scheme == "quadkey" else 0.0
+    (x0, y0), (x1, y1) = keys.tile_at(west, north, r), keys.tile_at(east - edge, south + edge, r)
+    if scheme == "quadkey":
+        x0, x1, y0, y1 = (min(max(c, 0), 2**r - 1) for c in (x0, x1, y0, y1))
+    return min(x0, x1), max(x0, x1), min(y0, y1), max(y0, y1)
+
+
+def constant_cells(spark: SparkSession, scheme: str, r: int, box: tuple[float, float, float, float]) -> tuple[DataFrame, int, list]:
+    """The cells over a constant box, how many they are, and a few key ranges that hold them all."""
+    i0, i1, j0, j1 = box_ranges_at(scheme, r, box)
+    n = (i1 - i0 + 1) * (j1 - j0 + 1)
+    # Generated columns, not formulas, so that the keys' expressions stay small.
+    df = spark.range(1).select(F.explode(F.sequence(F.lit(i0).cast("long"), F.lit(i1).cast("long"))).alias("i"))
+    df = df.withColumn("j", F.explode(F.sequence(F.lit(j0).cast("long"), F.lit(j1).cast("long")))).withColumn("resolution", F.lit(r))
+    if scheme == "geohash" and r % 2 == 0:  # its first bit is of the other axis then
+        near = ranges.coarse_ranges(j0, j1, i0, i1)
+    else:
+        near = ranges.coarse_ranges(i0, i1, j0, j1)
+    if scheme != "morton2d":
+        base = 32 if scheme == "geohash" else 4
+        near = [(keys.text_of(lo, base, r), keys.text_of(hi, base, r)) for lo, hi in near]
+    return df.select("resolution", *lattice_key(scheme)), n, near
+
+
 def box_cells(boxes: DataFrame, scheme: str, resolutions: list[int], id_col: str = "osm_id") -> DataFrame:
     """A row for each box, resolution and covering cell."""
     if scheme == "hex":
@@ -280,12 +319,14 @@ def _hex_box_cells(boxes: DataFrame, r: int, id_col: str) -> DataFrame:
     own = (F.col("q") == F.col("mq")) & (F.col("s") == F.col("ms"))
     # Only cells inside and the middle one can count, so what is grouped is the cover itself.
     near = df.where(inside | own).withColumn("inside", inside)
-    kept = near.groupBy(id_col, "face").agg(
-        F.collect_list(F.when(F.col("inside"), F.struct("q", "s"))).alias("cells"), F.first(F.struct("mq", "ms")).alias("m")
+    # A box keeps its cells inside, or else its middle; of each box only a flag is gathered,
+    # told apart by its bounds, as ids may repeat.
+    box = [id_col, "xmin", "ymin", "xmax", "ymax"]
+    empty = near.groupBy(*box).agg(F.bool_or("inside").alias("any")).where(~F.col("any"))
+    alone = near.where(~F.col("inside")).alias("n").join(empty.alias("e"), [F.col(f"n.{c}").eqNullSafe(F.col(f"e.{c}")) for c in box])
+    kept = near.where("inside").select(id_col, "face", "q", "s").unionByName(
+        alone.select(F.col(f"n.{id_col}"), "face", "q", "s")
     )
-    middle = F.array(F.struct(F.col("m.mq").alias("q"), F.col("m.ms").alias("s")))
-    cells = F.when(F.size("cells") > 0, F.col("cells")).otherwise(middle)
-    kept = kept.select(id_col, "face", F.explode(cells).alias("c")).select(id_col, "face", "c.q", "c.s")
     return hexgrid.named(kept, r).select(id_col, F.lit(r).alias("resolution"), "cell")
 
 

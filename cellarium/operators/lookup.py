@@ -12,14 +12,14 @@ BROADCAST_CELLS = 250_000
 
 
 def by_cells(table: DataFrame, cells: DataFrame, n_cells: int) -> DataFrame:
-    """resolution and osm_id, once each, of rows whose cell is among ``cells``."""
+    """resolution and osm_id of rows whose cell is among ``cells``."""
     wanted = cells.select("resolution", "cell")
     wanted = F.broadcast(wanted) if n_cells <= BROADCAST_CELLS else wanted
-    return table.join(wanted, ["resolution", "cell"], "left_semi").select("resolution", "osm_id").distinct()
+    return table.join(wanted, ["resolution", "cell"], "left_semi").select("resolution", "osm_id")
 
 
 def points_in_box(points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Point boxes that lie in the box; pushed down as comparisons."""
+    """Point boxes that lie in the box; on stored boxes the comparisons are pushed down."""
     west, south, east, north = box
     return points.where(
         (F.col("xmin") >= west) & (F.col("xmax") <= east) & (F.col("ymin") >= south) & (F.col("ymax") <= north)
@@ -32,36 +32,33 @@ def boxes_meeting(boxes: DataFrame, box: tuple[float, float, float, float]) -> D
     return boxes.where(~apart).select("osm_id")
 
 
-def in_cell_boxes(occupancy: DataFrame, cases: list[dict], same: list[str], within: dict[str, tuple[str, str]]) -> DataFrame:
-    """Rows joined with the cases whose box holds them.
+def in_cell_boxes(stored: DataFrame, cases: list[dict], part: str, within: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows with the ``case`` whose box holds them, once a case.
 
-    ``cases`` are a few dicts of constants; ``same`` columns must be equal, ``within``
-    columns lie between two fields. The least and greatest of all cases go to the scan as
-    plain comparisons.
+    ``cases`` are a few dicts of constants; the column ``part`` must be equal, ``within``
+    columns lie between two fields. Each value of ``part`` is one scan, to which the least
+    and greatest bounds of its cases go as plain comparisons; which cases a row is in is an
+    expression, so that there is no join.
     """
-    spark = occupancy.sparkSession
-    outer = [occupancy[s].isin(sorted({c[s] for c in cases})) for s in same]
-    outer += [
-        occupancy[c].between(min(k[lo] for k in cases), max(k[hi] for k in cases)) for c, (lo, hi) in within.items()
-    ]
-    table = spark.createDataFrame(cases)  # constants of the query
-    fits = [occupancy[s] == table[s] for s in same]
-    fits += [occupancy[c].between(table[lo], table[hi]) for c, (lo, hi) in within.items()]
-    both = lambda a, b: a & b
-    kept = occupancy.where(reduce(both, outer))
-    return kept.join(F.broadcast(table), reduce(both, fits)).drop(*[table[s] for s in same])
-
-
-def candidates(hits: DataFrame, by: list[str], cases: DataFrame | None = None) -> DataFrame:
+    out = None
+    for value in sorted({c[part] for c in cases}):
+        own = [c for c in cases if c[part] == value]
+        bounds = [F.col(c).between(min(k[lo] for k in own), max(k[hi] for k in own)) for c, (lo, hi) in within.items()]
+        both = lambda a, b: a & b
+        fits = lambda k: reduce(both, (F.col(c).between(k[lo], k[hi]) for c, (lo, hi) in within.items()))  # noqa: E731, B023
+        found = F.array_compact(F.array(*[F.when(fits(k), F.lit(k["case"])) for k in own]))
+        rows = stored.where(reduce(both, [F.col(part) == value, *bounds])).select("*", F.explode(found).alias("case"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def candidates(hits: DataFrame, names: list[str]) -> DataFrame:
     """Cells and distinct buildings of each case; cases without any count 0."""
-    counted = hits.groupBy(*by).agg(
-        F.count("*").alias("candidate_cells"), F.count_distinct("osm_id").alias("candidate_buildings")
+    none = hits.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(n) for n in names])).alias("case"), F.lit(None).cast(hits.schema["osm_id"].dataType).alias("osm_id")
     )
-    if cases is None:
-        return counted
-    full = cases.select(*by).distinct().join(counted, by, "left")
-    return full.select(
-        *by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("candidate_cells", "candidate_buildings")]
+    return hits.select("case", "osm_id").unionByName(none).groupBy("case").agg(
+        F.count("osm_id").alias("candidate_cells"), F.count_distinct("osm_id").alias("candidate_buildings")
     )
 
 

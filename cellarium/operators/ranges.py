@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -21,6 +24,62 @@ def key_ranges(cells: DataFrame, gap: int, case: list[str], key: str = "key") ->
     return runs.groupBy(*case, "run").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).drop("run")
 
 
+def merged(found: Iterable[int], gap: int = 1) -> list[tuple[int, int]]:
+    """The same for the keys of one query box, which are constants of a plan."""
+    out: list[tuple[int, int]] = []
+    for key in sorted(set(found)):
+        if out and key - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], key)
+        else:
+            out.append((key, key))
+    return out
+
+
+def merged_ranges(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that may overlap as ones that don't."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def constants(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    """A few constant rows as a table that is part of the plan."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")))
+
+
+def coarse_ranges(x0: int, x1: int, y0: int, y1: int, most: int = 16) -> list[tuple[int, int]]:
+    """At most ``most`` ranges of Morton keys that hold all of a box's: those of the coarser
+    tiles over it. They are few enough to be pushed to a scan; what they let in besides is
+    for the join after it."""
+    k = 0
+    while ((x1 >> k) - (x0 >> k) + 1) * ((y1 >> k) - (y0 >> k) + 1) > most:
+        k += 1
+    tiles = [keys.morton2d_at(x, y) for x in range(x0 >> k, (x1 >> k) + 1) for y in range(y0 >> k, (y1 >> k) + 1)]
+    return [(lo << 2 * k, (hi + 1 << 2 * k) - 1) for lo, hi in merged(tiles)]
+
+
+def outer(found: list[tuple[int, int]], most: int = 16) -> list[tuple[int, int]]:
+    """The ranges, with the narrowest gaps closed until there are ``most``."""
+    gaps = sorted(range(1, len(found)), key=lambda k: found[k - 1][1] - found[k][0])[: most - 1]
+    edges = [0, *sorted(gaps), len(found)]
+    return [(found[a][0], found[b - 1][1]) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
+def within(key: str, found: list[tuple]) -> Column:
+    """Whether a column lies in one of a few constant ranges."""
+    out = F.lit(False)
+    for k, (lo, hi) in enumerate(found):
+        one = F.col(key).between(lo, hi)
+        out = out | one if k else one
+    return out
+
+
 def box_keys_2d(boxes: DataFrame, z: int) -> DataFrame:
     """Keys of all tiles of query boxes (case, xmin .. ymax)."""
     from .cover import box_cells
@@ -42,16 +101,17 @@ def box_keys_3d(boxes: DataFrame, xy_z: int, origin: tuple[int, int]) -> DataFra
     )
 
 
-def in_ranges(table: DataFrame, ranges: DataFrame, key: str, on: list[str], shift: int = 8) -> DataFrame:
+def in_ranges(table: DataFrame, ranges: DataFrame, key: str, on: list[str], shift: int = 8, few: bool = False) -> DataFrame:
     """Inner join of rows with the ranges that hold their key, by an equi-join.
 
     A range is dealt to the blocks of 2^shift keys that it meets; rows join by block and
     are then compared. Ranges of a case don't overlap, so a row comes once a case. The
-    ranges of a box grow with its outline, not with the table.
+    ranges of a box grow with its outline, not with the table; where they are ``few``
+    constants they are broadcast.
     """
     blocks = ranges.withColumn(
         "_block", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift)))
     )
     placed = table.withColumn("_block", F.shiftright(F.col(key), shift))
-    joined = placed.join(blocks, [*on, "_block"])
+    joined = placed.join(F.broadcast(blocks) if few else blocks, [*on, "_block"])
     return joined.where(F.col(key).between(F.col("lo"), F.col("hi"))).drop("_block", "lo", "hi")

@@ -12,7 +12,8 @@ SELECT event_id AS osm_id,
 FROM {events}
 """
 
-#: Every 500th building is over a cap; tags take in turn what the height model must parse.
+#: Every 500th building is over a cap; tags take in turn what the height model must parse,
+#: now and then with white space around.
 BUILDINGS_SQL = """
 SELECT osm_id, xmin, ymin, xmin + w AS xmax, ymin + h AS ymax,
        height, building_levels, min_height, building_min_level
@@ -23,11 +24,12 @@ FROM (SELECT o_orderkey AS osm_id,
        ELSE (20+(o_orderkey%13)*10)/CAST(1000000 AS DOUBLE) END AS w,
   CASE WHEN o_orderkey%500=0 THEN CAST(0.02 AS DOUBLE)
        ELSE (20+(o_orderkey%17)*10)/CAST(1000000 AS DOUBLE) END AS h,
-  CASE o_orderkey%12 WHEN 0 THEN '12' WHEN 1 THEN '12 m' WHEN 2 THEN '12.5' WHEN 3 THEN '30 ft'
+  CASE WHEN o_orderkey%120=0 THEN '12' || chr(9) WHEN o_orderkey%120=60 THEN chr(10) || '12 m ' || chr(13)
+    ELSE CASE o_orderkey%12 WHEN 0 THEN '12' WHEN 1 THEN '12 m' WHEN 2 THEN '12.5' WHEN 3 THEN '30 ft'
     WHEN 4 THEN '10;12' WHEN 5 THEN 'unknown' WHEN 7 THEN ' 45 Metres ' WHEN 8 THEN '100 feet'
-    WHEN 9 THEN '-3' WHEN 10 THEN '9999' WHEN 11 THEN '12d' END AS height,
-  CASE o_orderkey%7 WHEN 0 THEN '5' WHEN 1 THEN '0' WHEN 2 THEN '2.5' WHEN 4 THEN 'abc'
-    WHEN 5 THEN '12' WHEN 6 THEN '600' END AS building_levels,
+    WHEN 9 THEN '-3' WHEN 10 THEN '9999' WHEN 11 THEN '12d' END END AS height,
+  CASE WHEN o_orderkey%70=0 THEN chr(9) || '5' || chr(10) ELSE CASE o_orderkey%7 WHEN 0 THEN '5' WHEN 1 THEN '0' WHEN 2 THEN '2.5' WHEN 4 THEN 'abc'
+    WHEN 5 THEN '12' WHEN 6 THEN '600' END END AS building_levels,
   CASE WHEN o_orderkey%11=0 THEN '20' END AS min_height,
   CASE WHEN o_orderkey%13=0 THEN '3' END AS building_min_level
  FROM {orders}) q

@@ -59,12 +59,16 @@ def geohash_j(lat: str, p: int) -> str:
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def stripped(text: str) -> str:
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
 def number(text: str) -> str:
-    return f"CASE WHEN regexp_matches(trim({text}), '{NUMBER}') THEN try_cast(trim({text}) AS DOUBLE) END"
+    return f"CASE WHEN regexp_matches({stripped(text)}, '{NUMBER}') THEN try_cast({stripped(text)} AS DOUBLE) END"
 
 
 def height(tag: str) -> str:
-    first = f"trim(string_split(trim({tag}), ';')[1])"
+    first = stripped(f"string_split({stripped(tag)}, ';')[1]")
     feet = f"regexp_matches({first}, '(?i)(ft|feet|foot)$')"
     value = number(f"regexp_replace({first}, '(?i)[ ]*(ft|feet|foot|m|meters?|metres?)$', '')")
     metres = f"(CASE WHEN {feet} THEN ({value}) * 0.3048::DOUBLE ELSE {value} END)"

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import heights, hexgrid, keys
-from ..operators import cover, lookup, ranges, route
+from ..operators import cover, lookup, ranges, report, route
 from ..sources import files
 from . import fixtures as fx
+from . import hexsql
 from . import oracle as sql
+from .layouts import obstacles, occupancy, origin_of, stored, stored_origin
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,19 +30,6 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-def obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = heights.estimate_heights(fx.buildings(spark, sf_dir))
-    return df.select(
-        "osm_id", "xmin", "ymin", "xmax", "ymax", "max_height_m", "min_height_m", "height_source", "levels", "min_level"
-    )
-
-
-def origin_of(df: DataFrame) -> tuple[int, int]:
-    """Two numbers of one aggregate row; they become constants of the plan."""
-    row = cover.morton_origin(df, Z).first()
-    return row["x_origin"], row["y_origin"]
-
-
 # Keys
 
 
@@ -101,7 +92,7 @@ def morton_origin(spark, sf_dir):
 )
 def morton3d_keys(spark, sf_dir):
     df = obstacles(spark, sf_dir)
-    ox, oy = origin_of(df)
+    ox, oy = origin_of(spark, sf_dir)
     df = df.select(
         "osm_id", (keys.tile_x("xmin", Z) - ox).alias("local_x"), (keys.tile_y("ymin", Z) - oy).alias("local_y"),
         keys.height_bin("max_height_m", 4).alias("hbin"),
@@ -241,15 +232,6 @@ def _occupancy_sql(scheme: str) -> str:
       {sql.morton3('(x - x_origin)', '(y - y_origin)', 'h')} AS key_u64, true AS blocked, x_origin, y_origin FROM cells, o"""
 
 
-def occupancy(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
-    df = obstacles(spark, sf_dir)
-    if scheme == "zfxy":
-        return cover.occupancy_zfxy(df, fx.ZFXY_ZOOMS)
-    if scheme == "zxy_heightbin":
-        return cover.occupancy_bins(df, Z, fx.BINS_M)
-    return cover.occupancy_morton3d(df, Z, fx.BINS_M, origin_of(df))
-
-
 SCHEMES = ["zfxy", "zxy_heightbin", "morton3d"]
 
 
@@ -314,7 +296,14 @@ def _viewport_sql(scheme: str, kind: str, side: float) -> str:
         return f"""{head} SELECT b.osm_id FROM buildings b, box v
           WHERE NOT (b.xmax < v.xmin OR b.xmin > v.xmax OR b.ymax < v.ymin OR b.ymin > v.ymax)"""
     found = []
+    if scheme == "hex":
+        head = f"{head}, {hexsql.FACES}"
     for r in fx.RESOLUTIONS[scheme]:
+        if scheme == "hex":
+            table = hexsql.point_cells("points", r) if kind == "points" else hexsql.box_cells("buildings", r)
+            cells = hexsql.box_cells("box", r, '"case"')
+            found.append(f"SELECT DISTINCT {r} AS resolution, osm_id FROM ({table}) t WHERE cell IN (SELECT cell FROM ({cells}) c)")
+            continue
         table = point_key_sql(scheme, r) if kind == "points" else box_key_sql(scheme, r)
         cells = box_key_sql(scheme, r, "box", '"case"')
         if scheme == "morton2d":
@@ -327,40 +316,43 @@ def _viewport_sql(scheme: str, kind: str, side: float) -> str:
     return f"{head} {_union(found)}"
 
 
-def cover_size(scheme: str, r: int, side: float) -> int:
-    """About how many cells cover a viewport, from their size; it decides on a broadcast."""
-    if scheme == "geohash":
-        nx, ny = keys.geohash_bits(r)
-        return int((side * 2**nx / 360 + 2) * (side * 2**ny / 180 + 2))
+def cell_hits(spark, sf_dir, scheme: str, kind: str, side: float, r: int) -> DataFrame:
+    """resolution and osm_id of the stored cells over the viewport: one scan of a folder, with
+    ranges that hold the cover pushed down."""
+    table = stored(spark, sf_dir, f"cells_{scheme}_{kind}").where(F.col("resolution") == r)
+    if scheme == "morton2d":
+        found = viewport_ranges(r, side)
+        table = table.where(ranges.within("cell", ranges.outer(found)))
+        near = ranges.constants(spark, found, "lo long, hi long")
+        hits = ranges.in_ranges(table, near, "cell", [], few=len(found) <= lookup.BROADCAST_CELLS)
+        return hits.select("resolution", "osm_id")
     if scheme == "hex":
-        return int((side * 111_000) ** 2 / (2.6 * hexgrid.EDGE_M[r] ** 2)) + 10
-    return int((side * 2**r / 360 + 2) * (side * 2**r / 360 * 1.3 + 2))
+        names = hexgrid.box_names(fx.viewport(side), r)
+        cells, n = ranges.constants(spark, [(r, c) for c in names], "resolution int, cell string"), len(names)
+        near = [(min(names), max(names))]
+    else:
+        cells, n, near = cover.constant_cells(spark, scheme, r, fx.viewport(side))
+    return lookup.by_cells(table.where(ranges.within("cell", near)), cells, n)
 
 
 def viewport_by_cells(spark, sf_dir, scheme: str, kind: str, side: float) -> DataFrame:
-    rs = fx.RESOLUTIONS[scheme]
-    if kind == "points":
-        table = cover.point_cells(fx.points(spark, sf_dir), scheme, rs)
-    else:
-        table = cover.box_cells(fx.buildings(spark, sf_dir), scheme, rs)
-    box = box_frame(spark, side)
-    if scheme == "morton2d":
-        near = ranges.key_ranges(ranges.box_keys_2d(box, rs[0]), 4, ["case"])
-        hits = ranges.in_ranges(table.withColumn("case", F.lit("box")), near, "cell", ["case"])
-        return hits.select("resolution", "osm_id").distinct()
-    cells = cover.box_cells(box, scheme, rs, "case")
-    return lookup.by_cells(table, cells, sum(cover_size(scheme, r, side) for r in rs))
+    """resolution and osm_id, once each, at all resolutions of the scheme."""
+    parts = [cell_hits(spark, sf_dir, scheme, kind, side, r) for r in fx.RESOLUTIONS[scheme]]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def _viewport_query(scheme: str, kind: str, name: str, side: float):
-    oracle = None if scheme == "hex" else _viewport_sql(scheme, kind, side)
+def viewport_ranges(z: int, side: float) -> list[tuple[int, int]]:
+    x0, x1, y0, y1 = cover.box_ranges_at("morton2d", z, fx.viewport(side))
+    return ranges.merged((keys.morton2d_at(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)), 4)
+
 
-    @query(f"viewport_{'h3' if scheme == 'hex' else scheme}_{kind}_{name}", oracle)
+def _viewport_query(scheme: str, kind: str, name: str, side: float):
+    @query(f"viewport_{'h3' if scheme == 'hex' else scheme}_{kind}_{name}", _viewport_sql(scheme, kind, side))
     def run(spark, sf_dir):
         if scheme == "bbox" and kind == "points":
-            return lookup.points_in_box(files.with_point_box(fx.points(spark, sf_dir)), fx.viewport(side))
+            return lookup.points_in_box(stored(spark, sf_dir, "points_bbox"), fx.viewport(side))
         if scheme == "bbox":
-            return lookup.boxes_meeting(fx.buildings(spark, sf_dir), fx.viewport(side))
+            return lookup.boxes_meeting(stored(spark, sf_dir, "poly_bbox"), fx.viewport(side))
         return viewport_by_cells(spark, sf_dir, scheme, kind, side)
 
 
@@ -370,32 +362,43 @@ for _s in ("geohash", "quadkey", "morton2d", "bbox", "hex"):
             _viewport_query(_s, _k, _n, _side)
 
 
-@query("h3_points")
+@query("h3_points", f"WITH {sql.POINTS}, {hexsql.FACES} " + _union([hexsql.point_cells("points", r) for r in fx.RESOLUTIONS["hex"]]))
 def h3_points(spark, sf_dir):
     return cover.point_cells(fx.points(spark, sf_dir), "hex", fx.RESOLUTIONS["hex"])
 
 
-@query("h3_poly")
+@query("h3_poly", f"WITH {sql.BUILDINGS}, {hexsql.FACES} " + _union([hexsql.box_cells("buildings", r) for r in fx.RESOLUTIONS["hex"]]))
 def h3_poly(spark, sf_dir):
     return cover.box_cells(fx.buildings(spark, sf_dir), "hex", fx.RESOLUTIONS["hex"])
 
 
-@query("h3_radius")
-def h3_radius(spark, sf_dir):
-    """Points in the disks around the centre, for each radius and resolution."""
-    middle = spark.range(1).select(F.lit("c").alias("case"), F.lit(fx.CENTRE_LON).alias("lon"), F.lit(fx.CENTRE_LAT).alias("lat"))
-    table = cover.point_cells(fx.points(spark, sf_dir), "hex", fx.RESOLUTIONS["hex"])
+def _radius_sql() -> str:
+    middle = f"centre AS (SELECT 'c' AS \"case\", {fx.CENTRE_LON!r}::DOUBLE AS lon, {fx.CENTRE_LAT!r}::DOUBLE AS lat)"
     parts = []
-    for radius in fx.RADII_M:
-        for r in fx.RESOLUTIONS["hex"]:
+    for r in fx.RESOLUTIONS["hex"]:
+        for radius in fx.RADII_M:
             k = hexgrid.disk_steps(radius, r)
-            disk = cover.hex_disk(middle, r, k, "case").select(F.lit(radius).alias("radius_m"), F.lit(k).alias("k"), "resolution", "cell")
-            parts.append(disk)
-    disks = parts[0]
-    for p in parts[1:]:
-        disks = disks.unionByName(p)
-    hits = table.join(F.broadcast(disks), ["resolution", "cell"])  # some thousand constant cells
-    return hits.select("radius_m", "resolution", "k", "osm_id").distinct()
+            disk = hexsql.disk_cells("centre", r, k, '"case"')
+            parts.append(
+                f"SELECT {radius} AS radius_m, {r} AS resolution, {k} AS k, osm_id FROM ({hexsql.point_cells('points', r)}) t "
+                f"WHERE cell IN (SELECT cell FROM ({disk}) d)"
+            )
+    return f"WITH {sql.POINTS}, {middle}, {hexsql.FACES} {_union(parts)}"
+
+
+@query("h3_radius", _radius_sql())
+def h3_radius(spark, sf_dir):
+    """Points in the disks around the centre, for each radius and resolution."""
+    out = None
+    for r in fx.RESOLUTIONS["hex"]:
+        steps = [(radius, hexgrid.disk_steps(radius, r)) for radius in fx.RADII_M]
+        rows = [(radius, k, c) for radius, k in steps for c in hexgrid.disk_names(fx.CENTRE_LAT, fx.CENTRE_LON, r, k)]
+        disks = ranges.constants(spark, rows, "radius_m int, k int, cell string")
+        table = stored(spark, sf_dir, "cells_hex_points").where((F.col("resolution") == r))
+        hits = table.join(F.broadcast(disks), "cell")  # some thousand constant cells
+        hits = hits.select("radius_m", "resolution", "k", "osm_id")
+        out = hits if out is None else out.unionByName(hits)
+    return out.distinct()
 
 
 # Morton ranges
@@ -437,8 +440,22 @@ def corridor_boxes(spark: SparkSession) -> DataFrame:
     )
 
 
-def corridor_ranges(spark: SparkSession, origin: tuple[int, int]) -> DataFrame:
-    return ranges.key_ranges(ranges.box_keys_3d(corridor_boxes(spark), Z, origin), 4, ["case", "vertical_bin_m"])
+def corridor_ranges(origin: tuple[int, int]) -> list[tuple[str, int, int, int]]:
+    """(case, bin, lo, hi) of the corridor's keys, which are constants of the query."""
+    (x0, y0), (x1, y1) = keys.tile_at(W, N, Z), keys.tile_at(E, S, Z)
+    out = []
+    for case, v, alt in CASES_3D:
+        found = ranges.merged(
+            (
+                keys.morton3d_at(x - origin[0], y - origin[1], h)
+                for x in range(x0, x1 + 1)
+                for y in range(y0, y1 + 1)
+                for h in range(int((alt - fx.CLEARANCE_M) // v), int((alt + fx.CLEARANCE_M) // v) + 1)
+            ),
+            4,
+        )
+        out += [(case, v, lo, hi) for lo, hi in found]
+    return out
 
 
 @query(
@@ -447,47 +464,49 @@ def corridor_ranges(spark: SparkSession, origin: tuple[int, int]) -> DataFrame:
     SELECT "case", lo, hi FROM ({sql.merged('keyed', '"case"', 4)}) m""",
 )
 def morton3d_ranges(spark, sf_dir):
-    return corridor_ranges(spark, origin_of(fx.buildings(spark, sf_dir))).select("case", "lo", "hi")
+    cells = ranges.box_keys_3d(corridor_boxes(spark), Z, origin_of(spark, sf_dir))
+    return ranges.key_ranges(cells, 4, ["case", "vertical_bin_m"]).select("case", "lo", "hi")
 
 
 # Corridors
 
 
-def tiles_of(spark: SparkSession, lon: float, lat: float, z: int) -> tuple[int, int]:
-    row = spark.range(1).select(keys.tile_x(F.lit(lon), z).alias("x"), keys.tile_y(F.lit(lat), z).alias("y")).first()
-    return row["x"], row["y"]
-
-
-def level_at(h: float, z: int) -> int:
-    return int(max(0.0, h) * 2**z // 2**keys.VERTICAL_EXPONENT)
-
-
-def corridor_cases(spark: SparkSession, scheme: str, box: tuple | None = None, only: list[int] | None = None) -> list[dict]:
+def corridor_cases(scheme: str, box: tuple | None = None, only: list[int] | None = None) -> list[dict]:
     """Cell boxes of the corridor (or another tile box by zoom) at each resolution and altitude."""
     out = []
     for r in only or (fx.ZFXY_ZOOMS if scheme == "zfxy" else fx.BINS_M):
         z = r if scheme == "zfxy" else Z
-        (x0, y0), (x1, y1) = (tiles_of(spark, W, N, z), tiles_of(spark, E, S, z)) if box is None else box(z)
+        (x0, y0), (x1, y1) = (keys.tile_at(W, N, z), keys.tile_at(E, S, z)) if box is None else box(z)
         for alt in fx.ALTITUDES_M:
             low, high = alt - fx.CLEARANCE_M, alt + fx.CLEARANCE_M
-            v = (level_at(low, z), level_at(high, z)) if scheme == "zfxy" else (int(low // r), int(high // r))
+            v = (keys.level_at(low, z), keys.level_at(high, z)) if scheme == "zfxy" else (int(low // r), int(high // r))
             same = {"zfxy_z": r} if scheme == "zfxy" else {"xy_z": Z, "vertical_bin_m": r}
             out.append({"case": f"{r}@{alt}", "altitude_m": alt, "x0": x0, "x1": x1, "y0": y0, "y1": y1, "v0": v[0], "v1": v[1], **same})
     return out
 
 
-def corridor_hits(spark, sf_dir, scheme: str) -> tuple[DataFrame, DataFrame]:
-    """(case, osm_id) of occupancy cells in the corridor, and the cases."""
-    table = occupancy(spark, sf_dir, scheme)
-    if scheme == "morton3d":
-        near = corridor_ranges(spark, origin_of(fx.buildings(spark, sf_dir)))
-        hits = ranges.in_ranges(table, near, "key_u64", ["vertical_bin_m"])
-        return hits.select("case", "osm_id"), corridor_boxes(spark).select("case")
-    cases = corridor_cases(spark, scheme)
-    height = "f" if scheme == "zfxy" else "hbin"
-    same = ["zfxy_z"] if scheme == "zfxy" else ["xy_z", "vertical_bin_m"]
-    hits = lookup.in_cell_boxes(table, cases, same, {"x": ("x0", "x1"), "y": ("y0", "y1"), height: ("v0", "v1")})
-    return hits.select("case", "osm_id"), spark.createDataFrame([{"case": c["case"]} for c in cases])
+PART = {"zfxy": "zfxy_z", "zxy_heightbin": "vertical_bin_m", "morton3d": "vertical_bin_m"}
+HEIGHT = {"zfxy": "f", "zxy_heightbin": "hbin"}
+
+
+def corridor_hits(spark, sf_dir, scheme: str) -> tuple[DataFrame, list[str]]:
+    """(case, osm_id) of stored occupancy cells in the corridor, and the names of the cases."""
+    table = stored(spark, sf_dir, f"occupancy_{scheme}")
+    if scheme != "morton3d":
+        cases = corridor_cases(scheme)
+        hits = lookup.in_cell_boxes(
+            table, cases, PART[scheme], {"x": ("x0", "x1"), "y": ("y0", "y1"), HEIGHT[scheme]: ("v0", "v1")}
+        )
+        return hits.select("case", "osm_id"), [c["case"] for c in cases]
+    found, out = corridor_ranges(stored_origin(spark, sf_dir)), None
+    for v in fx.BINS_M:
+        own = [(case, lo, hi) for case, bin_m, lo, hi in found if bin_m == v]
+        pushed = ranges.outer(ranges.merged_ranges([(lo, hi) for _, lo, hi in own]))
+        rows = table.where((F.col("vertical_bin_m") == v) & ranges.within("key_u64", pushed))
+        near = ranges.constants(spark, own, "case string, lo long, hi long")
+        hits = ranges.in_ranges(rows, near, "key_u64", [], few=True).select("case", "osm_id")
+        out = hits if out is None else out.unionByName(hits)
+    return out, [case for case, _, _ in CASES_3D]
 
 
 def _hits_sql(scheme: str) -> str:
@@ -518,8 +537,7 @@ def _corridor_query(scheme: str):
         FROM cases c LEFT JOIN hits h ON c."case" = h."case" GROUP BY c."case" """,
     )
     def run(spark, sf_dir):
-        hits, cases = corridor_hits(spark, sf_dir, scheme)
-        return lookup.candidates(hits, ["case"], cases)
+        return lookup.candidates(*corridor_hits(spark, sf_dir, scheme))
 
     @query(f"corridor_distinct_{scheme}", f'{_hits_sql(scheme)} SELECT DISTINCT "case", osm_id FROM hits')
     def run_distinct(spark, sf_dir):
@@ -534,7 +552,7 @@ ACTUAL_SQL = f"""SELECT alt AS altitude_m, count(*) FILTER (xmin <= {E} AND xmax
 
 
 def actual_counts(spark, sf_dir) -> DataFrame:
-    df = obstacles(spark, sf_dir)
+    df = stored(spark, sf_dir, "obstacles")
     row = F.array(
         *[
             F.struct(
@@ -561,8 +579,7 @@ def actual_blocking(spark, sf_dir):
     FROM counted JOIN actual ON altitude_m = CAST(string_split("case", '@')[2] AS INT)""",
 )
 def false_positive_rate(spark, sf_dir):
-    hits, cases = corridor_hits(spark, sf_dir, "zxy_heightbin")
-    counted = lookup.candidates(hits, ["case"], cases).withColumn("altitude_m", F.split_part("case", F.lit("@"), F.lit(2)).cast("int"))
+    counted = lookup.candidates(*corridor_hits(spark, sf_dir, "zxy_heightbin")).withColumn("altitude_m", F.split_part("case", F.lit("@"), F.lit(2)).cast("int"))
     joined = counted.join(F.broadcast(actual_counts(spark, sf_dir)), "altitude_m")  # a row an altitude
     rate = lookup.false_positive_rate(F.col("candidate_buildings"), F.col("actual"))
     return joined.select("case", "candidate_buildings", "actual", rate.alias("false_positive_pct"))
@@ -571,29 +588,27 @@ def false_positive_rate(spark, sf_dir):
 # Blocked cells and routes
 
 
-def route_ends(spark: SparkSession, z: int) -> tuple[tuple[int, int], tuple[int, int]]:
-    return tiles_of(spark, fx.CORRIDOR_LON, fx.SOUTH, z), tiles_of(spark, fx.CORRIDOR_LON, fx.NORTH, z)
+def route_ends(z: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    return keys.tile_at(fx.CORRIDOR_LON, fx.SOUTH, z), keys.tile_at(fx.CORRIDOR_LON, fx.NORTH, z)
 
 
 def blocked_cells(spark, sf_dir, scheme: str, only: list[int] | None = None) -> DataFrame:
     def box(z: int):
-        c = route.route_case("", *route_ends(spark, z))
+        c = route.route_case("", *route_ends(z))
         return (c["x0"], c["y0"]), (c["x1"], c["y1"])
 
-    height = "f" if scheme == "zfxy" else "hbin"
-    same = ["zfxy_z"] if scheme == "zfxy" else ["xy_z", "vertical_bin_m"]
     hits = lookup.in_cell_boxes(
-        occupancy(spark, sf_dir, scheme), corridor_cases(spark, scheme, box, only), same,
-        {"x": ("x0", "x1"), "y": ("y0", "y1"), height: ("v0", "v1")},
+        stored(spark, sf_dir, f"occupancy_{scheme}"), corridor_cases(scheme, box, only), PART[scheme],
+        {"x": ("x0", "x1"), "y": ("y0", "y1"), HEIGHT[scheme]: ("v0", "v1")},
     )
     return hits.select("case", "x", "y").distinct()
 
 
 def routes(spark, sf_dir, scheme: str, only: list[int] | None = None) -> DataFrame:
-    cases = [
-        route.route_case(c["case"], *route_ends(spark, c.get("zfxy_z", Z))) for c in corridor_cases(spark, scheme, None, only)
-    ]
-    return route.find_routes(spark.createDataFrame(cases), blocked_cells(spark, sf_dir, scheme, only))
+    cases = [route.route_case(c["case"], *route_ends(c.get("zfxy_z", Z))) for c in corridor_cases(scheme, None, only)]
+    fields = "case string, " + ", ".join(f"{k} long" for k in list(cases[0])[1:])
+    table = ranges.constants(spark, [tuple(c.values()) for c in cases], fields)
+    return route.find_routes(table, blocked_cells(spark, sf_dir, scheme, only))
 
 
 def _blocked_sql(scheme: str, only: list[int] | None = None) -> str:
@@ -610,16 +625,17 @@ def _blocked_sql(scheme: str, only: list[int] | None = None) -> str:
 
 
 def _route_sql(scheme: str, only: list[int]) -> str:
-    """Breadth-first search; every cell comes once for each number of steps up to a bound."""
+    """Breadth-first search that keeps each cell once, with the steps that first reached it."""
     lon, south, north = (repr(v) for v in (fx.CORRIDOR_LON, fx.SOUTH, fx.NORTH))
-    names = ", ".join(f"('{r}@{a}')" for r in only for a in fx.ALTITUDES_M)
-    return f"""WITH RECURSIVE {_blocked_sql(scheme, only)}, names("case") AS (VALUES {names}), cases AS (
-        SELECT "case", {sql.x(lon, Z)} AS sx, {sql.y(south, Z)} AS sy, {sql.y(north, Z)} AS gy FROM names),
-      walk("case", x, y, d) AS (
+    names = ", ".join(f"('{r}@{a}', {r if scheme == 'zfxy' else Z})" for r in only for a in fx.ALTITUDES_M)
+    return f"""WITH RECURSIVE {_blocked_sql(scheme, only)}, names("case", z) AS (VALUES {names}), cases AS (
+        SELECT "case", {sql.x(lon, 'z')} AS sx, {sql.y(south, 'z')} AS sy, {sql.y(north, 'z')} AS gy FROM names),
+      walk("case", x, y, d) USING KEY ("case", x, y) AS (
         SELECT "case", sx, sy, 0 FROM cases
         UNION SELECT w."case", w.x + s.dx, w.y + s.dy, w.d + 1 FROM walk w JOIN cases c ON w."case" = c."case",
           (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy)
-        WHERE w.d < 160 AND w.x + s.dx BETWEEN c.sx - 2 AND c.sx + 2 AND w.y + s.dy BETWEEN c.gy - 2 AND c.sy + 2
+        WHERE w.x + s.dx BETWEEN c.sx - 2 AND c.sx + 2 AND w.y + s.dy BETWEEN c.gy - 2 AND c.sy + 2
+          AND NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r."case" = w."case" AND r.x = w.x + s.dx AND r.y = w.y + s.dy)
           AND NOT EXISTS (SELECT 1 FROM blocked b WHERE b."case" = w."case" AND b.x = w.x + s.dx AND b.y = w.y + s.dy))
     SELECT c."case", min(w.d) IS NOT NULL AS route_found, min(w.d) + 1 AS length,
       (SELECT count(*) FROM blocked b WHERE b."case" = c."case") AS lookup_count
@@ -641,7 +657,7 @@ def route_zfxy(spark, sf_dir):
     return routes(spark, sf_dir, "zfxy", [19])
 
 
-@query("route_zfxy_fine")
+@query("route_zfxy_fine", _route_sql("zfxy", [20, 21, 22]))
 def route_zfxy_fine(spark, sf_dir):
     return routes(spark, sf_dir, "zfxy", [20, 21, 22])
 
@@ -651,6 +667,124 @@ def route_zxy_heightbin(spark, sf_dir):
     return routes(spark, sf_dir, "zxy_heightbin")
 
 
+# Records of the benchmark: a row for each scheme, resolution and query
+
+
+def _records(scheme: str) -> list[tuple[str, str, int, int, int]]:
+    """(kind, size, resolution, n_cells, n_ranges) of all queries of a scheme: constants."""
+    out = []
+    for kind in ("points", "poly"):
+        for name, side in fx.SIDES.items():
+            for r in fx.RESOLUTIONS.get(scheme, [0]):
+                n, ranged = 0, 0
+                if scheme == "hex":
+                    n = len(hexgrid.box_names(fx.viewport(side), r))
+                elif scheme != "bbox":
+                    i0, i1, j0, j1 = cover.box_ranges_at(scheme, r, fx.viewport(side))
+                    n, ranged = (i1 - i0 + 1) * (j1 - j0 + 1), len(viewport_ranges(r, side)) if scheme == "morton2d" else 0
+                out.append((kind, name, r, n, ranged))
+    if scheme == "hex":
+        steps = [(m, r, hexgrid.disk_steps(m, r)) for m in fx.RADII_M for r in fx.RESOLUTIONS["hex"]]
+        out += [("radius", str(m), r, 3 * k * (k + 1) + 1, 0) for m, r, k in steps]
+    return out
+
+
+def _matrix_sql(scheme: str) -> str:
+    parts = [
+        f"SELECT '{kind}' AS kind, '{name}' AS size, {'0' if scheme == 'bbox' else 'resolution'} AS resolution, count(*) AS n "
+        f"FROM ({_viewport_sql(scheme, kind, side)}) h GROUP BY ALL"
+        for kind in ("points", "poly")
+        for name, side in fx.SIDES.items()
+    ]
+    return f"""SELECT r.*, coalesce(n, 0) AS n_rows FROM ({sql.values(_records(scheme))}) r(kind, size, resolution, n_cells, n_ranges)
+      LEFT JOIN ({_union(parts)}) c USING (kind, size, resolution)"""
+
+
+def _matrix_query(scheme: str):
+    # The hexagons' records repeat whole queries that have SQL of their own; theirs would take minutes.
+    @query(f"matrix_{'h3' if scheme == 'hex' else scheme}", None if scheme == "hex" else _matrix_sql(scheme))
+    def run(spark, sf_dir):
+        by, parts = ["kind", "size", "resolution", "n_cells", "n_ranges"], []
+        radius = h3_radius(spark, sf_dir) if scheme == "hex" else None
+        for record in _records(scheme):
+            kind, size, r, *_ = record
+            if kind == "radius":
+                hits = radius.where((F.col("radius_m") == int(size)) & (F.col("resolution") == r))
+            elif scheme == "bbox":
+                hits = QUERIES[f"viewport_bbox_{kind}_{size}"](spark, sf_dir)
+            else:
+                hits = cell_hits(spark, sf_dir, scheme, kind, fx.SIDES[size], r)
+            parts.append(hits.select(*[F.lit(v).alias(n) for v, n in zip(record, by, strict=True)], "osm_id"))
+        records = ranges.constants(spark, _records(scheme), "kind string, size string, resolution int, n_cells int, n_ranges int")
+        return report.counted(reduce(DataFrame.unionByName, parts), by, records, scheme != "bbox")
+
+
+for _s in ("geohash", "quadkey", "morton2d", "bbox", "hex"):
+    _matrix_query(_s)
+
+
+def _corridor_matrix_sql() -> str:
+    parts = []
+    for scheme in SCHEMES:
+        n = "0"
+        if scheme == "morton3d":
+            near = sql.merged("keyed", '"case"', 4)
+            n = f"""(SELECT count(*) FROM (WITH {sql.BUILDINGS}, o AS ({ORIGIN_SQL}), {CASES_3D_SQL} {near}) m WHERE m."case" = k."case")"""
+        parts.append(
+            f"""SELECT '{scheme}' AS scheme, k.*, {n} AS n_ranges FROM ({ORACLE_SQL[f'corridor_{scheme}']}) k"""
+        )
+    return f"""SELECT scheme, "case", candidate_cells, candidate_buildings, n_ranges, actual, CASE WHEN candidate_buildings > 0
+        THEN round((candidate_buildings - actual) / candidate_buildings * 100, 1) END AS false_positive_pct
+      FROM ({_union(parts)}) u JOIN ({ORACLE_SQL['actual_blocking']}) a ON altitude_m = CAST(string_split("case", '@')[2] AS INT)"""
+
+
+@query("corridor_matrix", _corridor_matrix_sql())
+def corridor_matrix(spark, sf_dir):
+    parts = []
+    for scheme in SCHEMES:
+        counts: dict[str, int] = {}
+        if scheme == "morton3d":
+            for case, *_ in corridor_ranges(stored_origin(spark, sf_dir)):
+                counts[case] = counts.get(case, 0) + 1
+        n = F.coalesce(*[F.when(F.col("case") == c, k) for c, k in counts.items()], F.lit(0))
+        found = lookup.candidates(*corridor_hits(spark, sf_dir, scheme))
+        parts.append(found.select(F.lit(scheme).alias("scheme"), "*", n.alias("n_ranges")))
+    all_cases = reduce(DataFrame.unionByName, parts)
+    all_cases = all_cases.withColumn("altitude_m", F.split_part("case", F.lit("@"), F.lit(2)).cast("int"))
+    joined = all_cases.join(F.broadcast(actual_counts(spark, sf_dir)), "altitude_m")  # a row an altitude
+    rate = lookup.false_positive_rate(F.col("candidate_buildings"), F.col("actual"))
+    names = ["scheme", "case", "candidate_cells", "candidate_buildings", "n_ranges", "actual"]
+    return joined.select(*names, rate.alias("false_positive_pct"))
+
+
+ROUTES = {"zfxy": ("route_zfxy", "route_zfxy_fine"), "zxy_heightbin": ("route_zxy_heightbin",)}
+
+
+@query(
+    "route_matrix", _union([f"SELECT '{s}' AS scheme, * FROM ({ORACLE_SQL[n]}) r" for s, names in ROUTES.items() for n in names])
+)
+def route_matrix(spark, sf_dir):
+    parts = [QUERIES[n](spark, sf_dir).withColumn("scheme", F.lit(s)) for s, names in ROUTES.items() for n in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "tagged_buildings",
+    f"""WITH {sql.BUILDINGS}, tagged AS (SELECT *, CASE WHEN osm_id % 3 = 0 THEN 'yes' END AS building, osm_id % 4 = 0 AS has FROM buildings)
+    SELECT osm_id, building, height, building_levels FROM tagged WHERE building IS NOT NULL OR has""",
+)
+def tagged_buildings(spark, sf_dir):
+    """Buildings by column or tag, their tags read from a map as a database extract has them."""
+    df = fx.buildings(spark, sf_dir).withColumn("building", F.when(F.col("osm_id") % 3 == 0, "yes"))
+    pairs = F.array(
+        F.struct(F.lit("height").alias("k"), F.col("height").alias("v")),
+        F.struct(F.lit("building:levels").alias("k"), F.col("building_levels").alias("v")),
+        F.when(F.col("osm_id") % 4 == 0, F.struct(F.lit("building").alias("k"), F.lit("yes").alias("v"))),
+    )
+    df = df.select("osm_id", "building", F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("tags"))
+    return files.tagged_buildings(df, ["height", "building:levels"])
+
+
 # Reports
 
 

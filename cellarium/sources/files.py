@@ -1,54 +1,110 @@
-"""Sorted Parquet tables, file statistics, GeoJSON, and result summaries."""
+"""Sorted Parquet tables, GeoJSON, database extracts, file statistics, and result summaries."""
 
 from __future__ import annotations
 
+import json
+import tempfile
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_GROUP_ROWS = 50_000
 
 
-def write_sorted(df: DataFrame, path: str, by: list[str], rows: int = ROW_GROUP_ROWS, files: int | None = None) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: the one ``spark.checkpoint.dir`` names. Where that is
+    unset, a local session uses a temporary one; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="cellarium-")
+
+
+def write_sorted(
+    df: DataFrame, path: str, by: list[str], parts: list[str] | None = None, rows: int = ROW_GROUP_ROWS, files: int | None = None
+) -> None:
     """Write in order of ``by``: ranges of it in files, sorted inside, in row groups of at
-    most ``rows`` rows, so that the groups' least and greatest values prune well. Without
-    ``files`` the sizes at run time set their number."""
-    dealt = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
-    dealt.sortWithinPartitions(*by).write.mode("overwrite").option("compression", "snappy").option(
-        "parquet.block.row.count.limit", str(rows)
-    ).parquet(path)
+    most ``rows`` rows, so that the groups' least and greatest values prune well. Each value
+    of ``parts`` has a folder of its own. Without ``files`` the sizes at run time set their
+    number."""
+    order = [*(parts or []), *by]
+    dealt = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    writer = dealt.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "snappy")
+    writer = writer.partitionBy(*parts) if parts else writer
+    writer.option("parquet.block.row.count.limit", str(rows)).parquet(path)
 
 
 def with_point_box(points: DataFrame) -> DataFrame:
     return points.withColumns({"xmin": F.col("lon"), "ymin": F.col("lat"), "xmax": F.col("lon"), "ymax": F.col("lat")})
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON files: properties as a map, the geometry's type and box."""
-    geometry = "struct<type:string,coordinates:string>"
-    kind = f"type string, features array<struct<properties:map<string,string>,geometry:{geometry}>>"
-    whole = spark.read.schema(kind).option("multiLine", True).json(path)
-    rows = whole.select(F.explode("features").alias("f")).select("f.properties", "f.geometry.type", "f.geometry.coordinates")
+# GeoJSON
+
+
+def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Features of GeoJSON files: properties as a map, the geometry's type and box.
+
+    A file is a collection or one feature; with ``lines`` each line is one. A feature
+    without geometry has nulls.
+    """
+    feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    kind = f"type string, features array<{feature}>, properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    whole = spark.read.schema(kind).option("multiLine", not lines).json(path)
+    own = F.array(F.struct("properties", "geometry"))
+    rows = whole.select(F.explode(F.when(F.col("type") == "Feature", own).otherwise(F.col("features"))).alias("f"))
+    rows = rows.select("f.properties", "f.geometry.type", "f.geometry.coordinates")
     return rows.select("properties", "type", *coordinate_box(F.col("coordinates")))
 
 
 def coordinate_box(coordinates: Column) -> list[Column]:
-    """xmin, ymin, xmax, ymax of coordinates as JSON text, nested to any depth: positions
-    alternate between x and y. Null and empty coordinates give nulls."""
-    number = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-    values = F.transform(F.regexp_extract_all(coordinates, F.lit(number), F.lit(0)), lambda v: v.cast("double"))
-    of = lambda k: F.filter(values, lambda _, i: i % 2 == k)
-    names = [("xmin", F.array_min, 0), ("ymin", F.array_min, 1), ("xmax", F.array_max, 0), ("ymax", F.array_max, 1)]
+    """xmin, ymin, xmax, ymax of coordinates as JSON text, nested to any depth. Of each
+    position the first two numbers count; null and empty coordinates give nulls."""
+    number = r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
+    position = rf"\[\s*{number}\s*,\s*{number}"
+    of = lambda k: F.transform(
+        F.regexp_extract_all(coordinates, F.lit(position), F.lit(k)), lambda v: v.cast("double")
+    )
+    names = [("xmin", F.array_min, 1), ("ymin", F.array_min, 2), ("xmax", F.array_max, 1), ("ymax", F.array_max, 2)]
     return [f(of(k)).alias(n) for n, f, k in names]
 
 
-def write_features(df: DataFrame, path: str, properties: list[str]) -> None:
-    """Point features (lon, lat) as lines of GeoJSON, one feature a line."""
+def point_geometry(lon: str = "lon", lat: str = "lat") -> Column:
+    return F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
+
+
+def box_geometry() -> Column:
+    """The rectangle xmin .. ymax as a polygon of one closed ring."""
+    ring = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin")]
+    return F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*[F.array(x, y) for x, y in ring])).alias("coordinates"))
+
+
+def write_features(df: DataFrame, path: str, properties: list[str], geometry: Column | None = None) -> None:
+    """GeoJSON: each file of the folder is a collection, with a feature a line. The geometry
+    is a point (lon, lat) unless given."""
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(*properties).alias("properties"),
-        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
+        (point_geometry() if geometry is None else geometry).alias("geometry"),
     )
-    df.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+
+    def collection(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = '{"type":"FeatureCollection","features":['
+        for batch in batches:
+            if len(batch):
+                first, rest = batch["value"].iloc[:1], batch["value"].iloc[1:]
+                yield pd.DataFrame({"value": [*(before + first), *("," + rest)]})
+                before = ","
+        yield pd.DataFrame({"value": ["]}" if before == "," else before + "]}"]})
+
+    df.select(F.to_json(feature).alias("value")).mapInPandas(collection, "value string").write.mode("overwrite").text(path)
+
+
+# Database extracts
 
 
 def read_table(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
@@ -56,32 +112,59 @@ def read_table(spark: SparkSession, url: str, query: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def tags_of(text: Column) -> Column:
+    """A map from key-value text as databases print it: "key"=>"value", parted by commas."""
+    pair = r'"((?:[^"\\]|\\.)*)"\s*=>\s*(?:"((?:[^"\\]|\\.)*)"|NULL)'
+    plain = lambda k: F.transform(
+        F.regexp_extract_all(text, F.lit(pair), F.lit(k)), lambda v: F.regexp_replace(v, r"\\(.)", "$1")
+    )
+    return F.map_from_arrays(plain(1), plain(2))
+
+
+def tagged_buildings(rows: DataFrame, tags: list[str]) -> DataFrame:
+    """Rows that are buildings by their column ``building`` or by a tag of that name, with the
+    given tags of the map ``tags`` as columns; missing tags are null."""
+    kept = rows.where(F.col("building").isNotNull() | F.map_contains_key("tags", "building"))
+    return kept.select("osm_id", "building", *[F.try_element_at("tags", F.lit(t)).alias(t.replace(":", "_")) for t in tags])
+
+
 def within_envelope(points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Points inside the box, its border left out."""
     west, south, east, north = box
     return points.where((F.col("lon") > west) & (F.col("lon") < east) & (F.col("lat") > south) & (F.col("lat") < north))
 
 
+# Statistics and summaries
+
+
 def parquet_stats(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file: bytes, rows, row groups and column chunks (both, as reports mix them
-    up). Footers are read in tasks, from the bytes that Spark's own reader gives."""
-    import io
+    """One row a file: bytes, rows, row groups and column chunks (both, as reports mix them up).
 
-    import pyarrow as pa
-    import pyarrow.parquet as pq
+    Tasks read footers only, through a handle that seeks. A file that can't be read as
+    Parquet, or lies in a store that only Spark knows, has 0 rows and null groups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
 
-    def run(batches):
         for batch in batches:
-            for name, size, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                meta = pq.read_metadata(io.BytesIO(content))
-                chunks = meta.num_row_groups * meta.num_columns
-                yield pa.RecordBatch.from_pylist(
-                    [{"file": name.rsplit("/", 1)[-1], "file_size_bytes": size, "row_count": meta.num_rows,
-                      "row_groups": meta.num_row_groups, "column_chunks": chunks}]
-                )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", "length", "content").mapInArrow(
+            for name, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, groups, chunks = 0, None, None
+                try:
+                    store, inside = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if "://" not in name else name)
+                    with store.open_input_file(inside) as file:
+                        meta = pq.read_metadata(file)
+                    rows, groups, chunks = meta.num_rows, meta.num_row_groups, meta.num_row_groups * meta.num_columns
+                except (OSError, ValueError):  # pyarrow's errors are kinds of these
+                    pass
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name.rsplit("/", 1)[-1]]), *(pa.array([v], pa.int64()) for v in (size, rows, groups, chunks))],
+                    ["file", "file_size_bytes", "row_count", "row_groups", "column_chunks"],
+                )
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length").mapInArrow(
         run, "file string, file_size_bytes long, row_count long, row_groups long, column_chunks long"
     )
 
@@ -90,12 +173,22 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def to_markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small result (at most ``most`` rows) as a Markdown table."""
-    rows = [df.columns, ["---"] * len(df.columns), *df.limit(most).collect()]
+def to_markdown(df: DataFrame) -> str:
+    """A result as a Markdown table: all its rows, a partition at a time."""
+    rows = [df.columns, ["---"] * len(df.columns), *df.toLocalIterator()]
     return "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)
 
 
+def write_metadata(spark: SparkSession, path: str, about: dict) -> None:
+    """A JSON object of one run, beside its results."""
+    spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> dict:
+    """The object that ``write_metadata`` wrote."""
+    return json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
 def union_summaries(frames: dict[str, DataFrame]) -> DataFrame:
     """Result tables with differing columns, one below the other, with their ``source``."""
     out = None
@@ -105,6 +198,19 @@ def union_summaries(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def read_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """All CSV summaries below ``root``, each with its own columns, as text, and its ``source``,
+    the path from ``root`` to its folder. There are as many as runs were made, so their
+    paths, not their rows, come to the driver."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(root)
+    folders = sorted(r["folder"] for r in found.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().collect())
+    if not folders:
+        raise FileNotFoundError(f"no CSV summary below {root}")
+    inside = root.rstrip("/").rsplit("/", 1)[-1]
+    name = lambda folder: folder.split(f"/{inside}/", 1)[-1]
+    return union_summaries({name(f): spark.read.option("header", True).csv(f) for f in folders})
+
+
 def latest(results: DataFrame, run: str = "run") -> DataFrame:
     """The rows of the greatest run key of each benchmark, not of the last folder by name."""
     last = results.groupBy("benchmark").agg(F.max(run).alias(run))

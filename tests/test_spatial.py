@@ -1,14 +1,15 @@
 import math
 import random
+import struct
 
 import pytest
 from oracle import SF, same_rows
 from pyspark.sql import functions as F
 
-from cellarium.functions import heights, hexgrid, keys
-from cellarium.operators import cover, ranges, route
+from cellarium.functions import heights, hexgrid, keys, wkb
+from cellarium.operators import cover, lookup, ranges, route
 from cellarium.plans import fixtures as fx
-from cellarium.plans import spatial
+from cellarium.plans import layouts, spatial
 from cellarium.sources import files
 
 QUICK = [
@@ -91,9 +92,10 @@ def test_hexagons_are_even_and_named_once(spark):
 
 
 def test_height_tags(spark):
-    tags = ["12", "12 m", "12.5", "30 ft", "10;12", "unknown", None, "", " 45 Metres ", "-3", "9999", "12d", "1_000", "nan", "6.25 feet"]
+    tags = ["12", "12 m", "12.5", "30 ft", "10;12", "unknown", None, "", " 45 Metres ", "-3", "9999", "12d", "1_000", "nan", "6.25 feet",
+            "12\t", "\n12 m", "\t30 ft\r\n"]
     df = spark.createDataFrame([(t,) for t in tags], "t string").select(heights.parse_height_m(F.col("t")).alias("h"))
-    want = [12.0, 12.0, 12.5, 9.14, 10.0, None, None, None, 45.0, None, None, None, 1000.0, None, 1.91]
+    want = [12.0, 12.0, 12.5, 9.14, 10.0, None, None, None, 45.0, None, None, None, 1000.0, None, 1.91, 12.0, 12.0, 9.14]
     assert [r["h"] for r in df.collect()] == want
 
 
@@ -127,7 +129,7 @@ def test_routes():
 
 def test_unobstructed_route_lengths(spark):
     for z, nodes in ((19, 66), (20, 130), (21, 259), (22, 518)):
-        (sx, sy), (gx, gy) = spatial.route_ends(spark, z)
+        (sx, sy), (gx, gy) = spatial.route_ends(z)
         assert abs(sx - gx) + abs(sy - gy) + 1 == nodes
 
 
@@ -137,8 +139,6 @@ def test_sorted_files_and_features(spark, tmp_path):
     stats = files.parquet_stats(spark, str(tmp_path / "t")).first()
     assert (stats["row_count"], stats["row_groups"], stats["column_chunks"]) == (120_000, 3, 6)
     points = spark.createDataFrame([(1, "a", 1.5, 2.5)], "osm_id long, name string, lon double, lat double")
-    files.write_features(points, str(tmp_path / "g"), ["osm_id", "name"])
-    assert spark.read.text(str(tmp_path / "g")).count() == 1
     (tmp_path / "f.json").write_text(
         '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"osm_id":"7"},'
         '"geometry":{"type":"Polygon","coordinates":[[[1,2],[3,2.5],[3,-4],[1,2]]]}}]}'
@@ -148,3 +148,134 @@ def test_sorted_files_and_features(spark, tmp_path):
     runs = spark.createDataFrame([("a", "2026-01", 1), ("a", "2026-02", 2), ("2d", "2d", 3)], "benchmark string, run string, v int")
     assert {r["v"] for r in files.latest(runs).collect()} == {2, 3}
     assert files.to_markdown(runs.limit(1)).startswith("| benchmark | run | v |")
+    assert files.to_markdown(spark.range(2500)).count("\n") == 2501
+
+
+def test_features_come_back(spark, tmp_path):
+    rows = [(k, f"n{k}", k * 1.5, -k / 4) for k in range(50)]
+    points = spark.createDataFrame(rows, "osm_id long, name string, lon double, lat double").repartition(3)
+    files.write_features(points, str(tmp_path / "points"), ["osm_id", "name"])
+    got = files.read_features(spark, str(tmp_path / "points")).collect()
+    assert {(int(r["properties"]["osm_id"]), r["xmin"], r["ymax"]) for r in got} == {(k, x, y) for k, _, x, y in rows}
+    boxes = points.selectExpr("osm_id", "lon AS xmin", "lat AS ymin", "lon + 1 AS xmax", "lat + 2 AS ymax")
+    files.write_features(boxes, str(tmp_path / "boxes"), ["osm_id"], files.box_geometry())
+    got = files.read_features(spark, str(tmp_path / "boxes")).collect()
+    assert {(r["type"], r["xmin"], r["ymin"], r["xmax"], r["ymax"]) for r in got} == {
+        ("Polygon", x, y, x + 1, y + 2) for _, _, x, y in rows
+    }
+    files.write_features(points.limit(0), str(tmp_path / "none"), ["osm_id"])
+    assert files.read_features(spark, str(tmp_path / "none")).count() == 0
+    one = '{"type":"Feature","properties":{"a":"b"},"geometry":{"type":"LineString","coordinates":[[1,2,100],[3,4,200]]}}'
+    (tmp_path / "one.json").write_text(one)
+    (tmp_path / "lines.json").write_text(f"{one}\n{one}\n" + '{"type":"Feature","properties":{},"geometry":null}')
+    row = files.read_features(spark, str(tmp_path / "one.json")).first()
+    assert (row["xmin"], row["ymin"], row["xmax"], row["ymax"]) == (1.0, 2.0, 3.0, 4.0)  # heights don't count
+    lines = files.read_features(spark, str(tmp_path / "lines.json"), lines=True).collect()
+    assert [r["xmax"] for r in lines] == [3.0, 3.0, None]
+
+
+def test_geometries_as_binary(spark, tmp_path):
+    rows = [(1, 1.0, 2.0, 3.0, 4.5), (2, -1.0, 0.0, 1.0, 0.5), (3, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "osm_id long, xmin double, ymin double, xmax double, ymax double")
+    df = df.select("*", wkb.box_wkb().alias("geometry"), wkb.point_wkb("xmin", "ymin").alias("corner"))
+    df.write.parquet(str(tmp_path / "g"))
+    got = spark.read.parquet(str(tmp_path / "g")).select("osm_id", wkb.wkb_box("geometry").alias("b"), wkb.wkb_box("corner").alias("p"))
+    got = {r["osm_id"]: r for r in got.collect()}
+    assert tuple(got[1]["b"]) == rows[0][1:] and tuple(got[2]["b"]) == rows[1][1:] and got[3]["b"]["xmin"] is None
+    assert tuple(got[1]["p"]) == (1.0, 2.0, 1.0, 2.0)
+    point = struct.pack("<BIdd", 1, 1, 5.0, 6.0)
+    line = struct.pack(">BIIdddd", 0, 2, 2, 0.0, 1.0, 2.0, 3.0)
+    parts, _ = wkb.positions(struct.pack("<BII", 1, 7, 2) + point + line)
+    assert [p.tolist() for p in parts] == [[[5.0, 6.0]], [[0.0, 1.0], [2.0, 3.0]]]
+
+
+def test_statistics_of_a_bad_file(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    (tmp_path / "t" / "bad.parquet").write_bytes(b"PAR1 not a table")
+    got = {r["file"][:3]: r for r in files.parquet_stats(spark, str(tmp_path / "t")).collect()}
+    assert got["par"]["row_count"] == 10 and (got["bad"]["row_count"], got["bad"]["row_groups"]) == (0, None)
+
+
+def test_summaries_metadata_and_origin(spark, tmp_path):
+    root = tmp_path / "results"
+    files.write_summary(spark.range(2).withColumn("a", F.lit("x")), str(root / "2d" / "summary.csv"))
+    files.write_summary(spark.range(1).withColumn("b", F.lit("y")), str(root / "corridor" / "2026-01" / "summary.csv"))
+    got = files.read_summaries(spark, str(root)).collect()
+    assert sorted((r["source"], r["a"], r["b"]) for r in got if r["a"]) == [("2d/summary.csv", "x", None)] * 2
+    assert [(r["source"], r["b"]) for r in got if r["b"]] == [("corridor/2026-01/summary.csv", "y")]
+    files.write_metadata(spark, str(tmp_path / "meta"), {"x_origin": 5, "y_origin": 7})
+    assert layouts.read_origin(spark, str(tmp_path / "meta")) == (5, 7)
+    assert layouts.read_origin(spark, str(tmp_path / "nowhere")) == (0, 0)
+
+
+def test_tags(spark):
+    text = '"building"=>"yes", "height"=>"12 m", "name"=>"a \\"b\\" c", "roof:levels"=>NULL'
+    rows = [(1, None, text), (2, "house", ""), (3, None, '"height"=>"3"'), (4, None, None), (5, "x", None)]
+    df = spark.createDataFrame(rows, "osm_id long, building string, t string").withColumn("tags", files.tags_of(F.col("t")))
+    got = {r["osm_id"]: r for r in files.tagged_buildings(df, ["height", "name", "roof:levels"]).collect()}
+    assert set(got) == {1, 2, 5} and (got[1]["height"], got[1]["name"]) == ("12 m", 'a "b" c')
+    assert got[2]["height"] is None and "roof_levels" in got[1].asDict()
+
+
+def scanned(spark, df):
+    """Rows that the plan's scans of files gave, after row groups were left out, and the filters pushed to them."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        df = df.select("*")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        found = [leaves.apply(k) for k in range(leaves.size())]
+        scans = [leaf for leaf in found if leaf.nodeName().startswith("Scan parquet")]
+        return sum(leaf.metrics().apply("numOutputRows").value() for leaf in scans), " ".join(leaf.toString() for leaf in scans)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_lookups_read_few_row_groups(spark):
+    sf = SF
+    for name, rows in (("points_bbox", 100), ("cells_quadkey_points", 100), ("occupancy_zxy_heightbin", 500)):
+        layouts.stored(spark, sf, name, rows)
+    table = layouts.stored(spark, sf, "points_bbox", 100)
+    n, filters = scanned(spark, lookup.points_in_box(table, fx.viewport(0.005)))
+    assert 0 < n < table.count() and "GreaterThanOrEqual(xmin" in filters
+    table = layouts.stored(spark, sf, "cells_quadkey_points", 100)
+    cells, count, near = cover.constant_cells(spark, "quadkey", 17, fx.viewport(0.005))
+    hits = lookup.by_cells(table.where((F.col("resolution") == 17) & ranges.within("cell", near)), cells, count)
+    n, filters = scanned(spark, hits)
+    assert 0 < n < table.where("resolution = 17").count() / 2 and "GreaterThanOrEqual(cell" in filters and "resolution" in filters
+    table = layouts.stored(spark, sf, "occupancy_zxy_heightbin", 500)
+    cases = [c for c in spatial.corridor_cases("zxy_heightbin", None, [4]) if c["altitude_m"] == 45]
+    hits = lookup.in_cell_boxes(table, cases, "vertical_bin_m", {"x": ("x0", "x1"), "y": ("y0", "y1"), "hbin": ("v0", "v1")})
+    n, filters = scanned(spark, hits)
+    assert n < table.where("vertical_bin_m = 4").count() / 2 and "LessThanOrEqual(hbin" in filters
+
+
+def test_constants_like_columns(spark):
+    for scheme, r in (("geohash", 5), ("geohash", 6), ("quadkey", 17), ("morton2d", 19)):
+        for side in fx.SIDES.values():
+            cells, n, near = cover.constant_cells(spark, scheme, r, fx.viewport(side))
+            own = cover.box_cells(spatial.box_frame(spark, side), scheme, [r], "case")
+            mine = {c["cell"] for c in cells.collect()}
+            assert mine == {c["cell"] for c in own.collect()} and len(mine) == n and len(near) <= 16
+            assert all(any(lo <= c <= hi for lo, hi in near) for c in mine)
+    for r in (8, 9):
+        own = cover.box_cells(spatial.box_frame(spark, 0.01), "hex", [r], "case")
+        assert set(hexgrid.box_names(fx.viewport(0.01), r)) == {c["cell"] for c in own.collect()}
+    one = ranges.outer([(1, 2), (4, 5), (100, 110), (112, 120)], 2)
+    assert one == [(1, 5), (100, 120)] and ranges.merged([5, 1, 2, 2, 9], 3) == [(1, 5), (9, 9)]
+
+
+def test_boxes_with_equal_ids_keep_their_cells(spark):
+    rows = [(1, 139.70, 35.60, 139.70001, 35.60001), (1, 139.90, 35.80, 139.90001, 35.80001)]
+    df = spark.createDataFrame(rows, "osm_id long, xmin double, ymin double, xmax double, ymax double")
+    assert cover.box_cells(df, "hex", [9]).select("cell").distinct().count() == 2
+
+
+def test_bounds_of_tiles_and_codes(spark):
+    west, south, east, north = one(spark, *keys.tile_bounds(F.lit(3), F.lit(5), 3))
+    assert (west, east) == (-45.0, 0.0) and abs(north + 40.9798981) < 1e-6 and abs(south + 66.5132604) < 1e-6
+    back = one(spark, keys.tile_x(F.lit((west + east) / 2), 3), keys.tile_y(F.lit((south + north) / 2), 3))
+    assert back == (3, 5)
