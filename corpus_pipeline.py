@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm.line_dedup import line_dedup
-from cellarium.llm.ngram_join import ngram_jaccard_join
+from cellarium.llm.ngram_join import ngram_classes, row_key
 from cellarium.llm.packing import pack_documents
 from cellarium.llm.pii import find_pii, redact, train_pii
 from cellarium.llm.quality import score_quality, train_quality
@@ -35,10 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class that links of word 5-gram likeness 0.8 make: the first by
     (id, hash of the text), null ids last. Rows that repeat both are one document. Documents
     without words make one class."""
-    row = F.struct("doc_id", F.xxhash64("text").alias("hash"))
-    keyed = docs.withColumn("_row", row)
-    classes = ngram_jaccard_join(keyed, id_col="_row")
-    kept = classes.where(F.col("_row") == F.col("class_id")).select("_row")
+    found = ngram_classes(docs)
+    kept = found.where(F.col("row") == F.col("class_row")).select(F.col("row").alias("_row"))
+    keyed = docs.withColumn("_row", row_key())
     return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
