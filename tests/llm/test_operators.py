@@ -1,6 +1,7 @@
 """Each operator against plain versions, and on nulls, empties, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from oracle import SF, same_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -678,3 +681,140 @@ def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = ngram_join.choose_bands(threshold, 0.999)
         assert bands * rows <= 128 and 1 - (1 - threshold**rows) ** bands >= 0.999
+
+
+# Plain versions of fingerprints, statistics, splits and media features
+
+
+def spark_hash(*values):
+    """Spark's 64-bit hash of values in a row: (kind, value) with kind i, l or s."""
+    seed = 42
+    for kind, v in values:
+        raw = v.encode() if kind == "s" else v.to_bytes(4 if kind == "i" else 8, "little", signed=True)
+        seed = xxhash.xxh64(raw, seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_terms(text):
+    return sorted({spark_hash(("s", w)) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w})
+
+
+def plain_signatures(text, lexicon):
+    found = plain_terms(text)
+    own = [t for t in found if t in lexicon]
+    own = found if len(own) * 16 < len(found) else own
+    part = {t: spark_hash(("i", 1), ("l", t)) % 56 for t in own}
+    sigs = [spark_hash(("i", 0), *[("l", t) for t in own]) if own else spark_hash(("i", -2), ("s", text))]
+    for k in range(23):
+        some = [t for t in own if part[t] == k]
+        sigs.append(spark_hash(("i", k), *[v for t in some for v in (("l", k), ("l", t))]) if some else None)
+    return sigs
+
+
+def test_fingerprints_like_a_plain_version(spark, docs):
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    texts = {t for _, t in rows}
+    df = {}
+    for t in texts:
+        for term in plain_terms(t):
+            df[term] = df.get(term, 0) + 1
+    lexicon = {t for t, n in df.items() if -(-len(texts) // 100) <= n <= len(texts) // 4}
+    shown = lambda sigs: ".".join("-" if s is None else f"{s & (1 << 64) - 1:016x}" for s in sigs)
+
+    def like(a, b):
+        seen = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+        return sum(x == y for x, y in seen) / max(len(seen), 1)
+
+    want = {}
+    for k, (doc_id, text) in enumerate(rows):
+        half, after = len(text) // 2, rows[(k + 1) % len(rows)][1]
+        edited = text[: len(text) - half] + after[:half]
+        own, changed, other = (plain_signatures(t, lexicon) for t in (text, edited, after))
+        digest = hashlib.sha256(edited.encode()).hexdigest()
+        want[doc_id] = (len(text), digest, shown(own), shown(changed), like(own, changed), like(own, other))
+    got = QUERIES["op5_imatch"](spark, SF).collect()
+    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert {r["doc_id"]: tuple(r[n] for n in names) for r in got} == want
+
+
+def test_statistics_like_a_plain_version():
+    classes = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\n\r", ".,;:'\"-()?", "|", "!"]
+    classes += ["#$%&*@^~<>{}[]=+_/\\`"]
+    for text in ["", "Hi THERE, é|!\n\nshort line 12", "a b a b\n" * 30, "x" * 500, "日本 word", None]:
+        t = text or ""
+        raw, words, lines = list(t.encode()), t.split(), t.split("\n")
+        at = [next((k for k, c in enumerate(classes) if chr(b) in c), 9) if b < 128 else 8 for b in raw]
+        want = [at.count(k) / max(len(raw), 1) for k in range(10)]
+        n = max(len(words), 1)
+        want += [math.log1p(len(raw)), math.log1p(len(words)), (len(t) - t.count(" ")) / n, len(set(words)) / n**0.8]
+        want += [max([len(w) for w in words] or [0]), math.log1p(len(lines)), math.log1p(len(t) / len(lines))]
+        want += [len(set(lines)) / len(lines), sum(len(x) < 40 for x in lines) / len(lines), sum(w.isupper() for w in words) / n]
+        assert np.allclose(quality.statistics(text), want)
+
+
+def test_the_first_split_is_the_best():
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 12, (200, 4)).astype(float)
+        y = ((x[:, seed % 4] > 5) ^ (rng.random(200) < 0.2)).astype(float)
+        forest = gbdt.fit(x, y, trees=1, depth=1, least_rows=3)
+        gradient = y - (y.sum() + 1) / 202
+        weight = (y.sum() + 1) / 202 * (1 - (y.sum() + 1) / 202)
+
+        def gain(f, cut):
+            left = x[:, f] <= cut
+            if min(left.sum(), (~left).sum()) < 3:
+                return -1.0
+            return sum(gradient[side].sum() ** 2 / (weight * side.sum() + 1) for side in (left, ~left))
+
+        best = max(gain(f, cut) for f in range(4) for cut in np.unique(x[:, f]))
+        root = forest.roots[0]
+        assert abs(gain(forest.feature[root], forest.threshold[root]) - best) < 1e-9
+
+
+def test_media_feature_like_a_plain_version():
+    payload = ogg.padded("Hällo wörld, 123".encode() * 9)
+    media = ogg.load(ogg.store(payload))
+    assert media.payload == payload
+    n = len(payload)
+    shares = [sum(b // 16 == k for b in payload) / n for k in range(16)]
+    wave = [b - 128 for b in payload]
+    mean = sum(wave) / n
+    deviation = (sum((w - mean) ** 2 for w in wave) / n) ** 0.5
+    turns = sum((a < 0) != (b < 0) for a, b in zip(wave, wave[1:], strict=False)) / (n - 1)
+    assert ogg.feature(media) == ",".join(f"{v:.6f}" for v in [*shares, mean, deviation, turns, n / 8000])
+
+
+def test_preferences_edges(spark):
+    fields = "conv_id long, turn int, role string, text string, prompt string"
+    long = "word " * 40_000
+    rows = [(None, k, "user", f"lone {k}", "x") for k in range(5)]
+    rows += [(0, 0, "user", long, "x"), (1, 0, "user", long, "x"), (0, 1, "assistant", "a", "x"), (1, 1, "assistant", "b", "x")]
+    rows += [(2, 0, "user", "hi", "x"), (2, 0, "user", "hi", "x"), (3, 0, "user", "hi", "x"), (3, 0, "assistant", None, "x")]
+    rows += [(4, None, None, None, None)]
+    got = chat.format_preferences(chat.neighbour_pairs(spark.createDataFrame(rows, fields))).collect()
+    lone = [r for r in got if r["pair_id"] is None]
+    assert len(lone) == 5 and all(r["prompt"] == "" and r["chosen"].count("lone") == 1 for r in lone)
+    by = {r["pair_id"]: r for r in got if r["pair_id"] is not None}
+    assert by[0]["prompt_turns"] == 1 and long in by[0]["prompt"] and by[0]["chosen"] == "<|assistant|>\na\n<|end|>\n"
+    # turns of one number are ordered by role and text: the answer comes first in conversation 3
+    assert by[1]["prompt_turns"] == 0 and by[1]["chosen"].count("hi") == 2 and by[2]["rejected"] == ""
+    assert chat.format_preferences(chat.neighbour_pairs(spark.createDataFrame([], fields))).count() == 0
+
+
+def test_added_names_may_be_there_before(spark):
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["n_tokens", "set_id", "piece", "length", "row", "key", "bands", "lang_pred", "n_added", "_same"]
+    odd = df.withColumns({n: F.lit("x") for n in names})
+    for run in (bpe.encode_digests, ngram_join.ngram_jaccard_join, packing.pack_documents, ogg.media_digests):
+        a, b = run(df), run(odd)
+        assert a.columns == b.columns
+        shown = lambda d: sorted(map(str, d.drop("sequence_id", "offset").collect()))
+        assert shown(a) == shown(b)
+
+
+def test_words_are_cut_where_the_script_changes():
+    assert language.words_of("Hello мир漢字テスト don't") == ["hello", "мир", "漢字", "テスト", "don't"]
+    assert "".join(language.words_of("漢字" * 9)) == "漢字" * 9 and len(language.words_of("漢字" * 9)) == 5
+    assert language.words_of(None) == [] and language.words_of("Déjà vu") == ["déjà", "vu"]

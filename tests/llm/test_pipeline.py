@@ -2,7 +2,7 @@
 
 from oracle import SF
 from pyspark.sql import functions as F
-from test_operators import grams, plain_base, plain_join, plain_line_dedup
+from test_operators import EDGE, SCHEMA, grams, plain_base, plain_join, plain_line_dedup
 
 import corpus_pipeline
 
@@ -47,3 +47,26 @@ def test_stages(spark, tmp_path):
     used = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert used.where("n <> end or n > 4096").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == pieces.count()
+
+
+def test_stages_on_nulls_empties_long_texts_repeats_and_extra_columns(spark):
+    edge = spark.createDataFrame(EDGE, SCHEMA).withColumns({"_row": F.lit(1), "n_removed": F.lit("x"), "spans": F.lit(2)})
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, edge, SF)
+        assert stage(spark, empty, SF).count() == 0
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert got.groupBy("doc_id").count().count() == len({r[0] for r in EDGE})
+            continue
+        assert got.columns == corpus_pipeline.COLUMNS
+        rows = [(r["doc_id"], r["text"]) for r in got.collect()]
+        if name == "line_dedup":
+            # the null id comes first and keeps its lines, the other copy of them goes
+            assert len(rows) == len(EDGE) - 1 and (3, None) in rows and (4, "") in rows
+            assert (None, EDGE[5][1]) in rows and not any(k == 5 for k, _ in rows)
+        if name == "ngram_jaccard_join":
+            # one of the copies, one of the texts without words; null ids come last
+            assert sorted((k for k, _ in rows)) == [1, 3, 5, 7, 8]
+        if name == "pii":
+            assert len(rows) == len(EDGE) and (3, None) in rows
+            assert any(k == 8 and t.endswith("[REDACTED] [REDACTED]") for k, t in rows)
