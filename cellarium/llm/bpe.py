@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, sliced, tidy
-from .words import WordIds, encode_texts, ragged
+from .words import WordIds, encode_texts, packed, ragged
 
 #: Ranks and vocabularies stay below 2^20; places below 2^40.
 NO_RANK, PLACE_BITS = np.int64(1) << 20, 40
@@ -224,15 +224,15 @@ class BytePairEncoder:
         parts = self.parts.split(text) if self.parts and any(s in text for s in self.special) else [text]
         return [w for p in parts if p for w in ([p] if p in self.special else self.words.findall(p))]
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of different pieces or special tokens, each as little-endian 32-bit numbers."""
-        split = [[p] if p in self.special else self.words.findall(p) for p in pieces]
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces or special tokens, and how many each has."""
+        split = [[p] if p in self.special else self.words.findall(p) for p in pieces.to_pylist()]
         atoms = list(dict.fromkeys(a for s in split for a in s if a not in self.special))
         known = dict(zip(atoms, self.encode_words(atoms), strict=True))
         known |= {name: np.array([k], "<u4").tobytes() for name, k in self.special.items()}
-        return [known[s[0]] if len(s) == 1 else b"".join([known[a] for a in s]) for s in split]
+        return packed([known[s[0]] if len(s) == 1 else b"".join([known[a] for a in s]) for s in split])
 
-    def encode(self, texts: list[str], words: WordIds | None = None, chars: int = 5_000_000) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str], words: WordIds | None = None, chars: int = 12_000_000) -> Iterator[np.ndarray]:
         """Ids of texts, in their order."""
         return encode_texts(texts, self.split, words or WordIds(self.encode_pieces), chars)
 
@@ -247,7 +247,7 @@ def encoder(path: str) -> BytePairEncoder:
 
 
 def encode_digests(
-    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 5_000_000
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 12_000_000
 ) -> DataFrame:
     """Encode and decode every whole text; returns the id and digests of both.
 

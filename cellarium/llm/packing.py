@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import Batches, cut_lineage, sliced, tidy
-from .words import WordIds, encode_texts, flat_words
+from .words import WordIds, encode_texts, flat_words, packed, ragged
 
 class WordTokenizer:
     """Ids by the tokenizers library for a vocabulary whose words never hold white space.
@@ -40,37 +40,44 @@ class WordTokenizer:
         found = (e for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _encode_letters(self, words: list[str], together: int = 512) -> list[bytes]:
+    def _encode_letters(self, words: list[str], together: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters: many are one text, cut where a token ends a word. Where
         the ends are not one a word (rare letters normalise to several words), one by one."""
         parts = [words[a : a + together] for a in range(0, len(words), together)]
-        out: list[bytes] = []
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for part, encoded in zip(parts, self._encode([" ".join(p) for p in parts]), strict=True):
-            ends = (np.flatnonzero(self.ends_word[np.frombuffer(encoded, "<u4")]) * 4 + 4).tolist()
-            if len(ends) == len(part):
-                out += [encoded[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            else:
-                out += self._encode(part)
-        return out
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of different words. One of letters before a full stop or comma is that word
-        and the mark."""
-        plain = lambda w: w.lower() if w.isascii() else w
-        stem_of, mark_of, other = {}, {}, []
-        for w in words:
-            if w.isalpha():
-                stem_of[w] = plain(w)
-            elif w[-1:] in (".", ",") and w[:-1].isalpha():
-                stem_of[w], mark_of[w] = plain(w[:-1]), w[-1]
-            else:
-                other.append(w)
-        stems = list(dict.fromkeys(stem_of.values()))
-        known = dict(zip(stems, self._encode_letters(stems), strict=True))
-        marks = dict(zip(".,", self._encode([".", ","]), strict=True)) | {"": b""}
-        found = dict(zip(other, self._encode(other), strict=True))
-        found |= {w: known[stem] + marks[mark_of.get(w, "")] for w, stem in stem_of.items()}
-        return [found[w] for w in words]
+            got = np.frombuffer(encoded, "<u4")
+            counts = np.diff(np.flatnonzero(self.ends_word[got]), prepend=-1)
+            if len(counts) != len(part):
+                got, counts = packed(self._encode(part))
+            ids.append(got)
+            sizes.append(counts)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, and how many each has. One of letters before a full stop
+        or comma is that word and the mark."""
+        marked = pc.or_(pc.ends_with(words, "."), pc.ends_with(words, ","))
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
+        plain = pc.utf8_is_alpha(stems)
+        # Marks that stand for themselves, words of other signs, then stems of letters.
+        other = pc.filter(words, pc.invert(plain)).to_pylist()
+        letters = pc.filter(stems, plain)
+        letters = pc.if_else(pc.string_is_ascii(letters), pc.ascii_lower(letters), letters).dictionary_encode()
+        others, letter_ids = packed(self._encode([".", ",", *other])), self._encode_letters(letters.dictionary.to_pylist())
+        ids = np.concatenate([others[0], letter_ids[0]])
+        sizes = np.concatenate([others[1], letter_ids[1]])
+        starts = np.cumsum(sizes) - sizes
+        # Each word is one or two parts: itself or its stem, and a mark.
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        two = is_plain & marked.to_numpy(zero_copy_only=False)
+        first = np.cumsum(1 + two) - (1 + two)
+        part = np.zeros(len(words) + int(two.sum()), np.int64)
+        part[first[~is_plain]] = 2 + np.arange(len(other))
+        part[first[is_plain]] = 2 + len(other) + letters.indices.to_numpy()
+        part[first[two] + 1] = pc.ends_with(words, ",").to_numpy(zero_copy_only=False)[two]
+        out = sizes[part]
+        return ids[ragged(starts[part], out)], np.add.reduceat(out, first) if len(words) else out
 
 
 def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
@@ -95,7 +102,7 @@ def token_pieces(
     end_id: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
-    batch_chars: int = 5_000_000,
+    batch_chars: int = 12_000_000,
 ) -> DataFrame:
     """Each document's ids and ``end_id``, in pieces of ``capacity``; the last may be shorter.
 

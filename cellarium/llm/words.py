@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,23 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) + np.repeat(starts - before, counts)
 
 
+def packed(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids given as little-endian 32-bit numbers: all of them, and how many each item has."""
+    return np.frombuffer(b"".join(encoded), "<u4"), np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+
+
 class WordIds:
-    """Ids of words by ``encode``, which gives a word's as little-endian 32-bit numbers.
+    """Ids of words by ``encode``, which gives those of different words: all ids, and how many
+    each word has.
 
     What is remembered takes about ``most_bytes`` at most and belongs to the object, so
     that it goes with the task that made it; words of over ``longest`` bytes are never
     kept. When it is full, the words of the last batch stay.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most_bytes: int = 32 << 20, longest: int = 64):
+    def __init__(
+        self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most_bytes: int = 32 << 20, longest: int = 64
+    ):
         self.encode, self.most_bytes, self.longest = encode, most_bytes, longest
         self._forget()
 
@@ -39,27 +48,24 @@ class WordIds:
     def bytes(self) -> int:
         return self.words.nbytes + self.ids.nbytes + self.sizes.nbytes
 
-    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after the other, and how many each word has."""
+    def find(self, words: pa.Array) -> "Found":
         coded = words.dictionary_encode()
         different, index = coded.dictionary, coded.indices.to_numpy()
         at = pc.index_in(different, value_set=self.words)
         unknown = pc.is_null(at).to_numpy(zero_copy_only=False)
         new = different.filter(pa.array(unknown))
-        encoded = self.encode(new.to_pylist())
-        ids = np.concatenate([self.ids, np.frombuffer(b"".join(encoded), "<u4")])
-        sizes = np.concatenate([self.sizes, np.fromiter(map(len, encoded), np.int32, len(encoded)) // 4])
+        added, counts = self.encode(new)
+        ids = np.concatenate([self.ids, added.astype(np.uint32, copy=False)])
+        sizes = np.concatenate([self.sizes, counts.astype(np.int32)])
         place = at.fill_null(0).to_numpy().astype(np.int64)
         place[unknown] = len(self.words) + np.arange(len(new))
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
-        counts = sizes[place][index].astype(np.int64)
-        out = ids[ragged(starts[place][index], counts)]
-        self._keep(different, new, place, ids, sizes, starts)
-        return out, counts
+        found = Found(ids, starts[place], sizes[place].astype(np.int64), index)
+        if len(new):
+            self._keep(different, new, place, ids, sizes, starts)
+        return found
 
     def _keep(self, different, new, place, ids, sizes, starts) -> None:
-        if not len(new):
-            return
         known = len(self.words)
         short = pc.less_equal(pc.binary_length(new), self.longest).to_numpy(zero_copy_only=False)
         added = new.filter(pa.array(short))
@@ -75,29 +81,52 @@ class WordIds:
         self.sizes = np.concatenate([self.sizes, sizes[at]])
 
 
+@dataclass(frozen=True)
+class Found:
+    """The ids of a batch of words: of the k-th, sizes[index[k]] ids from starts[index[k]] on."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    index: np.ndarray
+
+    def of(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words a to b, one after the other, and how many each has."""
+        counts = self.sizes[self.index[a:b]]
+        return self.ids[ragged(self.starts[self.index[a:b]], counts)], counts
+
+
 def encode_texts(
-    texts: list[str], cut: Callable[[list[str]], tuple[pa.Array, np.ndarray]], words: WordIds, chars: int = 5_000_000
+    texts: list[str],
+    cut: Callable[[list[str]], tuple[pa.Array, np.ndarray]],
+    words: WordIds,
+    chars: int = 12_000_000,
+    together: int = 500_000,
 ) -> Iterator[np.ndarray]:
     """The ids of each text, in its order.
 
     ``cut`` gives the words of texts, one after the other, and where each text's begin
-    (and the last ends). About ``chars`` characters are worked on at a time; a longer text
-    is cut before white space into slices, so words must not depend on what lies beyond
-    white space on either side of a cut.
+    (and the last ends). Words are looked up for about ``chars`` characters at a time and
+    their ids put together for about ``together`` words; a longer text is cut before white
+    space into slices, so words must not depend on what lies beyond white space on either
+    side of a cut.
     """
     held: list[np.ndarray] = []
     for part in _parts(texts, chars):
         flat, edges = cut([piece for piece, _ in part])
-        ids, counts = words(flat)
-        ends = np.concatenate([[0], np.cumsum(counts)])[edges]
-        for (_, last), a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            if last and not held:
-                yield ids[a:b]
-                continue
-            held.append(ids[a:b])
-            if last:
-                yield np.concatenate(held)
-                held = []
+        found = words.find(flat)
+        groups = np.flatnonzero(np.diff(edges[1:] // together)) + 1  # slices in which about so many words end
+        for first, end in pairwise([0, *groups.tolist(), len(part)]):
+            ids, counts = found.of(edges[first], edges[end])
+            ends = np.concatenate([[0], np.cumsum(counts)])[edges[first : end + 1] - edges[first]].tolist()
+            for (_, last), a, b in zip(part[first:end], ends[:-1], ends[1:], strict=True):
+                if last and not held:
+                    yield ids[a:b]
+                    continue
+                held.append(ids[a:b])
+                if last:
+                    yield np.concatenate(held)
+                    held = []
 
 
 def _parts(texts: list[str], chars: int) -> Iterator[list[tuple[str, bool]]]:
