@@ -74,13 +74,13 @@ def sliced(batches: Batches, size: int = 4_000_000) -> Batches:
 
 
 def may_be_among(column: Column, few: DataFrame, name: str, most_bits: int = 25) -> Column:
-    """False only for values that are not in ``few[name]``: a filter of some 8 bits a value.
+    """False only for values that are not in ``few[name]``: a filter of 32 to 64 bits a value.
 
     It spares the shuffle texts that the join after it would drop. It has 2^most_bits bits
     at most (4 MB), as it is a constant of the plan; with more than some millions of values
     it lets more through, never less.
     """
-    bits = min(max((8 * few.count()).bit_length(), 16), most_bits)
+    bits = min(max((32 * few.count()).bit_length(), 16), most_bits)
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
     set_bits = few.select(place(F.col(name)).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("word"))
     got = set_bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).collect()
