@@ -16,7 +16,7 @@ from .common import cut_lineage, let, may_be_among
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct lower-case words (runs of letters and digits), sorted."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
@@ -65,8 +65,8 @@ def signatures(
     """Hashes of a document's lexicon terms ``kept``, the first over all of them, the others over
     randomised subsets of the lexicon.
 
-    Subset k holds the terms whose hash with k falls in one of ``share`` parts. A subset
-    with no term of the document gives null. Where less than one in ``covered`` of a
+    A hash deals the terms to ``share`` parts, of which the first are the subsets: no two
+    share a term, and a term is hashed once for all of them. A subset with no term of the document gives null. Where less than one in ``covered`` of a
     document's terms is in the lexicon (near copies that make a large part of the rows, a
     rare language), all its terms stand in for the lexicon terms, in the first signature
     and in the subsets; it is like others of its kind then, but not like a text of which
@@ -76,11 +76,16 @@ def signatures(
     few = lambda own: F.size(own) * covered < F.size(found)
 
     def of(own: Column) -> Column:
-        parts = F.transform(
-            F.sequence(F.lit(1), F.lit(subsets - 1)),
-            lambda k: let(
-                F.filter(own, lambda t: F.pmod(F.xxhash64(k, t), F.lit(share)) == 0),
-                lambda s: F.when(F.size(s) > 0, F.xxhash64(k, s)),
+        dealt = F.transform(
+            own, lambda t: F.struct(F.pmod(F.xxhash64(F.lit(1), t), F.lit(share)).alias("part"), t.alias("t"))
+        )
+        parts = let(
+            F.filter(dealt, lambda d: d["part"] < subsets - 1),
+            lambda some: F.transform(
+                F.sequence(F.lit(0), F.lit(subsets - 2)),
+                lambda k: let(
+                    F.filter(some, lambda d: d["part"] == k), lambda s: F.when(F.size(s) > 0, F.xxhash64(k, s))
+                ),
             ),
         )
         whole = F.when(F.size(own) > 0, F.xxhash64(F.lit(0), own)).otherwise(F.xxhash64(F.lit(-2), text))
