@@ -236,6 +236,11 @@ class BytePairEncoder:
         """Ids of texts, in their order."""
         return encode_texts(texts, self.split, words or WordIds(self.encode_pieces), chars)
 
+    def decode_strict(self, token: int) -> str:
+        """A token's text; UnicodeDecodeError where its bytes are none."""
+        start = int(self.token_starts[token])
+        return self.token_bytes[start : start + int(self.token_sizes[token])].tobytes().decode("utf-8")
+
     def decode(self, ids: np.ndarray) -> str:
         raw = self.token_bytes[ragged(self.token_starts[ids], self.token_sizes[ids])].tobytes()
         return raw.decode("utf-8", errors="replace")

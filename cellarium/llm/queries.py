@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_tokenizers
 from .bpe import encode_digests
 from .chat import PREFERENCES_SQL, format_preferences, neighbour_pairs
 from .common import documents, is_held_out
@@ -16,6 +17,8 @@ from .ogg import media_digests
 from .packing import pack_documents
 from .pii import BASE_KINDS, base_digest, find_pii, train_pii
 from .quality import score_quality, train_quality
+from .spelling import SPELLING_SQL, spelling_variants
+from .token_counts import count_tokens
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
@@ -81,10 +96,14 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_alignment": op11_alignment,
+    "op12_spelling": op12_spelling,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op3_chat_preferences": PREFERENCES_SQL,
     "op9_ngram_jaccard_join": NGRAM_JOIN_SQL,
+    "op12_spelling": SPELLING_SQL,
 }

@@ -14,6 +14,9 @@ import pyarrow.compute as pc
 #: Where a long text is cut: white space after something else.
 _SPACE = re.compile(r"(?<=\S)[ \t\n\r]")
 
+#: Where a text is cut into chunks.
+_CHUNK = re.compile(r"(?<=\S)(?= )")
+
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The places starts[k], starts[k] + 1, .. of each k, counts[k] of them, one after the other."""
@@ -112,7 +115,7 @@ def encode_texts(
     side of a cut.
     """
     held: list[np.ndarray] = []
-    for part in _parts(texts, chars):
+    for part in parts(texts, chars):
         flat, edges = cut([piece for piece, _ in part])
         found = words.find(flat)
         groups = np.flatnonzero(np.diff(edges[1:] // together)) + 1  # slices in which about so many words end
@@ -129,7 +132,7 @@ def encode_texts(
                     held = []
 
 
-def _parts(texts: list[str], chars: int) -> Iterator[list[tuple[str, bool]]]:
+def parts(texts: list[str], chars: int) -> Iterator[list[tuple[str, bool]]]:
     """Lists of (slice, whether it is its text's last)."""
     part, size = [], 0
     for piece, last in chain.from_iterable(_slices(t, chars) for t in texts):
@@ -142,6 +145,27 @@ def _parts(texts: list[str], chars: int) -> Iterator[list[tuple[str, bool]]]:
         yield part
 
 
+def space_chunks(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut before each space that follows something else than white space, and where each
+    text's pieces begin (and the last ends)."""
+    whole = pa.array(texts, pa.string())
+    lists = pc.split_pattern(pc.replace_substring(whole, " ", "\0 "), "\0")
+    pieces, edges = lists.values, lists.offsets.to_numpy().astype(np.int64)
+    # A piece that ends in white space, or is nothing else, must not be cut from what follows.
+    size, bare = (pc.binary_length(p).to_numpy() for p in (pieces, pc.utf8_rtrim_whitespace(pieces)))
+    last = np.zeros(len(pieces), bool)
+    last[edges[1:] - 1] = True
+    odd = np.logical_or.reduceat((bare != size) & ~last, edges[:-1]) if len(texts) else np.zeros(0, bool)
+    for found in (pc.match_substring(whole, "\0"), pc.starts_with(whole, " ")):
+        odd |= found.to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return pieces, edges
+    cut = [_CHUNK.split(t) for t, o in zip(texts, odd.tolist(), strict=True) if o]
+    both = pa.concat_arrays([lists.filter(pa.array(~odd)), pa.array(cut, pa.list_(pa.string()))])
+    both = both.take(pa.array(np.argsort(np.argsort(odd, kind="stable"))))
+    return both.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(both).to_numpy(), dtype=np.int64)])
+
+
 def _slices(text: str, chars: int) -> Iterator[tuple[str, bool]]:
     at = 0
     while len(text) - at > chars and (found := _SPACE.search(text, at + chars)):
