@@ -20,7 +20,7 @@ def test_every_query_has_a_function_and_sql_has_its_query():
 def test_training_data_operators_are_there_only_with_their_package():
     llm, pipeline = (importlib.util.find_spec(n) is not None for n in ("cellarium.llm", "corpus_pipeline"))
     found = {n for n in entry.queries() if n.startswith("op") or n == "pipeline"}
-    assert len(found) == 10 * llm + (llm and pipeline)
+    assert len(found) == 13 * llm + (llm and pipeline)
 
 
 def test_a_missing_file_inside_the_package_is_an_error(monkeypatch):
