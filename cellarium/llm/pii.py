@@ -32,11 +32,13 @@ BASE_PATTERNS = {
 
 #: High-recall generators of further candidates; their spans may overlap. Repeats have no
 #: upper end; only accounts have one, as their format has. A run of digits alone is a
-#: number, never a secret.
+#: number, never a secret. A letter right after a number is taken into its match, and the match
+#: then dropped: asking the pattern itself for no letter there would have it try every later
+#: digit of a long run in vain.
 GENERATORS = {
     "mail": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]|(?<= )at(?= )) ?"
     r"[a-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= )) ?[a-z0-9-]++)++",
-    "number": r"(?<![0-9A-Za-z.+])(?<!\+[0-9]{1,3}[ -]\(?)\(?[0-9](?:[ ().-]{0,2}+[0-9]){6,}+(?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z.+])(?<!\+[0-9]{1,3}[ -]\(?)\(?[0-9](?:[ ().-]{0,2}+[0-9]){6,}+[A-Za-z]?+",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])",
     "secret": r"(?i)(?<![0-9a-z])(?:(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?\"?[^\s\"]{4,}+\"?"
     r"|(?![0-9]++(?![a-z_+/-]))[a-z0-9_+/-]{16,}+)",
@@ -164,8 +166,11 @@ def candidates(text: Column) -> Column:
     kind = f"struct<start:int,end:int,{','.join(f'{f}:double' for f in FEATURES)}>"
 
     def spans(name: str) -> Column:
+        whole = matches(text, GENERATORS[name])
+        if name == "number":
+            whole = F.filter(whole, lambda m: ~m["value"].rlike("[A-Za-z]$"))
         found = F.transform(
-            matches(text, GENERATORS[name]),
+            whole,
             lambda m: F.struct(
                 m["start"].alias("start"), m["end"].alias("end"), *_features(m, GENERATOR_NAMES.index(name))
             ),
