@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 VERTICAL_EXPONENT = 25
 MORTON3D_BITS = 21
 
-#: Steps that spread bits for two and three dimensions: shift, then keep the mask.
+#: Steps that spread bits for two and three dimensions: shift, then keep the mask.
 SPREAD_2 = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
 SPREAD_3 = [(32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
 
+#: Digits of base 32, and those of geohashes.
 BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 GEOHASH_DIGITS = "0123456789bcdefghjkmnpqrstuvwxyz"
 
@@ -100,6 +102,13 @@ def morton3d_at(x: int, y: int, h: int) -> int:
     return spread(x) | spread(y) << 1 | spread(h) << 2
 
 
+def interleaved(places: np.ndarray) -> np.ndarray:
+    """Morton keys of an array of places (n x 2 or n x 3, none negative): constants of a plan."""
+    steps = SPREAD_2 if places.shape[1] == 2 else SPREAD_3
+    axes = (reduce(lambda a, s: (a | a << s[0]) & s[1], steps, places[:, k]) << k for k in range(places.shape[1]))
+    return reduce(lambda a, b: a | b, axes)
+
+
 def morton2d_xy(key) -> tuple[Column, Column]:
     return _compact(_col(key)), _compact(F.shiftright(_col(key), 1))
 

@@ -257,21 +257,13 @@ def box_ranges_at(scheme: str, r: int, box: tuple[float, float, float, float]) -
     return min(x0, x1), max(x0, x1), min(y0, y1), max(y0, y1)
 
 
-def constant_cells(spark: SparkSession, scheme: str, r: int, box: tuple[float, float, float, float]) -> tuple[DataFrame, int, list]:
-    """The cells over a constant box, how many they are, and a few key ranges that hold them all."""
+def cover_ranges(scheme: str, r: int, box: tuple[float, float, float, float]) -> list[tuple[int, int]]:
+    """The cells over a constant box as ranges of their keys, as numbers: geohash, quadkey or
+    morton2d. There are as many as the box has cells along its outline, not inside."""
     i0, i1, j0, j1 = box_ranges_at(scheme, r, box)
-    n = (i1 - i0 + 1) * (j1 - j0 + 1)
-    # Generated columns, not formulas, so that the keys' expressions stay small.
-    df = spark.range(1).select(F.explode(F.sequence(F.lit(i0).cast("long"), F.lit(i1).cast("long"))).alias("i"))
-    df = df.withColumn("j", F.explode(F.sequence(F.lit(j0).cast("long"), F.lit(j1).cast("long")))).withColumn("resolution", F.lit(r))
     if scheme == "geohash" and r % 2 == 0:  # its first bit is of the other axis then
-        near = ranges.coarse_ranges(j0, j1, i0, i1)
-    else:
-        near = ranges.coarse_ranges(i0, i1, j0, j1)
-    if scheme != "morton2d":
-        base = 32 if scheme == "geohash" else 4
-        near = [(keys.text_of(lo, base, r), keys.text_of(hi, base, r)) for lo, hi in near]
-    return df.select("resolution", *lattice_key(scheme)), n, near
+        i0, i1, j0, j1 = j0, j1, i0, i1
+    return ranges.box_ranges((i0, j0), (i1, j1))
 
 
 def box_cells(boxes: DataFrame, scheme: str, resolutions: list[int], id_col: str = "osm_id") -> DataFrame:

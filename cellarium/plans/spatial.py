@@ -324,26 +324,28 @@ def cell_hits(spark, sf_dir, scheme: str, kind: str, side: float, r: int) -> Dat
         found = viewport_ranges(r, side)
         table = table.where(ranges.within("cell", ranges.outer(found)))
         near = ranges.constants(spark, found, "lo long, hi long")
-        hits = ranges.in_ranges(table, near, "cell", [], few=len(found) <= lookup.BROADCAST_CELLS)
+        hits = ranges.in_ranges(table, near, "cell", [], few=len(found) <= ranges.BROADCAST_RANGES, shift=ranges.block_shift(found))
         return hits.select("resolution", "osm_id")
     if scheme == "hex":
         names = hexgrid.box_names(fx.viewport(side), r)
         cells, n = ranges.constants(spark, [(r, c) for c in names], "resolution int, cell string"), len(names)
-        near = [(min(names), max(names))]
-    else:
-        cells, n, near = cover.constant_cells(spark, scheme, r, fx.viewport(side))
-    return lookup.by_cells(table.where(ranges.within("cell", near)), cells, n)
+        return lookup.by_cells(table.where(ranges.within("cell", [(min(names), max(names))])), cells, n)
+    found, base = cover.cover_ranges(scheme, r, fx.viewport(side)), 32 if scheme == "geohash" else 4
+    near = [(keys.text_of(lo, base, r), keys.text_of(hi, base, r)) for lo, hi in ranges.outer(found)]
+    hits = ranges.in_text_ranges(table.where(ranges.within("cell", near)), found, "cell", base, r)
+    return hits.select("resolution", "osm_id")
 
 
 def viewport_by_cells(spark, sf_dir, scheme: str, kind: str, side: float) -> DataFrame:
     """resolution and osm_id, once each, at all resolutions of the scheme."""
     parts = [cell_hits(spark, sf_dir, scheme, kind, side, r) for r in fx.RESOLUTIONS[scheme]]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    hits = reduce(DataFrame.unionByName, parts)
+    return hits if kind == "points" else hits.distinct()  # a point has one cell a resolution, and its id is unique
 
 
 def viewport_ranges(z: int, side: float) -> list[tuple[int, int]]:
     x0, x1, y0, y1 = cover.box_ranges_at("morton2d", z, fx.viewport(side))
-    return ranges.merged((keys.morton2d_at(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)), 4)
+    return ranges.box_ranges((x0, y0), (x1, y1), 4)
 
 
 def _viewport_query(scheme: str, kind: str, name: str, side: float):
@@ -375,12 +377,13 @@ def h3_poly(spark, sf_dir):
 def _radius_sql() -> str:
     middle = f"centre AS (SELECT 'c' AS \"case\", {fx.CENTRE_LON!r}::DOUBLE AS lon, {fx.CENTRE_LAT!r}::DOUBLE AS lat)"
     parts = []
+    edges = {7: 1220, 8: 461, 9: 174, 10: 65}  # fixed values, written out again so that k has a count of its own
     for r in fx.RESOLUTIONS["hex"]:
         for radius in fx.RADII_M:
-            k = hexgrid.disk_steps(radius, r)
+            k = max(1, -(-radius // edges[r]))
             disk = hexsql.disk_cells("centre", r, k, '"case"')
             parts.append(
-                f"SELECT {radius} AS radius_m, {r} AS resolution, {k} AS k, osm_id FROM ({hexsql.point_cells('points', r)}) t "
+                f"SELECT {radius} AS radius_m, {r} AS resolution, CAST(greatest(1, ceil({radius} / {edges[r]}.0)) AS INT) AS k, osm_id FROM ({hexsql.point_cells('points', r)}) t "
                 f"WHERE cell IN (SELECT cell FROM ({disk}) d)"
             )
     return f"WITH {sql.POINTS}, {middle}, {hexsql.FACES} {_union(parts)}"
@@ -404,24 +407,23 @@ def h3_radius(spark, sf_dir):
 # Morton ranges
 
 
+#: The bounds of the buildings of each tile of zoom 15, as boxes to be looked up.
+TILE_BOXES_SQL = f"""tiles AS (SELECT {sql.x('xmin', 15)} || '/' || {sql.y('ymin', 15)} AS "case", min(xmin) AS xmin,
+  min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM buildings GROUP BY ALL)"""
+
+
 @query(
     "morton2d_ranges",
-    "WITH "
-    + ", ".join(
-        f"box{n} AS (SELECT '{n}' AS \"case\", {w!r}::DOUBLE AS xmin, {s!r}::DOUBLE AS ymin, {e!r}::DOUBLE AS xmax, {t!r}::DOUBLE AS ymax)"
-        for n, (w, s, e, t) in ((n, fx.viewport(side)) for n, side in fx.SIDES.items())
-    )
-    + ", cells AS ("
-    + _union([f"SELECT \"case\", cell AS key FROM ({box_key_sql('morton2d', Z, f'box{n}', chr(34) + 'case' + chr(34))}) c{n}" for n in fx.SIDES])
-    + ") "
+    f"WITH {sql.BUILDINGS}, {TILE_BOXES_SQL}, cells AS (SELECT \"case\", cell AS key FROM ("
+    + box_key_sql("morton2d", Z, "tiles", '"case"')
+    + ") c) "
     + sql.merged("cells", '"case"', 4),
 )
 def morton2d_ranges(spark, sf_dir):
-    boxes = None
-    for name, side in fx.SIDES.items():
-        b = box_frame(spark, side).withColumn("case", F.lit(name))
-        boxes = b if boxes is None else boxes.unionByName(b)
-    return ranges.key_ranges(ranges.box_keys_2d(boxes, Z), 4, ["case"])
+    case = F.concat_ws("/", keys.tile_x("xmin", 15).cast("string"), keys.tile_y("ymin", 15).cast("string"))
+    bounds = [F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax")]
+    boxes = cover.tile_box(fx.buildings(spark, sf_dir).groupBy(case.alias("case")).agg(*bounds), F.lit(Z))
+    return ranges.ranges_of_boxes(boxes.select("case", "x0", "y0", "x1", "y1"), ["x0", "y0"], ["x1", "y1"], 4).select("case", "lo", "hi")
 
 
 CASES_3D = [(f"{v}@{a}", v, a) for v in fx.BINS_M for a in fx.ALTITUDES_M]
@@ -443,17 +445,12 @@ def corridor_boxes(spark: SparkSession) -> DataFrame:
 def corridor_ranges(origin: tuple[int, int]) -> list[tuple[str, int, int, int]]:
     """(case, bin, lo, hi) of the corridor's keys, which are constants of the query."""
     (x0, y0), (x1, y1) = keys.tile_at(W, N, Z), keys.tile_at(E, S, Z)
+    clip = lambda v: min(max(v, 0), 2**keys.MORTON3D_BITS - 1)
     out = []
     for case, v, alt in CASES_3D:
-        found = ranges.merged(
-            (
-                keys.morton3d_at(x - origin[0], y - origin[1], h)
-                for x in range(x0, x1 + 1)
-                for y in range(y0, y1 + 1)
-                for h in range(int((alt - fx.CLEARANCE_M) // v), int((alt + fx.CLEARANCE_M) // v) + 1)
-            ),
-            4,
-        )
+        low = (x0 - origin[0], y0 - origin[1], int((alt - fx.CLEARANCE_M) // v))
+        high = (x1 - origin[0], y1 - origin[1], int((alt + fx.CLEARANCE_M) // v))
+        found = ranges.box_ranges(tuple(map(clip, low)), tuple(map(clip, high)), 4)
         out += [(case, v, lo, hi) for lo, hi in found]
     return out
 
@@ -464,8 +461,16 @@ def corridor_ranges(origin: tuple[int, int]) -> list[tuple[str, int, int, int]]:
     SELECT "case", lo, hi FROM ({sql.merged('keyed', '"case"', 4)}) m""",
 )
 def morton3d_ranges(spark, sf_dir):
-    cells = ranges.box_keys_3d(corridor_boxes(spark), Z, origin_of(spark, sf_dir))
-    return ranges.key_ranges(cells, 4, ["case", "vertical_bin_m"]).select("case", "lo", "hi")
+    boxes = cover.tile_box(corridor_boxes(spark), F.lit(Z))
+    ox, oy = origin_of(spark, sf_dir)
+    clip = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(2**keys.MORTON3D_BITS - 1))
+    boxes = boxes.select(
+        "case",
+        *[clip(F.col(f"x{k}") - ox).alias(f"x{k}") for k in (0, 1)],
+        *[clip(F.col(f"y{k}") - oy).alias(f"y{k}") for k in (0, 1)],
+        *[clip(keys.height_bin(c, F.col("vertical_bin_m"))).alias(n) for n, c in (("h0", "low"), ("h1", "high"))],
+    )
+    return ranges.ranges_of_boxes(boxes, ["x0", "y0", "h0"], ["x1", "y1", "h1"], 4).select("case", "lo", "hi")
 
 
 # Corridors
@@ -504,7 +509,8 @@ def corridor_hits(spark, sf_dir, scheme: str) -> tuple[DataFrame, list[str]]:
         pushed = ranges.outer(ranges.merged_ranges([(lo, hi) for _, lo, hi in own]))
         rows = table.where((F.col("vertical_bin_m") == v) & ranges.within("key_u64", pushed))
         near = ranges.constants(spark, own, "case string, lo long, hi long")
-        hits = ranges.in_ranges(rows, near, "key_u64", [], few=True).select("case", "osm_id")
+        few = len(own) <= ranges.BROADCAST_RANGES
+        hits = ranges.in_ranges(rows, near, "key_u64", [], few=few).select("case", "osm_id")
         out = hits if out is None else out.unionByName(hits)
     return out, [case for case, _, _ in CASES_3D]
 
@@ -690,14 +696,27 @@ def _records(scheme: str) -> list[tuple[str, str, int, int, int]]:
 
 
 def _matrix_sql(scheme: str) -> str:
-    parts = [
-        f"SELECT '{kind}' AS kind, '{name}' AS size, {'0' if scheme == 'bbox' else 'resolution'} AS resolution, count(*) AS n "
-        f"FROM ({_viewport_sql(scheme, kind, side)}) h GROUP BY ALL"
-        for kind in ("points", "poly")
-        for name, side in fx.SIDES.items()
-    ]
-    return f"""SELECT r.*, coalesce(n, 0) AS n_rows FROM ({sql.values(_records(scheme))}) r(kind, size, resolution, n_cells, n_ranges)
-      LEFT JOIN ({_union(parts)}) c USING (kind, size, resolution)"""
+    """Cells and ranges of each query are counted from its cover, its rows from its hits."""
+    parts, covers = [], []
+    for name, side in fx.SIDES.items():
+        w, s, e, n = fx.viewport(side)
+        box = f"(SELECT 'box' AS \"case\", {w!r}::DOUBLE AS xmin, {s!r}::DOUBLE AS ymin, {e!r}::DOUBLE AS xmax, {n!r}::DOUBLE AS ymax)"
+        for r in fx.RESOLUTIONS.get(scheme, [0]):
+            n_cells, n_ranges = "0", "0"
+            if scheme != "bbox":
+                cells = box_key_sql(scheme, r, box, '"case"')
+                n_cells = f"(SELECT count(*) FROM ({cells}) c)"
+                if scheme == "morton2d":
+                    merged = sql.merged(f'(SELECT "case", cell AS key FROM ({cells}) c)', '"case"', 4)
+                    n_ranges = f"(SELECT count(*) FROM ({merged}) m)"
+            covers.append(f"SELECT '{name}' AS size, {r} AS resolution, {n_cells} AS n_cells, {n_ranges} AS n_ranges")
+        for kind in ("points", "poly"):
+            parts.append(
+                f"SELECT '{kind}' AS kind, '{name}' AS size, {'0' if scheme == 'bbox' else 'resolution'} AS resolution, count(*) AS n "
+                f"FROM ({_viewport_sql(scheme, kind, side)}) h GROUP BY ALL"
+            )
+    return f"""SELECT kind, size, resolution, n_cells, n_ranges, coalesce(n, 0) AS n_rows
+      FROM (VALUES ('points'), ('poly')) k(kind), ({_union(covers)}) r LEFT JOIN ({_union(parts)}) c USING (kind, size, resolution)"""
 
 
 def _matrix_query(scheme: str):

@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+import time
 
 import pytest
 from oracle import SF, same_rows
@@ -72,8 +73,7 @@ def test_published_cover_sizes(spark, side, scheme, r, cells):
 
 
 def test_published_ranges_and_disks(spark):
-    got = {r["case"]: r["n"] for r in spatial.morton2d_ranges(spark, SF).groupBy("case").agg(F.count("*").alias("n")).collect()}
-    assert got == {"01": 8, "05": 104, "10": 252}
+    assert [len(spatial.viewport_ranges(19, side)) for side in fx.SIDES.values()] == [8, 104, 252]
     assert [hexgrid.disk_steps(m, 9) for m in (500, 1000)] == [3, 6]
     centre = spark.sql("SELECT 'c' AS case, 139.785D AS lon, 35.713D AS lat")
     assert cover.hex_disk(centre, 9, 3, "case").select("cell").distinct().count() == 37
@@ -242,8 +242,9 @@ def test_lookups_read_few_row_groups(spark):
     n, filters = scanned(spark, lookup.points_in_box(table, fx.viewport(0.005)))
     assert 0 < n < table.count() and "GreaterThanOrEqual(xmin" in filters
     table = layouts.stored(spark, sf, "cells_quadkey_points", 100)
-    cells, count, near = cover.constant_cells(spark, "quadkey", 17, fx.viewport(0.005))
-    hits = lookup.by_cells(table.where((F.col("resolution") == 17) & ranges.within("cell", near)), cells, count)
+    found = cover.cover_ranges("quadkey", 17, fx.viewport(0.005))
+    near = [(keys.text_of(lo, 4, 17), keys.text_of(hi, 4, 17)) for lo, hi in ranges.outer(found)]
+    hits = ranges.in_text_ranges(table.where((F.col("resolution") == 17) & ranges.within("cell", near)), found, "cell", 4, 17)
     n, filters = scanned(spark, hits)
     assert 0 < n < table.where("resolution = 17").count() / 2 and "GreaterThanOrEqual(cell" in filters and "resolution" in filters
     table = layouts.stored(spark, sf, "occupancy_zxy_heightbin", 500)
@@ -253,14 +254,15 @@ def test_lookups_read_few_row_groups(spark):
     assert n < table.where("vertical_bin_m = 4").count() / 2 and "LessThanOrEqual(hbin" in filters
 
 
-def test_constants_like_columns(spark):
+def test_cover_ranges_hold_the_cells_of_the_box(spark):
     for scheme, r in (("geohash", 5), ("geohash", 6), ("quadkey", 17), ("morton2d", 19)):
         for side in fx.SIDES.values():
-            cells, n, near = cover.constant_cells(spark, scheme, r, fx.viewport(side))
-            own = cover.box_cells(spatial.box_frame(spark, side), scheme, [r], "case")
-            mine = {c["cell"] for c in cells.collect()}
-            assert mine == {c["cell"] for c in own.collect()} and len(mine) == n and len(near) <= 16
-            assert all(any(lo <= c <= hi for lo, hi in near) for c in mine)
+            found = cover.cover_ranges(scheme, r, fx.viewport(side))
+            own = {c["cell"] for c in cover.box_cells(spatial.box_frame(spark, side), scheme, [r], "case").collect()}
+            base = 32 if scheme == "geohash" else 4
+            text = (lambda k: k) if scheme == "morton2d" else lambda k, base=base, r=r: keys.text_of(k, base, r)
+            assert {text(k) for lo, hi in found for k in range(lo, hi + 1)} == own
+            assert len(ranges.outer(found)) <= 16
     for r in (8, 9):
         own = cover.box_cells(spatial.box_frame(spark, 0.01), "hex", [r], "case")
         assert set(hexgrid.box_names(fx.viewport(0.01), r)) == {c["cell"] for c in own.collect()}
@@ -268,6 +270,40 @@ def test_constants_like_columns(spark):
     assert one == [(1, 5), (100, 120)] and ranges.merged([5, 1, 2, 2, 9], 3) == [(1, 5), (9, 9)]
 
 
+def test_descent_finds_the_ranges_of_listed_cells():
+    rng = random.Random(4)
+    for gap in (1, 4):
+        for _ in range(60):
+            low = [rng.randrange(40) for _ in range(3)]
+            high = [v + rng.randrange(12) for v in low]
+            flat = ranges.merged((keys.morton2d_at(x, y) for x in range(low[0], high[0] + 1) for y in range(low[1], high[1] + 1)), gap)
+            assert ranges.box_ranges(tuple(low[:2]), tuple(high[:2]), gap) == flat
+            solid = ranges.merged((keys.morton3d_at(x, y, h) for x in range(low[0], high[0] + 1) for y in range(low[1], high[1] + 1)
+                                   for h in range(low[2], high[2] + 1)), gap)
+            assert ranges.box_ranges(tuple(low), tuple(high), gap) == solid
+    for side in fx.SIDES.values():
+        x0, x1, y0, y1 = cover.box_ranges_at("morton2d", 19, fx.viewport(side))
+        listed = ranges.merged((keys.morton2d_at(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)), 4)
+        assert spatial.viewport_ranges(19, side) == listed
+    with pytest.raises(ValueError, match="box"):
+        ranges.box_ranges((3, 3), (2, 5))
+
+
+def test_descent_of_a_large_box_is_quick():
+    x0, x1, y0, y1 = cover.box_ranges_at("morton2d", 19, (134.8, 30.7, 144.8, 40.7))
+    began = time.perf_counter()
+    found = ranges.box_ranges((x0, y0), (x1, y1))
+    assert time.perf_counter() - began < 1
+    assert sum(hi - lo + 1 for lo, hi in found) == (x1 - x0 + 1) * (y1 - y0 + 1) > 2 * 10**8
+
+
+def test_ranges_of_boxes_that_are_none(spark):
+    rows = [(1, 0, 0, 3, 1), (2, 5, 5, 4, 9), (3, None, 0, 1, 1)]
+    boxes = spark.createDataFrame(rows, "case long, x0 long, y0 long, x1 long, y1 long")
+    found = ranges.ranges_of_boxes(boxes, ["x0", "y0"], ["x1", "y1"]).collect()
+    assert [(r["case"], r["lo"], r["hi"]) for r in found] == [(1, 0, 7)]
+
+
 def test_boxes_with_equal_ids_keep_their_cells(spark):
     rows = [(1, 139.70, 35.60, 139.70001, 35.60001), (1, 139.90, 35.80, 139.90001, 35.80001)]
     df = spark.createDataFrame(rows, "osm_id long, xmin double, ymin double, xmax double, ymax double")
