@@ -11,12 +11,15 @@ FLOOR_HEIGHT_M = 3.0
 METRES_PER_FOOT = 0.3048
 MOST_HEIGHT, MOST_LEVELS = 9999, 500
 
+#: White space, of ASCII or not, with the separators that count as it in Unicode text.
+SPACE = r"(?U:[\s\x1c-\x1f])"
+
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def stripped(text: Column) -> Column:
-    """Without white space of any kind at its ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space of any kind at its ends, no-break spaces included."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def number(text: Column) -> Column:
@@ -30,8 +33,8 @@ def parse_height_m(tag: str | Column) -> Column:
     """Metres from a height tag: the first of a list, in feet or metres; null if there is
     no number above 0 and below 9999. Feet are rounded to centimetres."""
     first = stripped(F.split(stripped(F.col(tag) if isinstance(tag, str) else tag), ";")[0])
-    feet = first.rlike(r"(?i)(ft|feet|foot)\s*$")
-    value = number(F.regexp_replace(first, r"(?i)\s*(ft|feet|foot|m|meters?|metres?)\s*$", ""))
+    feet = first.rlike(rf"(?i)(ft|feet|foot){SPACE}*$")
+    value = number(F.regexp_replace(first, rf"(?i){SPACE}*(ft|feet|foot|m|meters?|metres?){SPACE}*$", ""))
     value = F.when(feet, value * METRES_PER_FOOT).otherwise(value)
     return F.when((value > 0) & (value < MOST_HEIGHT), F.when(feet, F.round(value, 2)).otherwise(value))
 

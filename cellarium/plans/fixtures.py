@@ -24,7 +24,8 @@ FROM (SELECT o_orderkey AS osm_id,
        ELSE (20+(o_orderkey%13)*10)/CAST(1000000 AS DOUBLE) END AS w,
   CASE WHEN o_orderkey%500=0 THEN CAST(0.02 AS DOUBLE)
        ELSE (20+(o_orderkey%17)*10)/CAST(1000000 AS DOUBLE) END AS h,
-  CASE WHEN o_orderkey%120=0 THEN '12' || chr(9) WHEN o_orderkey%120=60 THEN chr(10) || '12 m ' || chr(13)
+  CASE WHEN o_orderkey%240=0 THEN '12' || chr(160) || 'm' WHEN o_orderkey%240=180 THEN chr(160) || '30' || chr(160) || 'ft'
+    WHEN o_orderkey%120=0 THEN '12' || chr(9) WHEN o_orderkey%120=60 THEN chr(10) || '12 m ' || chr(13)
     ELSE CASE o_orderkey%12 WHEN 0 THEN '12' WHEN 1 THEN '12 m' WHEN 2 THEN '12.5' WHEN 3 THEN '30 ft'
     WHEN 4 THEN '10;12' WHEN 5 THEN 'unknown' WHEN 7 THEN ' 45 Metres ' WHEN 8 THEN '100 feet'
     WHEN 9 THEN '-3' WHEN 10 THEN '9999' WHEN 11 THEN '12d' END END AS height,

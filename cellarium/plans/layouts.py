@@ -3,6 +3,8 @@ prune, then scanned with pushed filters."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -17,11 +19,12 @@ from . import fixtures as fx
 
 @dataclass(frozen=True)
 class Layout:
-    """How a table is made, which column has a folder a value, and in which order rows lie."""
+    """How a table is made from which input, which column has a folder a value, and in which order rows lie."""
 
     build: Callable[[SparkSession, str], DataFrame]
     by: list[str]
     parts: list[str]
+    source: str = "orders"
 
 
 def obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +60,11 @@ def _cells(scheme: str, kind: str) -> Layout:
         make, source = (cover.point_cells, fx.points) if kind == "points" else (cover.box_cells, fx.buildings)
         return make(source(spark, sf_dir), scheme, fx.RESOLUTIONS[scheme])
 
-    return Layout(build, ["cell"], ["resolution"])
+    return Layout(build, ["cell"], ["resolution"], "events" if kind == "points" else "orders")
 
 
 LAYOUTS = {f"cells_{s}_{k}": _cells(s, k) for s in fx.RESOLUTIONS for k in ("points", "poly")} | {
-    "points_bbox": Layout(lambda spark, sf_dir: _along_curve(files.with_point_box(fx.points(spark, sf_dir))), ["key"], []),
+    "points_bbox": Layout(lambda spark, sf_dir: _along_curve(files.with_point_box(fx.points(spark, sf_dir))), ["key"], [], "events"),
     "poly_bbox": Layout(lambda spark, sf_dir: _along_curve(fx.buildings(spark, sf_dir)), ["key"], []),
     "obstacles": Layout(lambda spark, sf_dir: _along_curve(obstacles(spark, sf_dir)), ["key"], []),
     "occupancy_zfxy": Layout(lambda spark, sf_dir: occupancy(spark, sf_dir, "zfxy"), ["f", "x", "y"], ["zfxy_z"]),
@@ -71,35 +74,76 @@ LAYOUTS = {f"cells_{s}_{k}": _cells(s, k) for s in fx.RESOLUTIONS for k in ("poi
     "occupancy_morton3d": Layout(lambda spark, sf_dir: occupancy(spark, sf_dir, "morton3d"), ["key_u64"], ["vertical_bin_m"]),
 }
 
-#: What this driver has written: (application, input folder) to folder of layouts, and tables read from it.
-_FOLDERS: dict[tuple[str, str], str] = {}
+#: Changes when what is written by the same names changes.
+VERSION = 2
+
+#: Tables that this driver reads: (application, folder) to table, and folder to origin.
 _TABLES: dict[tuple[str, str], DataFrame] = {}
 _ORIGINS: dict[str, tuple[int, int]] = {}
 
 
-def folder(spark: SparkSession, sf_dir: str) -> str:
-    known = (spark.sparkContext.applicationId, sf_dir)
-    if known not in _FOLDERS:
-        _FOLDERS[known] = f"{files.shared_folder(spark)}/layouts-{uuid.uuid4().hex[:12]}"
-    return _FOLDERS[known]
+def root(spark: SparkSession) -> str:
+    """Where stored tables lie: the folder that ``spark.cellarium.layouts.dir`` names, else one in
+    the folder that all executors share. The next application finds them there."""
+    named = spark.conf.get("spark.cellarium.layouts.dir", None)
+    return named.rstrip("/") if named else f"{files.shared_folder(spark)}/cellarium-layouts"
+
+
+def _digest(about: object) -> str:
+    return hashlib.sha256(json.dumps(about, sort_keys=True).encode()).hexdigest()[:24]
+
+
+def input_state(spark: SparkSession, sf_dir: str, source: str) -> str:
+    """A digest of an input table's files: their names, sizes and times of change."""
+    return _digest(files.listed(spark, f"{sf_dir}/{source}.parquet"))
+
+
+def place(spark: SparkSession, sf_dir: str, name: str, rows: int) -> tuple[str, str]:
+    """The folder of a table's versions, and that of the version for the input as it is now."""
+    layout = LAYOUTS[name]
+    version = _digest([VERSION, layout.by, layout.parts, rows, input_state(spark, sf_dir, layout.source)])
+    above = f"{root(spark)}/{_digest(sf_dir)}/{name}-{rows}"
+    return above, f"{above}/{version}"
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, rows: int = files.ROW_GROUP_ROWS) -> DataFrame:
-    """The stored table, written the first time that this application asks for it."""
-    path = f"{folder(spark, sf_dir)}/{name}-{rows}"
-    if (name, path) not in _TABLES:
-        layout = LAYOUTS[name]
-        files.write_sorted(layout.build(spark, sf_dir), path, layout.by, layout.parts, rows)
-        _TABLES[name, path] = spark.read.parquet(path)
-    return _TABLES[name, path]
+    """The stored table for the input as it is now.
+
+    It is written where it isn't there yet, under a name of its own, and moved to its place when
+    whole: who looks finds a whole version or none, and of two that write the same one, the
+    first stays. A version belongs to the files of its input and to the layout; when either
+    changes, the next call writes another, and versions of this table that are neither this
+    nor the one before it are removed (the last one may still be read).
+    """
+    above, path = place(spark, sf_dir, name, rows)
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _TABLES:
+        if not files.exists(spark, path):
+            layout, before = LAYOUTS[name], versions(spark, above)
+            fresh = f"{above}/_writing-{uuid.uuid4().hex[:12]}"
+            files.write_sorted(layout.build(spark, sf_dir), fresh, layout.by, layout.parts, rows)
+            if not files.renamed(spark, fresh, path):
+                files.removed(spark, fresh)
+            for old in before[:-1]:
+                files.removed(spark, f"{above}/{old}")
+        _TABLES[known] = spark.read.parquet(path)
+    return _TABLES[known]
+
+
+def versions(spark: SparkSession, above: str) -> list[str]:
+    """The whole versions of a table, the oldest first."""
+    names = [v for v in files.folders(spark, above) if not v.startswith("_")]
+    return sorted(names, key=lambda v: max(f[2] for f in files.listed(spark, f"{above}/{v}")))
 
 
 def stored_origin(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """The origin of Morton keys from the file beside the layouts, written at first."""
-    path = f"{folder(spark, sf_dir)}/morton3d_meta"
+    _, version = place(spark, sf_dir, "occupancy_morton3d", 0)
+    path = f"{version}-meta"
     if path not in _ORIGINS:
-        x, y = origin_of(spark, sf_dir)
-        files.write_metadata(spark, path, {"xy_z": fx.XY_ZOOM, "x_origin": x, "y_origin": y})
+        if not files.exists(spark, f"{path}/_SUCCESS"):
+            x, y = origin_of(spark, sf_dir)
+            files.write_metadata(spark, path, {"xy_z": fx.XY_ZOOM, "x_origin": x, "y_origin": y})
         _ORIGINS[path] = read_origin(spark, path)
     return _ORIGINS[path]
 

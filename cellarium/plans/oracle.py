@@ -59,8 +59,12 @@ def geohash_j(lat: str, p: int) -> str:
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+#: White space, of ASCII or not.
+SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+
+
 def stripped(text: str) -> str:
-    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace({text}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def number(text: str) -> str:
@@ -70,7 +74,7 @@ def number(text: str) -> str:
 def height(tag: str) -> str:
     first = stripped(f"string_split({stripped(tag)}, ';')[1]")
     feet = f"regexp_matches({first}, '(?i)(ft|feet|foot)$')"
-    value = number(f"regexp_replace({first}, '(?i)[ ]*(ft|feet|foot|m|meters?|metres?)$', '')")
+    value = number(f"regexp_replace({first}, '(?i){SPACE}*(ft|feet|foot|m|meters?|metres?)$', '')")
     metres = f"(CASE WHEN {feet} THEN ({value}) * 0.3048::DOUBLE ELSE {value} END)"
     return f"CASE WHEN {metres} > 0 AND {metres} < 9999 THEN CASE WHEN {feet} THEN round({metres}, 2) ELSE {metres} END END"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -22,9 +23,48 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="cellarium-")
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, bytes and time of change of each file below a path, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()) if store.exists(at) else []
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> bool:
+    """Move a folder to a name that isn't taken; False if it is."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    store = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not store.exists(b) and store.rename(a, b)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_sorted(
     df: DataFrame, path: str, by: list[str], parts: list[str] | None = None, rows: int = ROW_GROUP_ROWS, files: int | None = None
 ) -> None:
@@ -113,12 +153,14 @@ def read_table(spark: SparkSession, url: str, query: str, **options: str) -> Dat
 
 
 def tags_of(text: Column) -> Column:
-    """A map from key-value text as databases print it: "key"=>"value", parted by commas."""
-    pair = r'"((?:[^"\\]|\\.)*)"\s*=>\s*(?:"((?:[^"\\]|\\.)*)"|NULL)'
-    plain = lambda k: F.transform(
-        F.regexp_extract_all(text, F.lit(pair), F.lit(k)), lambda v: F.regexp_replace(v, r"\\(.)", "$1")
+    """A map from key-value text as databases print it: "key"=>"value", parted by commas. A value
+    is NULL without quotes where there is none; an empty text in quotes is a value."""
+    pair = r'"((?:[^"\\]|\\.)*)"\s*=>\s*("(?:[^"\\]|\\.)*"|NULL)'
+    plain = lambda v: F.regexp_replace(v, r"\\(.)", "$1")
+    values = F.transform(
+        F.regexp_extract_all(text, F.lit(pair), F.lit(2)), lambda v: F.when(v != "NULL", plain(F.substr(v, F.lit(2), F.length(v) - 2)))
     )
-    return F.map_from_arrays(plain(1), plain(2))
+    return F.map_from_arrays(F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(1)), plain), values)
 
 
 def tagged_buildings(rows: DataFrame, tags: list[str]) -> DataFrame:
@@ -206,8 +248,10 @@ def read_summaries(spark: SparkSession, root: str) -> DataFrame:
     folders = sorted(r["folder"] for r in found.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().collect())
     if not folders:
         raise FileNotFoundError(f"no CSV summary below {root}")
-    inside = root.rstrip("/").rsplit("/", 1)[-1]
-    name = lambda folder: folder.split(f"/{inside}/", 1)[-1]
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)  # as the listing names it, whatever its scheme
+    top = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    plain = lambda path: path.replace("file:///", "file:/", 1).rstrip("/")
+    name = lambda folder: plain(folder)[len(plain(top)) + 1 :]
     return union_summaries({name(f): spark.read.option("header", True).csv(f) for f in folders})
 
 

@@ -93,9 +93,10 @@ def test_hexagons_are_even_and_named_once(spark):
 
 def test_height_tags(spark):
     tags = ["12", "12 m", "12.5", "30 ft", "10;12", "unknown", None, "", " 45 Metres ", "-3", "9999", "12d", "1_000", "nan", "6.25 feet",
-            "12\t", "\n12 m", "\t30 ft\r\n"]
+            "12\t", "\n12 m", "\t30 ft\r\n", "12\u00a0m", "\u00a012", "30\u00a0ft", "\u300012\u2009m\u00a0", "12\x1f"]
     df = spark.createDataFrame([(t,) for t in tags], "t string").select(heights.parse_height_m(F.col("t")).alias("h"))
-    want = [12.0, 12.0, 12.5, 9.14, 10.0, None, None, None, 45.0, None, None, None, 1000.0, None, 1.91, 12.0, 12.0, 9.14]
+    want = [12.0, 12.0, 12.5, 9.14, 10.0, None, None, None, 45.0, None, None, None, 1000.0, None, 1.91, 12.0, 12.0, 9.14,
+            12.0, 12.0, 9.14, 12.0, 12.0]
     assert [r["h"] for r in df.collect()] == want
 
 
@@ -197,7 +198,7 @@ def test_statistics_of_a_bad_file(spark, tmp_path):
 
 
 def test_summaries_metadata_and_origin(spark, tmp_path):
-    root = tmp_path / "results"
+    root = tmp_path / "results" / "x" / "results"
     files.write_summary(spark.range(2).withColumn("a", F.lit("x")), str(root / "2d" / "summary.csv"))
     files.write_summary(spark.range(1).withColumn("b", F.lit("y")), str(root / "corridor" / "2026-01" / "summary.csv"))
     got = files.read_summaries(spark, str(root)).collect()
@@ -208,13 +209,52 @@ def test_summaries_metadata_and_origin(spark, tmp_path):
     assert layouts.read_origin(spark, str(tmp_path / "nowhere")) == (0, 0)
 
 
+def test_stored_tables_outlive_a_session_and_follow_their_input(spark, tmp_path):
+    sf = str(tmp_path / "in")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.limit(100).write.parquet(f"{sf}/events.parquet")
+    look = lambda: spatial.QUERIES["viewport_bbox_points_10"](spark, sf)
+    assert look().count() == 100
+    above, first = layouts.place(spark, sf, "points_bbox", files.ROW_GROUP_ROWS)
+    written = files.listed(spark, first)
+    layouts._TABLES.clear()  # as another driver, which knows of no table
+    assert look().count() == 100 and files.listed(spark, first) == written and len(files.folders(spark, above)) == 1
+    for n in (300, 500, 700):  # in the same session
+        time.sleep(0.01)
+        events.limit(n).write.mode("overwrite").parquet(f"{sf}/events.parquet")
+        assert look().count() == n
+    assert len(layouts.versions(spark, above)) == 2  # this one and the one before
+    assert not files.exists(spark, first)
+    assert not [v for v in files.folders(spark, above) if v.startswith("_")]
+
+
+def test_a_write_that_fails_leaves_no_table(spark, tmp_path, monkeypatch):
+    sf = str(tmp_path / "in")
+    spark.read.parquet(f"{SF}/events.parquet").limit(10).write.parquet(f"{sf}/events.parquet")
+    whole = files.write_sorted
+
+    def broken(df, path, *more):
+        whole(df, path, *more)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(files, "write_sorted", broken)
+    with pytest.raises(RuntimeError):
+        layouts.stored(spark, sf, "points_bbox")
+    monkeypatch.undo()
+    above, path = layouts.place(spark, sf, "points_bbox", files.ROW_GROUP_ROWS)
+    assert not files.exists(spark, path) and layouts.versions(spark, above) == []
+    assert layouts.stored(spark, sf, "points_bbox").count() == 10
+
+
 def test_tags(spark):
     text = '"building"=>"yes", "height"=>"12 m", "name"=>"a \\"b\\" c", "roof:levels"=>NULL'
     rows = [(1, None, text), (2, "house", ""), (3, None, '"height"=>"3"'), (4, None, None), (5, "x", None)]
     df = spark.createDataFrame(rows, "osm_id long, building string, t string").withColumn("tags", files.tags_of(F.col("t")))
     got = {r["osm_id"]: r for r in files.tagged_buildings(df, ["height", "name", "roof:levels"]).collect()}
     assert set(got) == {1, 2, 5} and (got[1]["height"], got[1]["name"]) == ("12 m", 'a "b" c')
-    assert got[2]["height"] is None and "roof_levels" in got[1].asDict()
+    assert got[2]["height"] is None and got[1]["roof_levels"] is None
+    odd = spark.createDataFrame([('"a"=>"NULL", "b"=>"", "c"=>NULL, "d"=>"x\\\\y"',)], "t string")
+    assert odd.select(files.tags_of(F.col("t")).alias("m")).first()["m"] == {"a": "NULL", "b": "", "c": None, "d": "x\\y"}
 
 
 def scanned(spark, df):
