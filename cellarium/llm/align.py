@@ -27,6 +27,9 @@ from .bpe import encoder
 from .common import Batches, cut_lineage, sliced, tidy
 from .words import packed, ragged, space_chunks
 
+#: Texts are aligned for about so many bytes at a time.
+BATCH_BYTES = 6_000_000
+
 #: A pair of ids in one number: id A above, id B below.
 B_BITS = 20
 
@@ -163,7 +166,7 @@ class ChunkAligner:
     What is remembered takes about ``most_bytes`` at most, of chunks of up to ``longest`` bytes.
     """
 
-    def __init__(self, a: ByteTokens, b: PieceTokens, groups: bool, most_bytes: int = 64 << 20, longest: int = 64):
+    def __init__(self, a: ByteTokens, b: PieceTokens, groups: bool, most_bytes: int = 40 << 20, longest: int = 64):
         self.a, self.b, self.groups, self.most_bytes, self.longest = a, b, groups, most_bytes, longest
         self.con = duckdb.connect(":memory:")
         self.con.execute("SET threads = 1; SET memory_limit = '400MB'; SET temp_directory = ''; SET enable_progress_bar = false")
@@ -284,7 +287,7 @@ def pair_counts(docs: DataFrame, a_path: str | None, b_path: str | None, text_co
     def run(batches: Batches) -> Batches:
         aligner = _aligner(a_path, b_path, False)
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in sliced(batches, 12_000_000):
+        for batch in sliced(batches, BATCH_BYTES):
             texts = _Texts(aligner, batch.columns[0])
             pairs, sizes = _lists(texts.found, "pairs")
             times = np.repeat(np.bincount(texts.index, minlength=len(sizes)), sizes)
@@ -341,7 +344,7 @@ def align_tokenizers(
     def run(batches: Batches) -> Batches:
         aligner = _aligner(a_path, b_path, True)
         pair, n, is_best = shared.value
-        for batch in sliced(batches, 12_000_000):
+        for batch in sliced(batches, BATCH_BYTES):
             ids, column = batch.columns
             texts = _Texts(aligner, column)
             found = texts.found
