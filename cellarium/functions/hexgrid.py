@@ -2,7 +2,8 @@
 
 The geometry is that of the public H3 grid: gnomonic projection of each face, a hexagon
 lattice that shrinks by the square root of 7 a resolution and turns at odd ones. Cells are
-named by resolution, face and lattice place, not by that grid's index numbers.
+named by resolution, face and lattice place, not by that grid's index numbers; stored tables
+sort them by numbers of their own that go from coarse to fine.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Latitude and longitude of one face's centre and the azimuth from it to
 #: one of its corners, in radians; lattice unit of resolution 0 in the plane of a face.
@@ -186,10 +189,16 @@ def _middles(face: np.ndarray, cell: np.ndarray, res: int) -> np.ndarray:
     return CENTRES[face] + x * AXES[face] + y * LEFTS[face]
 
 
-def _names(face: np.ndarray, cell: np.ndarray, res: int) -> list[str]:
+def _homes(face: np.ndarray, cell: np.ndarray, res: int) -> tuple[np.ndarray, np.ndarray]:
+    """The faces that name cells, and the cells' places there."""
     middle = _middles(face, cell, res)
     home = (middle @ CENTRES.T).argmax(axis=-1)
-    return [f"hex{res}/{f}/{q}/{s}" for f, (q, s) in zip(home.tolist(), _nearest(_places(middle, home, res)).tolist(), strict=True)]
+    return home, _nearest(_places(middle, home, res))
+
+
+def _names(face: np.ndarray, cell: np.ndarray, res: int) -> list[str]:
+    home, place = _homes(face, cell, res)
+    return [f"hex{res}/{f}/{q}/{s}" for f, (q, s) in zip(home.tolist(), place.tolist(), strict=True)]
 
 
 def _around(lat: float, lon: float, res: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,16 +207,34 @@ def _around(lat: float, lon: float, res: int) -> tuple[np.ndarray, np.ndarray]:
     return face, _nearest(_places(p, face, res))
 
 
-def disk_names(lat: float, lon: float, res: int, k: int) -> list[str]:
-    """The cells up to k steps from a constant place's cell."""
+def _disk(lat: float, lon: float, res: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     face, own = _around(lat, lon, res)
     steps = np.array([(a, b) for a in range(-k, k + 1) for b in range(-k, k + 1) if abs(a + b) <= k])
-    return _names(np.full(len(steps), face), own + steps, res)
+    return np.full(len(steps), face), own + steps
+
+
+def disk_names(lat: float, lon: float, res: int, k: int) -> list[str]:
+    """The cells up to k steps from a constant place's cell."""
+    return _names(*_disk(lat, lon, res, k), res)
+
+
+def disk_keys(lat: float, lon: float, res: int, k: int) -> list[int]:
+    """The same by their keys."""
+    return place_keys(*_homes(*_disk(lat, lon, res, k), res), res).tolist()
 
 
 def box_names(box: tuple[float, float, float, float], res: int) -> list[str]:
     """The cells whose middle lies in a constant box (west, south, east, north), or the cell of
     the box's middle if there is none."""
+    return _names(*_in_box(box, res), res)
+
+
+def box_keys(box: tuple[float, float, float, float], res: int) -> list[int]:
+    """The same by their keys."""
+    return place_keys(*_homes(*_in_box(box, res), res), res).tolist()
+
+
+def _in_box(box: tuple[float, float, float, float], res: int) -> tuple[np.ndarray, np.ndarray]:
     west, south, east, north = box
     face, own = _around((south + north) / 2, (west + east) / 2, res)
     corners = _places(_points(np.array([south, north, south, north]), np.array([west, west, east, east])), face, res)
@@ -217,7 +244,73 @@ def box_names(box: tuple[float, float, float, float], res: int) -> list[str]:
     lat, lon = np.degrees(np.arctan2(p[:, 2], np.hypot(p[:, 0], p[:, 1]))), np.degrees(np.arctan2(p[:, 1], p[:, 0]))
     inside = cells[(lon >= west) & (lon <= east) & (lat >= south) & (lat <= north)]
     inside = inside if len(inside) else own[None]
-    return _names(np.full(len(inside), face), inside, res)
+    return np.full(len(inside), face), inside
+
+
+# Keys that sort by place: the face, the place at resolution 0, and a digit a resolution.
+
+
+def _basis(res: int) -> np.ndarray:
+    """The two steps of a lattice in the plane of a face, as columns."""
+    turn = TURN if res % 2 else 0.0
+    steps = np.array([[1.0, 0.5], [0.0, math.sqrt(3) / 2]])
+    return np.array([[math.cos(turn), -math.sin(turn)], [math.sin(turn), math.cos(turn)]]) @ steps / _scale(res)
+
+
+#: From a cell's place to the place of its middle child, for children of even and odd resolutions.
+_CHILD = [np.rint(np.linalg.solve(_basis(r), _basis(r - 1))).astype(np.int64) for r in (2, 1)]
+#: A cell's seven children, by their place from the middle one: digits 0 to 6.
+_STEPS = [(0, 0), (1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1)]
+_DIGIT = np.full((3, 3), -1, np.int64)
+for _k, (_q, _s) in enumerate(_STEPS):
+    _DIGIT[_q + 1, _s + 1] = _k
+#: Places at resolution 0 lie within _REACH steps of a face's middle.
+_REACH = 8
+_SIDE = 2 * _REACH + 1
+FINEST = 15
+
+
+def place_keys(face: np.ndarray, place: np.ndarray, res: int) -> np.ndarray:
+    """Numbers of cells, from coarse to fine in base 7, so that a cell's children follow each
+    other: those of key k are 7 k to 7 k + 6 one resolution on, and cells that lie together
+    mostly sort together. A parent is the nearest cell of the lattice of the same face."""
+    if not 0 <= res <= FINEST:
+        raise ValueError(f"no resolution {res}")
+    key, unit, place = np.zeros(len(place), np.int64), 1, np.asarray(place, np.int64)
+    for r in range(res, 0, -1):
+        down = _CHILD[r % 2]
+        above = _nearest(place @ np.linalg.inv(down).T)
+        step = place - above @ down.T
+        key += _DIGIT[step[:, 0] + 1, step[:, 1] + 1] * unit
+        unit, place = unit * 7, above
+    root = (np.asarray(face, np.int64) * _SIDE + place[:, 0] + _REACH) * _SIDE + place[:, 1] + _REACH
+    return key + root * unit
+
+
+@F.pandas_udf(T.LongType())
+def _keys_of_names(face: pd.Series, q: pd.Series, s: pd.Series, res: pd.Series) -> pd.Series:
+    out = np.zeros(len(face), np.int64)
+    for r in res.unique().tolist():
+        own = (res == r).to_numpy()
+        out[own] = place_keys(face[own].to_numpy(), np.stack([q[own], s[own]], axis=-1), r)
+    return pd.Series(out)
+
+
+def key_of_name(cell: str) -> Column:
+    """The key of a cell from its name."""
+    part = lambda k: F.split_part(F.col(cell), F.lit("/"), F.lit(k))
+    return _keys_of_names(*[part(k).cast("long") for k in (2, 3, 4)], F.substring(part(1), 4, 2).cast("int"))
+
+
+def parent_key(key: str | Column, up: int = 1) -> Column:
+    """The key of the cell ``up`` resolutions coarser."""
+    column = F.col(key) if isinstance(key, str) else key
+    return F.call_function("div", column, F.lit(7**up).cast("long"))
+
+
+def child_range(key: int, down: int = 1) -> tuple[int, int]:
+    """The first and last key of a cell's descendants ``down`` resolutions finer."""
+    return key * 7**down, (key + 1) * 7**down - 1
 
 
 def disk_steps(radius_m: float, res: int) -> int:

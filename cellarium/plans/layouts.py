@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import heights, keys
+from ..functions import heights, hexgrid, keys
 from ..operators import cover
 from ..sources import files
 from . import fixtures as fx
@@ -58,9 +58,10 @@ def _along_curve(df: DataFrame) -> DataFrame:
 def _cells(scheme: str, kind: str) -> Layout:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         make, source = (cover.point_cells, fx.points) if kind == "points" else (cover.box_cells, fx.buildings)
-        return make(source(spark, sf_dir), scheme, fx.RESOLUTIONS[scheme])
+        cells = make(source(spark, sf_dir), scheme, fx.RESOLUTIONS[scheme])
+        return cells.withColumn("key", hexgrid.key_of_name("cell")) if scheme == "hex" else cells
 
-    return Layout(build, ["cell"], ["resolution"], "events" if kind == "points" else "orders")
+    return Layout(build, ["key" if scheme == "hex" else "cell"], ["resolution"], "events" if kind == "points" else "orders")
 
 
 LAYOUTS = {f"cells_{s}_{k}": _cells(s, k) for s in fx.RESOLUTIONS for k in ("points", "poly")} | {
@@ -75,7 +76,7 @@ LAYOUTS = {f"cells_{s}_{k}": _cells(s, k) for s in fx.RESOLUTIONS for k in ("poi
 }
 
 #: Changes when what is written by the same names changes.
-VERSION = 2
+VERSION = 3
 
 #: Tables that this driver reads: (application, folder) to table, and folder to origin.
 _TABLES: dict[tuple[str, str], DataFrame] = {}

@@ -316,20 +316,23 @@ def _viewport_sql(scheme: str, kind: str, side: float) -> str:
     return f"{head} {_union(found)}"
 
 
+def key_hits(table: DataFrame, key: str, found: list[tuple[int, int]]) -> DataFrame:
+    """resolution and osm_id of rows whose key lies in constant ranges, a few of which, wide
+    enough for all, are pushed to the scan."""
+    near = ranges.constants(table.sparkSession, found, "lo long, hi long")
+    table = table.where(ranges.within(key, ranges.outer(found)))
+    hits = ranges.in_ranges(table, near, key, [], few=len(found) <= ranges.BROADCAST_RANGES, shift=ranges.block_shift(found))
+    return hits.select("resolution", "osm_id")
+
+
 def cell_hits(spark, sf_dir, scheme: str, kind: str, side: float, r: int) -> DataFrame:
     """resolution and osm_id of the stored cells over the viewport: one scan of a folder, with
     ranges that hold the cover pushed down."""
     table = stored(spark, sf_dir, f"cells_{scheme}_{kind}").where(F.col("resolution") == r)
     if scheme == "morton2d":
-        found = viewport_ranges(r, side)
-        table = table.where(ranges.within("cell", ranges.outer(found)))
-        near = ranges.constants(spark, found, "lo long, hi long")
-        hits = ranges.in_ranges(table, near, "cell", [], few=len(found) <= ranges.BROADCAST_RANGES, shift=ranges.block_shift(found))
-        return hits.select("resolution", "osm_id")
+        return key_hits(table, "cell", viewport_ranges(r, side))
     if scheme == "hex":
-        names = hexgrid.box_names(fx.viewport(side), r)
-        cells, n = ranges.constants(spark, [(r, c) for c in names], "resolution int, cell string"), len(names)
-        return lookup.by_cells(table.where(ranges.within("cell", [(min(names), max(names))])), cells, n)
+        return key_hits(table, "key", ranges.merged(hexgrid.box_keys(fx.viewport(side), r)))
     found, base = cover.cover_ranges(scheme, r, fx.viewport(side)), 32 if scheme == "geohash" else 4
     near = [(keys.text_of(lo, base, r), keys.text_of(hi, base, r)) for lo, hi in ranges.outer(found)]
     hits = ranges.in_text_ranges(table.where(ranges.within("cell", near)), found, "cell", base, r)
@@ -392,16 +395,24 @@ def _radius_sql() -> str:
 @query("h3_radius", _radius_sql())
 def h3_radius(spark, sf_dir):
     """Points in the disks around the centre, for each radius and resolution."""
-    out = None
-    for r in fx.RESOLUTIONS["hex"]:
-        steps = [(radius, hexgrid.disk_steps(radius, r)) for radius in fx.RADII_M]
-        rows = [(radius, k, c) for radius, k in steps for c in hexgrid.disk_names(fx.CENTRE_LAT, fx.CENTRE_LON, r, k)]
-        disks = ranges.constants(spark, rows, "radius_m int, k int, cell string")
-        table = stored(spark, sf_dir, "cells_hex_points").where((F.col("resolution") == r))
-        hits = table.join(F.broadcast(disks), "cell")  # some thousand constant cells
-        hits = hits.select("radius_m", "resolution", "k", "osm_id")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
+    parts = [radius_hits(stored(spark, sf_dir, "cells_hex_points"), r) for r in fx.RESOLUTIONS["hex"]]
+    return reduce(DataFrame.unionByName, parts)  # a point has one cell, and a disk each cell once
+
+
+def radius_hits(table: DataFrame, r: int, radii: list[int] = fx.RADII_M) -> DataFrame:
+    """Points in the disks around the centre: one scan for all radii, with ranges of the widest pushed to it."""
+    rows, widest = [], []
+    for radius in radii:
+        k = hexgrid.disk_steps(radius, r)
+        found = ranges.merged(hexgrid.disk_keys(fx.CENTRE_LAT, fx.CENTRE_LON, r, k))
+        rows += [(radius, k, lo, hi) for lo, hi in found]
+        widest += found
+    widest = ranges.merged_ranges(widest)
+    disks = ranges.constants(table.sparkSession, rows, "radius_m int, k int, lo long, hi long")
+    near = table.where((F.col("resolution") == r) & ranges.within("key", ranges.outer(widest)))
+    few = len(rows) <= ranges.BROADCAST_RANGES
+    hits = ranges.in_ranges(near, disks, "key", [], few=few, shift=ranges.block_shift(widest))
+    return hits.select("radius_m", "resolution", "k", "osm_id")
 
 
 # Morton ranges
@@ -559,6 +570,9 @@ ACTUAL_SQL = f"""SELECT alt AS altitude_m, count(*) FILTER (xmin <= {E} AND xmax
 
 def actual_counts(spark, sf_dir) -> DataFrame:
     df = stored(spark, sf_dir, "obstacles")
+    # What every altitude asks for goes to the scan; the counts then tell them apart.
+    low, high = min(fx.ALTITUDES_M) - fx.CLEARANCE_M, max(fx.ALTITUDES_M) + fx.CLEARANCE_M
+    df = df.where(lookup.blocking(df, fx.CORRIDOR, F.lit(float(low)), F.lit(float(high))))
     row = F.array(
         *[
             F.struct(
@@ -716,7 +730,7 @@ def _matrix_sql(scheme: str) -> str:
                 f"FROM ({_viewport_sql(scheme, kind, side)}) h GROUP BY ALL"
             )
     return f"""SELECT kind, size, resolution, n_cells, n_ranges, coalesce(n, 0) AS n_rows
-      FROM (VALUES ('points'), ('poly')) k(kind), ({_union(covers)}) r LEFT JOIN ({_union(parts)}) c USING (kind, size, resolution)"""
+      FROM (VALUES ('points'), ('poly')) k(kind) CROSS JOIN ({_union(covers)}) r LEFT JOIN ({_union(parts)}) c USING (kind, size, resolution)"""
 
 
 def _matrix_query(scheme: str):

@@ -3,6 +3,7 @@ import random
 import struct
 import time
 
+import numpy as np
 import pytest
 from oracle import SF, same_rows
 from pyspark.sql import functions as F
@@ -294,6 +295,43 @@ def test_lookups_read_few_row_groups(spark):
     assert n < table.where("vertical_bin_m = 4").count() / 2 and "LessThanOrEqual(hbin" in filters
 
 
+def test_hexagons_few_row_groups(spark):
+    table = layouts.stored(spark, SF, "cells_hex_points", 50)
+    own = table.where("resolution = 10").count()
+    found = ranges.merged(hexgrid.box_keys(fx.viewport(0.01), 10))
+    n, filters = scanned(spark, spatial.key_hits(table.where("resolution = 10"), "key", found))
+    assert 0 < n < own / 2 and "GreaterThanOrEqual(key" in filters
+    n, filters = scanned(spark, spatial.radius_hits(table, 10, [200]))
+    assert 0 < n < own / 2 and "GreaterThanOrEqual(key" in filters
+    table = layouts.stored(spark, SF, "obstacles", 100)
+    few = table.where(lookup.blocking(table, fx.CORRIDOR, F.lit(0.0), F.lit(65.0)))
+    n, filters = scanned(spark, few)
+    assert 0 < n < table.count() and "LessThanOrEqual(xmin" in filters
+
+
+def test_hexagon_keys_go_from_coarse_to_fine(spark):
+    rng = random.Random(6)
+    rows = [(k, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for k in range(400)]
+    points = spark.createDataFrame(rows, "osm_id long, lat double, lon double")
+    cells = cover.point_cells(points, "hex", [0, 1, 4, 5, 10]).withColumn("key", hexgrid.key_of_name("cell"))
+    pairs = cells.select("resolution", "cell", "key").distinct()
+    assert pairs.count() == pairs.select("resolution", "cell").distinct().count() == pairs.select("resolution", "key").distinct().count()
+    # A cell's descendants lie around it: of most cells the key at a coarser resolution is the parent's.
+    by = {(r["osm_id"], r["resolution"]): r["key"] for r in cells.collect()}
+    same = sum(by[k, 10] // 7**5 == by[k, 5] for k, *_ in rows)
+    assert same > 0.8 * len(rows)
+    assert hexgrid.child_range(by[0, 5], 5)[0] <= by[0, 5] * 7**5 <= hexgrid.child_range(by[0, 5], 5)[1]
+    up = cells.where("resolution = 10").select("key", hexgrid.parent_key("key", 5).alias("p")).collect()
+    assert all(r["p"] == r["key"] // 7**5 for r in up)
+    names, numbers = hexgrid.box_names(fx.viewport(0.1), 10), hexgrid.box_keys(fx.viewport(0.1), 10)
+    assert len(set(numbers)) == len(names) == 7253 and len(ranges.merged(numbers)) < len(numbers) / 4
+    # The seven children of each cell are its own
+    for r in (1, 2):
+        places = np.array([(q, s) for q in range(-9, 10) for s in range(-9, 10)])
+        got = hexgrid.place_keys(np.zeros(len(places)), places, r)
+        assert len(set(got.tolist())) == len(places)
+
+
 def test_cover_ranges_hold_the_cells_of_the_box(spark):
     for scheme, r in (("geohash", 5), ("geohash", 6), ("quadkey", 17), ("morton2d", 19)):
         for side in fx.SIDES.values():
