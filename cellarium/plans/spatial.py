@@ -11,7 +11,7 @@ from ..functions import heights, hexgrid, keys
 from ..operators import cover, lookup, ranges, report, route
 from ..sources import files
 from . import fixtures as fx
-from . import hexsql
+from . import hexsql, templates
 from . import oracle as sql
 from .layouts import obstacles, occupancy, origin_of, stored, stored_origin
 
@@ -531,13 +531,13 @@ def _hits_sql(scheme: str) -> str:
     if scheme == "zfxy":
         return f"""WITH {sql.OBSTACLES}, {sql.sized_zfxy(fx.ZFXY_ZOOMS)}, alts(alt) AS (VALUES {alts}),
           cases AS (SELECT DISTINCT z || '@' || alt AS "case" FROM cells, alts),
-          hits AS (SELECT z || '@' || alt AS "case", osm_id FROM cells, alts
+          hits AS (SELECT z || '@' || alt AS "case", osm_id, x, y FROM cells, alts
             WHERE x BETWEEN {sql.x(repr(W), 'z')} AND {sql.x(repr(E), 'z')} AND y BETWEEN {sql.y(repr(N), 'z')} AND {sql.y(repr(S), 'z')}
               AND h BETWEEN {sql.level('alt - 5', 'z')} AND {sql.level('alt + 5', 'z')})"""
     if scheme == "zxy_heightbin":
         return f"""WITH {sql.OBSTACLES}, {sql.sized_bins(Z, fx.BINS_M)}, alts(alt) AS (VALUES {alts}),
           cases AS (SELECT DISTINCT v || '@' || alt AS "case" FROM cells, alts),
-          hits AS (SELECT v || '@' || alt AS "case", osm_id FROM cells, alts
+          hits AS (SELECT v || '@' || alt AS "case", osm_id, x, y FROM cells, alts
             WHERE x BETWEEN {sql.x(repr(W), Z)} AND {sql.x(repr(E), Z)} AND y BETWEEN {sql.y(repr(N), Z)} AND {sql.y(repr(S), Z)}
               AND h BETWEEN {sql.hbin('alt - 5', 'v')} AND {sql.hbin('alt + 5', 'v')})"""
     near = sql.merged("keyed", '"case", v', 4)
@@ -605,6 +605,35 @@ def false_positive_rate(spark, sf_dir):
     return joined.select("case", "candidate_buildings", "actual", rate.alias("false_positive_pct"))
 
 
+# The same lookups as SQL templates, a case each
+
+
+def _template_sql(scheme: str, case: str, what: str = "osm_id") -> str:
+    return f"{_hits_sql(scheme)} SELECT DISTINCT {what} FROM hits WHERE \"case\" = '{case}'"
+
+
+@query("template_corridor_zfxy", _template_sql("zfxy", "21@30"))
+def template_corridor_zfxy(spark, sf_dir):
+    return templates.run(spark, sf_dir, "corridor_zfxy", z=21, altitude=30.0)
+
+
+@query("template_corridor_zxy_heightbin", _template_sql("zxy_heightbin", "4@30"))
+def template_corridor_zxy_heightbin(spark, sf_dir):
+    return templates.run(spark, sf_dir, "corridor_zxy_heightbin", bin_m=4, altitude=30.0)
+
+
+@query("template_corridor_morton3d", _template_sql("morton3d", "4@30"))
+def template_corridor_morton3d(spark, sf_dir):
+    found = [(lo, hi) for case, _, lo, hi in corridor_ranges(stored_origin(spark, sf_dir)) if case == "4@30"]
+    firsts, lasts = map(list, zip(*found, strict=True))
+    return templates.run(spark, sf_dir, "corridor_morton3d", bin_m=4, firsts=firsts, lasts=lasts)
+
+
+@query("template_lookup_cells", _template_sql("zxy_heightbin", "4@45", "x, y"))
+def template_lookup_cells(spark, sf_dir):
+    return templates.run(spark, sf_dir, "lookup_cells", bin_m=4, altitude=45.0)
+
+
 # Blocked cells and routes
 
 

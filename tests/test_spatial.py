@@ -8,7 +8,7 @@ import pytest
 from oracle import SF, same_rows
 from pyspark.sql import functions as F
 
-from cellarium.functions import heights, hexgrid, keys, wkb
+from cellarium.functions import heights, hexgrid, keys, sqlnames, wkb
 from cellarium.operators import cover, lookup, ranges, route
 from cellarium.plans import fixtures as fx
 from cellarium.plans import layouts, spatial
@@ -332,6 +332,35 @@ def test_hexagon_keys_go_from_coarse_to_fine(spark):
         assert len(set(got.tolist())) == len(places)
 
 
+@pytest.mark.parametrize("name", ["corridor_zfxy", "corridor_zxy_heightbin", "corridor_morton3d", "lookup_cells"])
+def test_templates(spark, name):
+    query = f"template_{name}"
+    same_rows(spatial.QUERIES[query](spark, SF), spatial.ORACLE_SQL[query])
+    _, filters = scanned(spark, spatial.QUERIES[query](spark, SF))
+    wanted = {
+        "corridor_zfxy": ["zfxy_z#", "GreaterThanOrEqual(x,", "LessThanOrEqual(y,", "GreaterThanOrEqual(f,"],
+        "corridor_morton3d": ["vertical_bin_m#", "GreaterThanOrEqual(key_u64,", "LessThanOrEqual(key_u64,"],
+    }.get(name, ["vertical_bin_m#", "GreaterThanOrEqual(x,", "LessThanOrEqual(y,", "LessThanOrEqual(hbin,"])
+    assert all(w in filters for w in wanted), filters
+
+
+def test_functions_of_sql_equal_the_column_functions(spark):
+    sqlnames.register(spark)
+    rng = random.Random(8)
+    rows = [(rng.uniform(-180, 180), rng.uniform(-80, 80), rng.uniform(-5, 300), rng.randrange(2**21), rng.randrange(2**21)) for _ in range(200)]
+    df = spark.createDataFrame([*rows, (None, None, None, None, None)], "lon double, lat double, h double, x long, y long")
+    df = df.withColumns({
+        "x1": keys.tile_x("lon", 19), "y1": keys.tile_y("lat", 19), "f1": keys.level("h", 22), "b1": keys.height_bin("h", 4),
+        "m1": keys.morton2d("x", "y"), "q1": keys.quadkey_of_tile("x", "y", 21), "c1": keys.morton3d("x", F.col("y") - 1_000_000, "x"),
+    })
+    df = df.selectExpr(
+        "*", "tile_x(lon, 19) x2", "tile_y(lat, 19) y2", "height_level(h, 22) f2", "height_bin(h, 4) b2", "morton2d(x, y) m2",
+        "quadkey(x, y, 21) q2", "morton3d(x, y - 1000000, x) c2",
+    )
+    for r in df.collect():
+        assert all(r[f"{c}1"] == r[f"{c}2"] for c in ("x", "y", "f", "b", "m", "q", "c") if r["lon"] is not None), r
+
+
 def test_cover_ranges_hold_the_cells_of_the_box(spark):
     for scheme, r in (("geohash", 5), ("geohash", 6), ("quadkey", 17), ("morton2d", 19)):
         for side in fx.SIDES.values():
