@@ -102,7 +102,7 @@ def token_pieces(
     end_id: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
-    batch_chars: int = 12_000_000,
+    batch_chars: int = 6_000_000,
 ) -> DataFrame:
     """Each document's ids and ``end_id``, in pieces of ``capacity``; the last may be shorter.
 
