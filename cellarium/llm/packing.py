@@ -165,6 +165,45 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def fill_bins(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins filled one after the other: the largest size left, then again and again the one or
+    two sizes that together come nearest to the room left, of equals those with the larger one.
+
+    Where some sizes make up a bin, this leaves less room than a rule that places one size at a time.
+    """
+    sizes = np.asarray(sizes, np.int64)
+    members: dict[int, list[int]] = {}
+    for k in np.argsort(sizes, kind="stable").tolist():
+        members.setdefault(int(sizes[k]), []).append(k)
+    count = np.bincount(sizes, minlength=capacity + 1)
+    places = np.arange(capacity + 1)
+    bins: list[list[int]] = []
+    while count.any():
+        there = np.flatnonzero(count)
+        below = np.maximum.accumulate(np.where(count > 0, places, 0))  # the largest size up to each
+        changed = False
+        while not changed:  # until a size is used up
+            own, room, chosen = [], capacity, [int(there[-1])]
+            while chosen:
+                for v in chosen:
+                    own.append(members[v].pop())
+                    count[v] -= 1
+                    room -= v
+                    if not count[v]:
+                        changed, there = True, np.flatnonzero(count)
+                        below = np.maximum.accumulate(np.where(count > 0, places, 0))
+                first = there[: np.searchsorted(there, room, side="right")]
+                if not len(first):
+                    break
+                second = below[room - first]
+                second = np.where((second == first) & (count[first] < 2), below[np.maximum(first - 1, 0)], second)
+                total = first + second
+                at = len(total) - 1 - int(total[::-1].argmax())
+                chosen = [int(first[at]), *([int(second[at])] if second[at] else [])]
+            bins.append(own)
+    return bins
+
+
 def least_bins(sizes: np.ndarray, capacity: int) -> int:
     """How many bins any packing needs at least.
 
@@ -265,7 +304,8 @@ def _step(own: list[int], sizes, fill, at, giver: int, capacity: int) -> tuple[l
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length."""
     lengths = np.asarray(lengths, np.int64)
-    bins = empty_bins(best_fit(lengths, capacity), lengths, capacity)
+    begun = min(best_fit(lengths, capacity), fill_bins(lengths, capacity), key=len)
+    bins = empty_bins(begun, lengths, capacity)
     bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for b, members in enumerate(bins):
         at = 0

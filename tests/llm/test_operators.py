@@ -604,6 +604,16 @@ def test_local_search_saves_bins():
         assert len(better) <= packing.least_bins(d, 4096) + 2
 
 
+@pytest.mark.parametrize(("low", "high", "over"), [(900, 1800, 100), (1400, 2700, 5), (500, 1200, 25), (1, 4095, 25)])
+def test_packing_of_sizes_that_share_badly(low, high, over):
+    sizes = np.random.default_rng(1).integers(low, high + 1, 25_000 if low == 900 else 8000)
+    filled = packing.fill_bins(sizes, 4096)
+    assert sorted(k for b in filled for k in b) == list(range(len(sizes))) and all(sizes[b].sum() <= 4096 for b in filled)
+    bin_of, _ = packing.pack_lengths(sizes, 4096)
+    assert np.bincount(bin_of, weights=sizes).max() <= 4096
+    assert bin_of.max() + 1 <= min(packing.least_bins(sizes, 4096) + over, len(packing.best_fit(sizes, 4096)))
+
+
 def test_packing_in_several_groups(spark):
     rng = np.random.default_rng(2)
     rows = [(k, 0, 0, int(n), k) for k, n in enumerate([*rng.integers(1, 1500, 3000), *[4096] * 200, *[5] * 500])]
