@@ -134,7 +134,8 @@ class LanguageModel:
         steps = int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # documents longer than t
         value = np.zeros((len(docs), n_langs))
-        moved = np.zeros((int(starts[-1]), n_langs), bool)  # whether the best way to (word, language) switches
+        # Whether the best way to (word, language) switches: a bit each.
+        moved = np.zeros((int(starts[-1]), -(-n_langs // 8)), np.uint8)
         source = np.zeros(int(starts[-1]), np.int16)  # and from where
         for t in range(steps):
             m = active[t]
@@ -143,7 +144,7 @@ class LanguageModel:
             if t:
                 best = v.argmax(axis=1)
                 switch = v[np.arange(m), best] - self.penalty
-                moved[at] = v < switch[:, None]
+                moved[at] = np.packbits(v < switch[:, None], axis=1)
                 source[at] = best
                 v = np.maximum(v, switch[:, None])
             value[:m] = v + scores[word[at]]
@@ -153,7 +154,8 @@ class LanguageModel:
             m = active[t]
             at = starts[:m] + t
             path[at] = now[:m]
-            now[:m] = np.where(moved[at, now[:m]], source[at], now[:m])
+            switched = moved[at, now[:m] >> 3] >> (7 - (now[:m] & 7)) & 1
+            now[:m] = np.where(switched, source[at], now[:m])
         row = np.repeat(np.arange(len(docs)), lengths)
         by_language = np.zeros((len(docs), n_langs))
         np.add.at(by_language, (row, path), letters[word])
@@ -182,7 +184,7 @@ def train_language(
     The sample is the documents with the smallest hash of their id in each language;
     only their ids and languages are broadcast. What reaches the driver is at most a
     number for each slot and language; more than ``most_languages`` languages are an error.
-    Rows that repeat an id count as one of the sample.
+    Of rows that repeat an id in a language one is learned from, that of the least text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     fit = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out("id"))
@@ -195,7 +197,8 @@ def train_language(
     below = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.coalesce(*shares, F.lit(1.0)) * float(1 << 30)
     order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id")
     chosen = ids.where(below).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
-    texts = fit.join(F.broadcast(chosen.select("id", "lang")), ["id", "lang"]).select("lang", "text")
+    texts = fit.join(F.broadcast(chosen.select("id", "lang")), ["id", "lang"])
+    texts = texts.where(F.col("text").isNotNull()).groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     @tidy
     def count(batches: Batches) -> Batches:
@@ -236,7 +239,8 @@ def identify_language(
     is predicted. ``score`` is its share of the letters times its chance by the word
     scores alone. ``spans`` is an array of (lang, begin, end) in words, end exclusive.
     Null texts and texts without a letter are ``und`` with score 0 and no spans, as is
-    everything where no language was learned. Only the text counts, so equal texts have
+    everything where no language was learned. Texts are labelled for about ``batch_words`` words
+    at a time, fewer as the model has more than eight languages. Only the text counts, so equal texts have
     equal results; ties go to the language first by name. Other columns are not read,
     whatever their names; texts are labelled whole, and an empty table gives no rows.
     """
@@ -257,6 +261,7 @@ def identify_language(
     def run(batches: Batches) -> Batches:
         fitted = sent.value
         names = np.array([*fitted.languages, UNDETERMINED], object)
+        most = max(1, 8 * batch_words // max(8, len(fitted.languages)))
         for batch in sliced(batches):
             ids, texts = batch.columns
             words = [words_of(t) for t in texts.to_pylist()]
@@ -266,7 +271,7 @@ def identify_language(
             at = 0
             while at < len(order) and fitted.languages:
                 end, size = at, 0
-                while end < len(order) and (end == at or size + len(words[order[end]]) <= batch_words):
+                while end < len(order) and (end == at or size + len(words[order[end]]) <= most):
                     size += len(words[order[end]])
                     end += 1
                 part = order[at:end]

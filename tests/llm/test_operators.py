@@ -452,6 +452,32 @@ def test_mixed_text_has_spans(spark, docs):
     assert abs(spans[0]["end"] - len(parts["de"].split())) <= 3 or len(spans) > 2
 
 
+def test_language_sample_takes_one_row_of_an_id(spark):
+    learned = [k for k in range(40) if zlib.crc32(str(k).encode()) % 3 != 1]
+    plain = [(k, f"one two three {k}", "en") for k in learned] + [(k, f"eins zwei drei {k}", "de") for k in learned]
+    hot = [(learned[0], f"zz yy xx ww {k}", "en") for k in range(500)]
+    schema = "doc_id long, text string, lang string"
+    once, often = (language.train_language(spark.createDataFrame(rows, schema)) for rows in (plain, plain + hot))
+    assert np.array_equal(once.table, often.table)  # "one .." comes before "zz .."
+
+
+def test_many_languages_in_small_batches(spark):
+    rng = np.random.default_rng(4)
+    names = [f"l{k:03d}" for k in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words_of = {n: ["".join(rng.choice(list(letters), 7)) for _ in range(6)] for n in names}
+    learned = [k for k in range(900) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(k, " ".join(words_of[names[i % 300]] * 3), names[i % 300]) for i, k in enumerate(learned[:600])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train_language(docs)
+    assert len(model.languages) == 300
+    whole, small = (language.identify_language(docs, model, batch_words=b).collect() for b in (1_500_000, 40))
+    assert {tuple(r[:2]) for r in whole} == {tuple(r[:2]) for r in small} == {(k, lang) for k, _, lang in rows}
+    both = spark.createDataFrame([(1, " ".join(words_of["l007"] * 4 + words_of["l270"] * 4))], "doc_id long, text string")
+    spans = language.identify_language(both, model).first()["spans"]
+    assert [(s["lang"], s["begin"], s["end"]) for s in spans] == [("l007", 0, 24), ("l270", 24, 48)]
+
+
 def test_language_edges(edge, empty, docs):
     model = language.train_language(docs)
     got = {r["doc_id"]: r for r in language.identify_language(edge, model).collect()}
