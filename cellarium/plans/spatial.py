@@ -11,7 +11,7 @@ from ..functions import heights, hexgrid, keys
 from ..operators import cover, lookup, ranges, report, route
 from ..sources import files
 from . import fixtures as fx
-from . import hexsql, templates
+from . import hexsql, layouts, templates
 from . import oracle as sql
 from .layouts import obstacles, occupancy, origin_of, stored, stored_origin
 
@@ -819,6 +819,64 @@ def corridor_matrix(spark, sf_dir):
     return joined.select(*names, rate.alias("false_positive_pct"))
 
 
+@query("lookup_figures")
+def lookup_figures(spark, sf_dir):
+    """A record a viewport of 0.05 degrees and a corridor scheme: rows of the result and of the
+    table, rows, files and bytes that the scans read, and times."""
+    runs = {}
+    for scheme, layout in (("bbox", "points_bbox"), *((s, f"cells_{s}_points") for s in fx.RESOLUTIONS)):
+        name = f"viewport_{'h3' if scheme == 'hex' else scheme}_points_05"
+        runs[name] = (QUERIES[name](spark, sf_dir), stored(spark, sf_dir, layout).count())
+    for scheme in SCHEMES:
+        runs[f"corridor_{scheme}"] = (QUERIES[f"corridor_{scheme}"](spark, sf_dir), stored(spark, sf_dir, f"occupancy_{scheme}").count())
+    return report.figures_table(runs)
+
+
+SWEEP_ROWS = [100, 500, 2_000]
+
+
+def _sweep_sql() -> str:
+    """Row groups that the corridor meets, from the data: each strip in order, cut every so many rows."""
+    alts = ", ".join(f"({a})" for a in fx.ALTITUDES_M)
+    sizes = ", ".join(f"({n})" for n in SWEEP_ROWS)
+    return f"""WITH {sql.OBSTACLES}, {sql.sized_bins(Z, [4])}, alts(alt) AS (VALUES {alts}), sizes(n) AS (VALUES {sizes}),
+      numbered AS (SELECT x, y, h, row_number() OVER (PARTITION BY h, x >> 3 ORDER BY x, y, osm_id) - 1 AS k FROM cells),
+      groups AS (SELECT n, h, x >> 3 AS strip, k // n AS g, count(*) AS rows, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb, min(h) AS ha, max(h) AS hb
+        FROM numbered, sizes GROUP BY ALL)
+      SELECT n AS row_group_rows, alt AS altitude_m, count(g.rows) AS row_groups, coalesce(sum(g.rows), 0)::BIGINT AS rows
+      FROM (SELECT * FROM sizes, alts) c LEFT JOIN groups g USING (n)
+      WHERE g.rows IS NULL OR (xa <= {sql.x(repr(E), Z)} AND xb >= {sql.x(repr(W), Z)} AND ya <= {sql.y(repr(S), Z)} AND yb >= {sql.y(repr(N), Z)}
+        AND ha <= {sql.hbin('alt + 5', 4)} AND hb >= {sql.hbin('alt - 5', 4)}) GROUP BY ALL"""
+
+
+@query("row_group_sweep", _sweep_sql())
+def row_group_sweep(spark, sf_dir):
+    """Row groups, and their rows, that the corridor meets at each altitude, for three sizes of row
+    groups: read from the footers of files of one bin and strip of eight tiles each, in order of x and y."""
+    cases = [(str(c["altitude_m"]), c["x0"], c["x1"], c["y0"], c["y1"], c["v0"], c["v1"]) for c in corridor_cases("zxy_heightbin", None, [4])]
+    boxes = ranges.constants(spark, cases, "case string, x0 long, x1 long, y0 long, y1 long, v0 long, v1 long")
+    cells = stored(spark, sf_dir, "occupancy_zxy_heightbin").where("vertical_bin_m = 4").select("osm_id", "x", "y", "hbin")
+    out = None
+    for rows in SWEEP_ROWS:
+        path = sweep_files(spark, sf_dir, cells, rows)
+        bounds = report.group_bounds(spark, path, ["x", "y", "hbin"])
+        met = report.groups_met(bounds, boxes, [("x", "x0", "x1"), ("y", "y0", "y1"), ("hbin", "v0", "v1")])
+        met = met.select(F.lit(rows).alias("row_group_rows"), F.col("case").cast("int").alias("altitude_m"), "row_groups", "rows")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def sweep_files(spark, sf_dir, cells: DataFrame, rows: int) -> str:
+    """The cells with row groups of a size, a sorted file a bin and strip, written once for the input as it is."""
+    _, version = layouts.place(spark, sf_dir, "occupancy_zxy_heightbin", rows)
+    path = f"{version}-sweep"
+    if not files.exists(spark, f"{path}/_SUCCESS"):
+        cells = cells.withColumn("strip", F.shiftright("x", 3)).repartition("hbin", "strip")
+        writer = cells.sortWithinPartitions("hbin", "strip", "x", "y", "osm_id").write.mode("overwrite").partitionBy("hbin", "strip")
+        writer.option("parquet.block.row.count.limit", str(rows)).parquet(path)
+    return path
+
+
 ROUTES = {"zfxy": ("route_zfxy", "route_zfxy_fine"), "zxy_heightbin": ("route_zxy_heightbin",)}
 
 

@@ -9,7 +9,7 @@ from oracle import SF, same_rows
 from pyspark.sql import functions as F
 
 from cellarium.functions import heights, hexgrid, keys, sqlnames, wkb
-from cellarium.operators import cover, lookup, ranges, route
+from cellarium.operators import cover, lookup, ranges, report, route
 from cellarium.plans import fixtures as fx
 from cellarium.plans import layouts, spatial
 from cellarium.sources import files
@@ -361,6 +361,27 @@ def test_functions_of_sql_equal_the_column_functions(spark):
         assert all(r[f"{c}1"] == r[f"{c}2"] for c in ("x", "y", "f", "b", "m", "q", "c") if r["lon"] is not None), r
 
 
+def test_figures_of_runs(spark):
+    got = {r["query"]: r for r in spatial.QUERIES["lookup_figures"](spark, SF).collect()}
+    assert len(got) == 8
+    for name, r in got.items():
+        assert r["rows_scanned"] > 0 and r["files_read"] > 0 and r["bytes_read"] > 0 and r["ms"] > 0 and r["scans"] > 0, name
+        assert r["n_rows"] == spatial.QUERIES[name](spark, SF).count()
+    table = layouts.stored(spark, SF, "cells_quadkey_points", 100)
+    few = report.run_figures(spatial.key_hits(layouts.stored(spark, SF, "cells_morton2d_points", 100), "cell", spatial.viewport_ranges(19, 0.01)))
+    assert 0 < few.rows <= few.rows_scanned < table.where("resolution = 19").count()
+    adaptive = report.run_figures(table.groupBy("cell").count())
+    assert adaptive.rows == table.select("cell").distinct().count() and adaptive.rows_shuffled >= adaptive.rows
+    assert "Scan parquet" in report.explain_text(table) and "Scan parquet" in few.plan
+
+
+def test_row_group_sweep(spark, tmp_path):
+    same_rows(spatial.QUERIES["row_group_sweep"](spark, SF), spatial.ORACLE_SQL["row_group_sweep"])
+    df = spark.range(1000).withColumn("v", F.col("id") % 10)
+    got = {r["row_group_rows"]: r for r in report.row_group_sweep(df, str(tmp_path), ["id"], [100, 500]).collect()}
+    assert got[100]["row_count"] == got[500]["row_count"] == 1000 and got[100]["row_groups"] > got[500]["row_groups"]
+
+
 def test_cover_ranges_hold_the_cells_of_the_box(spark):
     for scheme, r in (("geohash", 5), ("geohash", 6), ("quadkey", 17), ("morton2d", 19)):
         for side in fx.SIDES.values():
