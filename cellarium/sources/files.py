@@ -147,9 +147,43 @@ def write_features(df: DataFrame, path: str, properties: list[str], geometry: Co
 # Database extracts
 
 
-def read_table(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A query of a database, for extracts of map data; tags come as text."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def read_table(
+    spark: SparkSession, url: str, query: str, split: str | None = None, parts: int | None = None, part_rows: int = 500_000, **options: str
+) -> DataFrame:
+    """A query of a database, for extracts of map data; geometries and tags come as text.
+
+    With ``split``, a column of whole numbers in the result, the rows are read in ``parts`` by
+    ranges of it between its least and greatest value (rows without a value come with the first),
+    each by a task with a connection of its own; without ``parts`` in as many as make
+    about ``part_rows`` rows each. Columns and comparisons that a plan needs of the result are sent to the
+    database with the query. Names are put in double quotes.
+    """
+    source = spark.read.format("jdbc").options(url=url, **options)
+    if split is None:
+        return source.option("dbtable", f"({query}) q").load()
+    about = f'(SELECT MIN("{split}") AS "lo", MAX("{split}") AS "hi", COUNT(*) AS "n" FROM ({query}) q) b'
+    lo, hi, n = source.option("dbtable", about).load().first()
+    whole = source.option("dbtable", f"({query}) q")
+    if lo is None:
+        return whole.load()
+    parts = parts or max(1, -(-n // part_rows))
+    return whole.options(partitionColumn=split, lowerBound=str(int(lo)), upperBound=str(int(hi) + 1), numPartitions=str(parts)).load()
+
+
+def points_query(box: tuple[float, float, float, float], table: str = "planet_osm_point") -> str:
+    """The extract of named points inside a box from a map database with geometry functions."""
+    tags = ", ".join(f'"{t}"' for t in ("name", "amenity", "shop", "tourism", "historic", "leisure"))
+    envelope = ", ".join(repr(float(v)) for v in box)
+    return (
+        f'SELECT "osm_id", {tags}, ST_AsGeoJSON(way) AS "geometry" FROM {table} WHERE ST_Within(way, ST_MakeEnvelope({envelope}, 4326))'
+    )
+
+
+def points_of(rows: DataFrame) -> DataFrame:
+    """Extracted points with lon and lat in place of the text of their geometry."""
+    at = F.from_json("geometry", "struct<type:string,coordinates:array<double>>")
+    rows = rows.withColumn("_at", at).withColumns({"lon": F.get("_at.coordinates", F.lit(0)), "lat": F.get("_at.coordinates", F.lit(1))})
+    return rows.drop("_at", "geometry")
 
 
 def tags_of(text: Column) -> Column:
