@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 #: Fixed values of the format: little-endian mark, kinds of geometry.
 LITTLE, POINT, LINE, POLYGON = 1, 1, 2, 3
+KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
 
 
 @F.pandas_udf(T.BinaryType())

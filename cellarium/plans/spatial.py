@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import heights, hexgrid, keys
+from ..functions import heights, hexgrid, keys, wkb
 from ..operators import cover, lookup, ranges, report, route
-from ..sources import files
+from ..sources import files, geojson, geoparquet
 from . import fixtures as fx
 from . import hexsql, layouts, templates
 from . import oracle as sql
@@ -905,6 +906,44 @@ def tagged_buildings(spark, sf_dir):
     return files.tagged_buildings(df, ["height", "building:levels"])
 
 
+# The same buildings through other formats
+
+
+def other_form(spark, sf_dir, form: str, write) -> str:
+    """A folder with the buildings in another format, written once for the input as it is."""
+    _, version = layouts.place(spark, sf_dir, "poly_bbox", 0)
+    path = f"{version}-{form}"
+    if not files.exists(spark, path):
+        fresh = f"{path}-{uuid.uuid4().hex[:12]}"
+        write(fresh)
+        files.renamed(spark, fresh, path)
+    return path
+
+
+@query("geoparquet_viewport_05", ORACLE_SQL["viewport_bbox_poly_05"])
+def geoparquet_viewport_05(spark, sf_dir):
+    """Buildings in the viewport from GeoParquet files, whose row groups are left out by their boxes."""
+    spark.dataSource.register(geoparquet.GeoParquet)
+
+    def write(path: str) -> None:
+        table = stored(spark, sf_dir, "poly_bbox").select("osm_id", "height", "xmin", "ymin", "xmax", "ymax")
+        table.withColumn("geometry", wkb.box_wkb()).write.format("geoparquet").mode("overwrite").save(path)
+
+    path = other_form(spark, sf_dir, "geoparquet", write)
+    box = ",".join(repr(v) for v in fx.viewport(0.05))
+    return spark.read.format("geoparquet").option("bbox", box).load(path).select("osm_id")
+
+
+@query("geojson_buildings", f"WITH {sql.BUILDINGS} SELECT osm_id, xmin, ymin, xmax, ymax FROM buildings")
+def geojson_buildings(spark, sf_dir):
+    """Buildings written as GeoJSON collections and read back by ranges of bytes."""
+    path = other_form(
+        spark, sf_dir, "geojson", lambda at: files.write_features(fx.buildings(spark, sf_dir), at, ["osm_id"], files.box_geometry())
+    )
+    found = geojson.read_collection(spark, path, 4 << 20)
+    return found.select(F.element_at("properties", "osm_id").cast("long").alias("osm_id"), "xmin", "ymin", "xmax", "ymax")
+
+
 # Reports
 
 
