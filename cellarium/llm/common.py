@@ -26,7 +26,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The folder is the one the session names in ``spark.checkpoint.dir``. Where that is
     unset, a local session (tests) uses a temporary one; on a cluster that is an error, as
-    its executors share no temporary folder.
+    its executors share no temporary folder. Spark removes the files once the table is no longer
+    referred to if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; else they
+    stay until the folder is cleared.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:

@@ -160,7 +160,8 @@ def compare_with_edits(
     ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and
     ``near_next``. Null counts as empty. Rows with the same id and text are in one place
     of the order and get equal results; a lone document is its own next. Other columns
-    are not read.
+    are not read. An empty table gives no rows; texts are cut into words whole, however long, and
+    a text and its edited one are held with their words for as long as their row is worked on.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select(F.struct("id", F.xxhash64("text").alias("hash")).alias("key"), "text")

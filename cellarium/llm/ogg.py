@@ -268,7 +268,9 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns the id, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32``
     (of the last 64 bytes), ``media_bytes``, ``media_sha256`` and ``feature``. The
     payload is what reading the file gives. Equal texts have equal results; null counts
-    as empty; other columns are not read.
+    as empty; other columns are not read. Repeated rows give as many rows, an empty table none. A
+    text is stored and read back whole, in pages of at most 65,025 bytes, and takes some times
+    its size of a worker's memory.
     """
     stored = write_media(docs, id_col, text_col)
     schema = T.StructType(

@@ -119,7 +119,9 @@ def score_quality(docs: DataFrame, forest: gbdt.Forest, text_col: str = "text",
     """``docs`` with ``score``: how likely each whole text has label 1.
 
     Only the text counts. Null and empty texts get the score of an empty text. An
-    input column named like the score is replaced.
+    input column named like the score is replaced; other columns stay. Rows are independent, so
+    repeated rows and equal texts get equal scores; an empty table gives no rows. Texts are
+    measured whole, however long, in batches of Arrow, and take some times their size in memory.
     """
 
     @F.pandas_udf("double")
