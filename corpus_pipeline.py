@@ -19,7 +19,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject (score of 0.5 or more)."""
+    """Documents that the classifier doesn't reject (score of 0.5 or more).
+
+    Null and empty texts have the score of an empty text and share its fate; repeated rows are
+    judged alike; an empty table stays one. Columns other than those of documents are dropped.
+    """
     forest = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, forest, score_col="_score").where(F.col("_score") >= 0.5).select(*COLUMNS)
 
@@ -42,12 +46,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data and secrets replaced by a mark."""
+    """Texts with personal data and secrets replaced by a mark, and ``n_chars`` counted anew.
+
+    No row goes: null texts stay null, empty ones empty, repeated rows are treated alike, and an
+    empty table stays one. Columns other than those of documents are dropped.
+    """
     return _documents(redact(find_pii(docs, train_pii(spark))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 4096 tokens."""
+    """The pieces of all documents with their places in sequences of 4096 tokens.
+
+    Null and empty texts are the end id alone; repeated rows are packed each for itself; an empty
+    table gives no rows. Only the id and the text are read, so no other column is kept.
+    """
     return pack_documents(docs)
 
 
