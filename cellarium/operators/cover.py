@@ -292,21 +292,7 @@ def _hex_box_cells(boxes: DataFrame, r: int, id_col: str) -> DataFrame:
     The box is taken to lie on the face of its middle, as boxes of up to some degrees away
     from a face's edge do.
     """
-    df = boxes.select(id_col, "xmin", "ymin", "xmax", "ymax")
-    df = _in_lattice(_on_face(df, (F.col("ymin") + F.col("ymax")) / 2, (F.col("xmin") + F.col("xmax")) / 2), r)
-    corners = [
-        hexgrid.plane(hexgrid.sphere(F.col(b), F.col(a)), F.col("face"), r) for a in ("xmin", "xmax") for b in ("ymin", "ymax")
-    ]
-    bound = lambda f, k, d: (F.floor(f(*[c[k] for c in corners])) + d).cast("long")
-    df = df.select(
-        id_col, "xmin", "ymin", "xmax", "ymax", "face", F.col("q").alias("mq"), F.col("s").alias("ms"),
-        bound(F.least, 0, -1).alias("q0"), bound(F.greatest, 0, 2).alias("q1"),
-        bound(F.least, 1, -1).alias("s0"), bound(F.greatest, 1, 2).alias("s1"),
-    )
-    df = df.withColumn("q", F.explode(F.sequence("q0", "q1"))).withColumn("s", F.explode(F.sequence("s0", "s1")))
-    df = df.withColumns({f"p{k}": c for k, c in enumerate(hexgrid.centre(F.col("face"), F.col("q"), F.col("s"), r))})
-    lat, lon = hexgrid.lat_lon(tuple(F.col(f"p{k}") for k in range(3)))
-    df = df.withColumns({"lat": lat, "lon": lon})
+    df = _hex_candidates(boxes, r, [id_col])
     inside = F.col("lon").between(F.col("xmin"), F.col("xmax")) & F.col("lat").between(F.col("ymin"), F.col("ymax"))
     own = (F.col("q") == F.col("mq")) & (F.col("s") == F.col("ms"))
     # Only cells inside and the middle one can count, so what is grouped is the cover itself.
@@ -322,6 +308,73 @@ def _hex_box_cells(boxes: DataFrame, r: int, id_col: str) -> DataFrame:
     return hexgrid.named(kept, r).select(id_col, F.lit(r).alias("resolution"), "cell")
 
 
+def _hex_candidates(boxes: DataFrame, r: int, ids: list[str]) -> DataFrame:
+    """Cells of the face of a box's middle over the box and a little more, with the places of their middles."""
+    df = boxes.select(*ids, "xmin", "ymin", "xmax", "ymax")
+    df = _in_lattice(_on_face(df, (F.col("ymin") + F.col("ymax")) / 2, (F.col("xmin") + F.col("xmax")) / 2), r)
+    corners = [
+        hexgrid.plane(hexgrid.sphere(F.col(b), F.col(a)), F.col("face"), r) for a in ("xmin", "xmax") for b in ("ymin", "ymax")
+    ]
+    bound = lambda f, k, d: (F.floor(f(*[c[k] for c in corners])) + d).cast("long")
+    df = df.select(
+        *ids, "xmin", "ymin", "xmax", "ymax", "face", F.col("q").alias("mq"), F.col("s").alias("ms"),
+        bound(F.least, 0, -1).alias("q0"), bound(F.greatest, 0, 2).alias("q1"),
+        bound(F.least, 1, -1).alias("s0"), bound(F.greatest, 1, 2).alias("s1"),
+    )
+    df = df.withColumn("q", F.explode(F.sequence("q0", "q1"))).withColumn("s", F.explode(F.sequence("s0", "s1")))
+    df = df.withColumns({f"p{k}": c for k, c in enumerate(hexgrid.centre(F.col("face"), F.col("q"), F.col("s"), r))})
+    lat, lon = hexgrid.lat_lon(tuple(F.col(f"p{k}") for k in range(3)))
+    return df.withColumns({"lat": lat, "lon": lon})
+
+
+def polygon_edges(coordinates: Column) -> Column:
+    """The edges (x1, y1, x2, y2) of all rings of a polygon's coordinates, as GeoJSON text has them."""
+    rings = F.from_json(coordinates, "array<array<array<double>>>")
+    at = lambda ring, k, axis: F.get(F.get(ring, k), F.lit(axis))
+    edges = F.transform(
+        rings,
+        lambda ring: F.transform(
+            F.filter(F.sequence(F.lit(1), F.greatest(F.size(ring), F.lit(1))), lambda k: k < F.size(ring)),
+            lambda k: F.struct(
+                at(ring, k - 1, 0).alias("x1"), at(ring, k - 1, 1).alias("y1"), at(ring, k, 0).alias("x2"), at(ring, k, 1).alias("y2")
+            ),
+        ),
+    )
+    return F.flatten(edges)
+
+
+def hex_polygon_cells(polygons: DataFrame, r: int, id_col: str = "osm_id", coordinates: str = "coordinates", band: float = 0.01) -> DataFrame:
+    """Cells whose middle lies inside a polygon with holes (GeoJSON text of its coordinates), once each.
+
+    A middle is inside if a ray to the east crosses an odd number of edges, of all rings. Middles
+    and edges meet by the polygon and by bands of latitude, ``band`` degrees high, so that a
+    polygon of many edges is no one group. A polygon without a middle inside has no cells, as
+    has one without coordinates.
+    """
+    keyed = polygons.select(F.col(id_col).alias("_id"), F.col(coordinates).alias("_rings"), F.xxhash64(coordinates).alias("_hash"))
+    keyed = keyed.where(F.col("_rings").isNotNull()).dropDuplicates(["_id", "_hash"]).withColumn("edges", polygon_edges(F.col("_rings")))
+    bound = lambda f, c: f(F.transform("edges", lambda e: e[c]))
+    boxes = keyed.where(F.size("edges") > 0).select(
+        "_id", "_hash", bound(F.array_min, "x1").alias("xmin"), bound(F.array_min, "y1").alias("ymin"),
+        bound(F.array_max, "x1").alias("xmax"), bound(F.array_max, "y1").alias("ymax"),
+    )
+    near = _hex_candidates(boxes, r, ["_id", "_hash"])
+    near = near.where(F.col("lon").between(F.col("xmin"), F.col("xmax")) & F.col("lat").between(F.col("ymin"), F.col("ymax")))
+    near = near.select("_id", "_hash", "face", "q", "s", "lat", "lon", F.floor(F.col("lat") / band).alias("_band"))
+    edges = keyed.select("_id", "_hash", F.inline("edges")).where(F.col("y1") != F.col("y2"))
+    low, high = F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band)
+    edges = edges.withColumn("_band", F.explode(F.sequence(low, high)))
+    a, e = near.alias("a"), edges.alias("e")
+    lat, lon = F.col("a.lat"), F.col("a.lon")
+    crosses = ((F.col("e.y1") > lat) != (F.col("e.y2") > lat)) & (
+        lon < (F.col("e.x2") - F.col("e.x1")) * (lat - F.col("e.y1")) / (F.col("e.y2") - F.col("e.y1")) + F.col("e.x1")
+    )
+    same = F.col("a._id").eqNullSafe(F.col("e._id")) & (F.col("a._hash") == F.col("e._hash")) & (F.col("a._band") == F.col("e._band"))
+    crossed = a.join(e, same & crosses).select("a._id", "a._hash", "a.face", "a.q", "a.s")
+    inside = crossed.groupBy("_id", "_hash", "face", "q", "s").agg(F.count("*").alias("n")).where(F.col("n") % 2 == 1)
+    return hexgrid.named(inside, r).select(F.col("_id").alias(id_col), F.lit(r).alias("resolution"), "cell").distinct()
+
+
 def hex_disk(points: DataFrame, r: int, k: int, id_col: str = "osm_id") -> DataFrame:
     """The 3k(k + 1) + 1 cells up to k steps from each point's cell."""
     df = _in_lattice(_on_face(points.select(id_col, "lat", "lon"), F.col("lat"), F.col("lon")), r)

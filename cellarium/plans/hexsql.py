@@ -98,3 +98,22 @@ def box_cells(source: str, r: int, id_col: str = "osm_id") -> str:
     kept = f"""(SELECT {id_col}, face, q, s FROM (SELECT *, bool_or(inside) OVER (PARTITION BY n) AS filled FROM {seen} g) h
       WHERE inside OR (NOT filled AND q = mq AND s = ms))"""
     return named(kept, r, id_col)
+
+
+def polygon_cells(polygons: str, edges: str, r: int, id_col: str = "osm_id") -> str:
+    """Cells whose middle is inside a polygon: ``polygons`` has the id and box, ``edges`` the id and x1, y1, x2, y2."""
+    box = f"{id_col}, xmin, ymin, xmax, ymax"
+    placed = f"(SELECT {box}, {sphere('(ymin + ymax) / 2', '(xmin + xmax) / 2')} FROM {polygons})"
+    corners = f"(SELECT {box}, face FROM {on_face(placed)} z)"
+    for k, (a, b) in enumerate((a, b) for a in ("xmin", "xmax") for b in ("ymin", "ymax")):
+        corners = plane(f"(SELECT *, {sphere(b, a, f'k{k}_')} FROM {corners} c{k})", r, f"k{k}_", "face", f"u{k}", f"v{k}")
+    least = lambda f, v: f"CAST(floor({f}({', '.join(f'{v}{k}' for k in range(4))})) AS BIGINT)"
+    cells = f"""(SELECT {box}, face, x.q, y.s FROM {corners} b,
+      LATERAL (SELECT unnest(range({least('least', 'u')} - 1, {least('greatest', 'u')} + 3)) AS q) x,
+      LATERAL (SELECT unnest(range({least('least', 'v')} - 1, {least('greatest', 'v')} + 3)) AS s) y)"""
+    lat, lon = "degrees(atan2(m2, sqrt(m0 * m0 + m1 * m1)))", "degrees(atan2(m1, m0))"
+    seen = f"(SELECT *, {lon} AS lon, {lat} AS lat FROM {centred(cells, r)} g)"
+    crossed = f"""(SELECT c.{id_col}, face, q, s FROM {seen} c JOIN {edges} e ON c.{id_col} = e.{id_col}
+      AND (e.y1 > c.lat) <> (e.y2 > c.lat) AND c.lon < (e.x2 - e.x1) * (c.lat - e.y1) / (e.y2 - e.y1) + e.x1
+      GROUP BY ALL HAVING count(*) % 2 = 1)"""
+    return named(crossed, r, id_col)

@@ -378,6 +378,29 @@ def h3_poly(spark, sf_dir):
     return cover.box_cells(fx.buildings(spark, sf_dir), "hex", fx.RESOLUTIONS["hex"])
 
 
+#: A polygon with a hole around each building's corner: a rhombus of two thousandths of a degree without a small square.
+_OUTER = [(0.0, -0.002), (0.002, 0.0), (0.0, 0.002), (-0.002, 0.0), (0.0, -0.002)]
+_HOLE = [(-0.0005, -0.0005), (-0.0005, 0.0005), (0.0005, 0.0005), (0.0005, -0.0005), (-0.0005, -0.0005)]
+
+
+def _polygon_sql() -> str:
+    edges = ", ".join(str((*a, *b)) for ring in (_OUTER, _HOLE) for a, b in zip(ring, ring[1:], strict=False))
+    return f"""WITH {sql.BUILDINGS}, {hexsql.FACES},
+      edges AS (SELECT osm_id, xmin + a AS x1, ymin + b AS y1, xmin + c AS x2, ymin + d AS y2
+        FROM buildings, (SELECT a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d FROM (VALUES {edges}) v(a, b, c, d)) v),
+      polygons AS (SELECT osm_id, min(x1) AS xmin, min(y1) AS ymin, max(x1) AS xmax, max(y1) AS ymax FROM edges GROUP BY osm_id)
+      SELECT DISTINCT * FROM ({hexsql.polygon_cells('polygons', 'edges', 10)}) p"""
+
+
+@query("h3_polygon_cells", _polygon_sql())
+def h3_polygon_cells(spark, sf_dir):
+    """Hexagons of resolution 10 whose middle is inside a polygon with a hole around each building's corner."""
+    point = lambda p: F.array(F.col("xmin") + p[0], F.col("ymin") + p[1])
+    rings = F.array(*[F.array(*[point(p) for p in ring]) for ring in (_OUTER, _HOLE)])
+    polygons = fx.buildings(spark, sf_dir).select("osm_id", F.to_json(rings).alias("coordinates"))
+    return cover.hex_polygon_cells(polygons, 10)
+
+
 def _radius_sql() -> str:
     middle = f"centre AS (SELECT 'c' AS \"case\", {fx.CENTRE_LON!r}::DOUBLE AS lon, {fx.CENTRE_LAT!r}::DOUBLE AS lat)"
     parts = []

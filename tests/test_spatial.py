@@ -382,6 +382,21 @@ def test_row_group_sweep(spark, tmp_path):
     assert got[100]["row_count"] == got[500]["row_count"] == 1000 and got[100]["row_groups"] > got[500]["row_groups"]
 
 
+def test_cells_inside_polygons(spark):
+    same_rows(spatial.QUERIES["h3_polygon_cells"](spark, SF), spatial.ORACLE_SQL["h3_polygon_cells"])
+    west, south, east, north = fx.viewport(0.02)
+    ring = [[west, south], [east, south], [east, north], [west, north], [west, south]]
+    hole = [[139.783, 35.711], [139.783, 35.715], [139.787, 35.715], [139.787, 35.711], [139.783, 35.711]]
+    rows = [(1, str([ring])), (1, str([ring])), (2, str([ring, hole])), (3, None), (4, "[]"), (None, str([ring])), (5, str([[[0, 0], [1, 1]]]))]
+    polygons = spark.createDataFrame(rows, "osm_id long, coordinates string")
+    got = {}
+    for r in cover.hex_polygon_cells(polygons, 10).collect():
+        got.setdefault(r["osm_id"], set()).add(r["cell"])
+    box = set(hexgrid.box_names(fx.viewport(0.02), 10))
+    inner = set(hexgrid.box_names((139.783, 35.711, 139.787, 35.715), 10))
+    assert got == {1: box, 2: box - inner, None: box} and inner
+
+
 def test_cover_ranges_hold_the_cells_of_the_box(spark):
     for scheme, r in (("geohash", 5), ("geohash", 6), ("quadkey", 17), ("morton2d", 19)):
         for side in fx.SIDES.values():
