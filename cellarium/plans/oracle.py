@@ -48,12 +48,27 @@ def geohash(i: str, j: str, p: int) -> str:
     return f"array_to_string(list_transform(range({p}), lambda c: substr('{GEOHASH_DIGITS}', CAST(1 + {value} AS BIGINT), 1)), '')"
 
 
-def geohash_i(lon: str, p: int) -> str:
-    return f"CAST(floor(({lon} + 180) / 360.0::DOUBLE * {2 ** geohash_bits(p)[0]}) AS BIGINT)"
+def _within(cell: str, bits: int) -> str:
+    return f"CAST(least(greatest({cell}, 0), {2**bits - 1}) AS BIGINT)"
 
 
-def geohash_j(lat: str, p: int) -> str:
-    return f"CAST(floor(({lat} + 90) / 180.0::DOUBLE * {2 ** geohash_bits(p)[1]}) AS BIGINT)"
+def geohash_i(lon: str, p: int, last: bool = False) -> str:
+    """A value on a border belongs to the cell before it; the last cell of a box is the one after."""
+    place, bits = f"({lon} + 180) / 360.0::DOUBLE * {2 ** geohash_bits(p)[0]}", geohash_bits(p)[0]
+    return _within(f"floor({place})" if last else f"ceil({place}) - 1", bits)
+
+
+def geohash_j(lat: str, p: int, last: bool = False) -> str:
+    place, bits = f"({lat} + 90) / 180.0::DOUBLE * {2 ** geohash_bits(p)[1]}", geohash_bits(p)[1]
+    return _within(f"floor({place})" if last else f"ceil({place}) - 1", bits)
+
+
+def quadkey_x(lon: str, z: int) -> str:
+    return _within(x(lon, z), z)
+
+
+def quadkey_y(lat: str, z: int) -> str:
+    return _within(y(lat, z), z)
 
 
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"

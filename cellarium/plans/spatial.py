@@ -105,20 +105,25 @@ def point_key_sql(scheme: str, r: int) -> str:
     if scheme == "geohash":
         ij = f"SELECT osm_id, {sql.geohash_i('lon', r)} AS i, {sql.geohash_j('lat', r)} AS j FROM points"
         return f"SELECT osm_id, {r} AS resolution, {sql.geohash('i', 'j', r)} AS cell FROM ({ij}) p"
-    ij = f"SELECT osm_id, {sql.x('lon', r)} AS i, {sql.y('lat', r)} AS j FROM points"
     if scheme == "quadkey":
+        ij = f"SELECT osm_id, {sql.quadkey_x('lon', r)} AS i, {sql.quadkey_y('lat', r)} AS j FROM points"
         return f"SELECT osm_id, {r} AS resolution, {sql.quadkey('i', 'j', r)} AS cell FROM ({ij}) p"
+    ij = f"SELECT osm_id, {sql.x('lon', r)} AS i, {sql.y('lat', r)} AS j FROM points"
     return f"SELECT osm_id, {r} AS resolution, i AS local_x, j AS local_y, {sql.morton2('i', 'j')} AS cell FROM ({ij}) p"
 
 
 def box_key_sql(scheme: str, r: int, source: str = "buildings", id_col: str = "osm_id") -> str:
     if scheme == "geohash":
-        i0, i1 = sql.geohash_i("xmin", r), sql.geohash_i("xmax", r)
-        j0, j1 = sql.geohash_j("ymin", r), sql.geohash_j("ymax", r)
+        i0, i1 = sql.geohash_i("xmin", r), sql.geohash_i("xmax", r, last=True)
+        j0, j1 = sql.geohash_j("ymin", r), sql.geohash_j("ymax", r, last=True)
         key = sql.geohash("i", "j", r)
+    elif scheme == "quadkey":  # a box that ends on a border stays on its side
+        i0, i1 = sql.quadkey_x("xmin", r), sql.quadkey_x("(xmax - 1e-11)", r)
+        j0, j1 = sql.quadkey_y("ymax", r), sql.quadkey_y("(ymin + 1e-11)", r)
+        key = sql.quadkey("i", "j", r)
     else:
         i0, i1, j0, j1 = sql.x("xmin", r), sql.x("xmax", r), sql.y("ymax", r), sql.y("ymin", r)
-        key = sql.quadkey("i", "j", r) if scheme == "quadkey" else sql.morton2("i", "j")
+        key = sql.morton2("i", "j")
     more = "i AS local_x, j AS local_y, " if scheme == "morton2d" else ""
     return f"""SELECT {id_col}, {r} AS resolution, {more}{key} AS cell
       FROM (SELECT {id_col}, {i0} AS i0, {i1} AS i1, {j0} AS j0, {j1} AS j1 FROM {source}) s,

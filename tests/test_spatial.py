@@ -397,6 +397,30 @@ def test_cells_inside_polygons(spark):
     assert got == {1: box, 2: box - inner, None: box} and inner
 
 
+@pytest.mark.parametrize(("scheme", "r"), [("geohash", 5), ("geohash", 6), ("quadkey", 9), ("quadkey", 13)])
+def test_values_on_borders(spark, scheme, r):
+    step_x = 360 / 2 ** (keys.geohash_bits(r)[0] if scheme == "geohash" else r)
+    step_y = 180 / 2 ** keys.geohash_bits(r)[1]  # borders of geohashes; of tiles the equator is one
+    at = [(-180 + 7 * step_x, 0.0), (-180 + 8 * step_x, 3 * step_y), (0.0, -5 * step_y), (180.0, 80.0), (-180.0, -80.0), (1.5, 2.5)]
+    spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "osm_id long, lon double, lat double").createOrReplaceTempView("border_points")
+    boxes = [(k, x, y, x + a * step_x, y + b * step_y) for k, ((x, y), a, b) in enumerate((p, a, b) for p in at[:3] for a in (0.5, 1, 2) for b in (0.25, 1, 3))]
+    own = cover.point_cells(spark.table("border_points"), scheme, [r])
+    values = ", ".join(str((k, *p)) for k, p in enumerate(at))
+    cast = lambda names: ", ".join(f"{n}::DOUBLE AS {n}" for n in names)
+    points = f"points AS (SELECT osm_id, {cast(['lon', 'lat'])} FROM (VALUES {values}) v(osm_id, lon, lat))"
+    same_rows(own, f"WITH {points} SELECT * FROM ({spatial.point_key_sql(scheme, r)}) k")
+    table = spark.createDataFrame(boxes, "osm_id long, xmin double, ymin double, xmax double, ymax double")
+    names = ["xmin", "ymin", "xmax", "ymax"]
+    source = f"buildings AS (SELECT osm_id, {cast(names)} FROM (VALUES {', '.join(map(str, boxes))}) v(osm_id, {', '.join(names)}))"
+    same_rows(cover.box_cells(table, scheme, [r]), f"WITH {source} SELECT * FROM ({spatial.box_key_sql(scheme, r)}) k")
+    for _, *box in boxes:  # the constants of a plan follow the same rule
+        found = {k for lo, hi in cover.cover_ranges(scheme, r, tuple(box)) for k in range(lo, hi + 1)}
+        one = spark.createDataFrame([(0, *box)], "osm_id long, xmin double, ymin double, xmax double, ymax double")
+        base = 32 if scheme == "geohash" else 4
+        assert {keys.text_of(k, base, r) for k in found} == {c["cell"] for c in cover.box_cells(one, scheme, [r]).collect()}
+        break
+
+
 def test_cover_ranges_hold_the_cells_of_the_box(spark):
     for scheme, r in (("geohash", 5), ("geohash", 6), ("quadkey", 17), ("morton2d", 19)):
         for side in fx.SIDES.values():
