@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -125,12 +126,18 @@ def stored(spark: SparkSession, sf_dir: str, name: str, rows: int = files.ROW_GR
             files.write_sorted(layout.build(spark, sf_dir), fresh, layout.by, layout.parts, rows)
             if not files.renamed(spark, fresh, path):
                 files.removed(spark, fresh)
-            for old in before[:-1]:
+            for old in [*before[:-1], *_left_over(spark, above)]:
                 files.removed(spark, f"{above}/{old}")
         _TABLES[known] = spark.read.parquet(path)
     return _TABLES[known]
 
 
+def _left_over(spark: SparkSession, above: str, seconds: float = 86_400) -> list[str]:
+    """What writers that were lost have left: unfinished folders in which nothing has changed for a day."""
+    last = lambda name: max((f[2] for f in files.listed(spark, f"{above}/{name}")), default=0)
+    return [n for n in files.folders(spark, above) if n.startswith("_writing-") and last(n) < (time.time() - seconds) * 1000]
+
+
 def versions(spark: SparkSession, above: str) -> list[str]:
     """The whole versions of a table, the oldest first."""
     names = [v for v in files.folders(spark, above) if not v.startswith("_")]

@@ -244,6 +244,7 @@ def test_a_write_that_fails_leaves_no_table(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     above, path = layouts.place(spark, sf, "points_bbox", files.ROW_GROUP_ROWS)
     assert not files.exists(spark, path) and layouts.versions(spark, above) == []
+    assert len(layouts._left_over(spark, above, -60)) == 1 and layouts._left_over(spark, above) == []
     assert layouts.stored(spark, sf, "points_bbox").count() == 10
 
 
