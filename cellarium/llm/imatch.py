@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,16 +23,17 @@ def terms(text: Column) -> Column:
 
 def build_lexicon(
     docs: DataFrame, text_col: str = "text", most: float = 0.25, least: float = 0.01, size: int = 32_768, slots: int = 65_536
-) -> Column | DataFrame:
-    """The terms in a band of document frequency, as a lookup column or a table.
+) -> Lexicon:
+    """The terms in a band of document frequency, as a lookup column and, if they are many, a table.
 
     Frequencies are counted over the distinct texts of all documents (told apart by a
     64-bit hash), so that copies don't push their own terms out. Terms in more than a
     share ``most`` or less than a share ``least`` of them are out; all others make the
     lexicon, at most the mean number of distinct terms a text over ``least``. Up to
-    ``size`` of them are sent to the tasks, 8 bytes a term; more are a table with the
-    column ``t``, to be joined. The column is a constant, an array of ``slots`` short
-    arrays: a term's hash is looked up in the slot that it falls in.
+    ``size`` of them, the most frequent ones, are sent to the tasks, 8 bytes a term; what is
+    more is a table with the column ``t``, to be joined. None of those is in more than one in ``size`` of
+    all (text, term) pairs, so none is a hot key. The column is a constant, an array of
+    ``slots`` short arrays: a term's hash is looked up in the slot that it falls in.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     hashed = docs.select(text).withColumn("hash", F.xxhash64("text"))
@@ -43,13 +45,25 @@ def build_lexicon(
     found = texts.select(F.explode(terms(F.col("text"))).alias("t"))
     counted = found.groupBy("t").agg(F.count("*").alias("df"))
     band = counted.where(F.col("df").between(math.ceil(total * least), math.floor(total * most)))
-    kept = band.select("t").limit(size + 1).collect()
+    kept = band.select("t", "df").limit(size + 1).collect()
+    rest = None
     if len(kept) > size:
-        return cut_lineage(band.select("t"))
+        band = cut_lineage(band)
+        kept = band.orderBy(F.desc("df"), "t").limit(size).collect()
+        least_common = F.struct(-F.lit(kept[-1]["df"]).cast("long"), F.lit(kept[-1]["t"]).cast("long"))
+        rest = band.where(F.struct(-F.col("df"), F.col("t")) > least_common).select("t")
     in_slot: list[list[int]] = [[] for _ in range(slots)]
-    for row in sorted(kept):
-        in_slot[row["t"] % slots].append(row["t"])
-    return F.from_json(F.lit(json.dumps(in_slot, separators=(",", ":"))), "array<array<bigint>>")
+    for t in sorted(row["t"] for row in kept):
+        in_slot[t % slots].append(t)
+    common = F.from_json(F.lit(json.dumps(in_slot, separators=(",", ":"))), "array<array<bigint>>")
+    return Lexicon(common, rest)
+
+
+class Lexicon(NamedTuple):
+    """Terms as a lookup column, and the rest of them, if there are more, as a table."""
+
+    common: Column
+    rest: DataFrame | None
 
 
 def in_lexicon(found: Column, lexicon: Column, slots: int = 65_536) -> Column:
@@ -110,20 +124,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(seen, F.lit(0), lambda s, x: s + x).cast("double") / F.greatest(F.size(seen), F.lit(1))
 
 
-def fingerprint(docs: DataFrame, lexicon: Column | DataFrame, text_col: str = "text", out: str = "signatures") -> DataFrame:
+def fingerprint(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str = "signatures") -> DataFrame:
     """``docs`` with the array ``signatures``. Only the text counts: equal texts have
     equal signatures; null counts as empty. An input column of that name is replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.withColumn("_im_terms", terms(text))
-    if isinstance(lexicon, DataFrame):
-        found = found.withColumn("_im_hash", F.xxhash64(text))
-        own = found.select("_im_hash", F.explode("_im_terms").alias("t")).join(lexicon, "t", "left_semi")
-        own = own.groupBy("_im_hash").agg(F.array_sort(F.collect_set("t")).alias("_im_kept"))
-        found = found.join(own, "_im_hash", "left")
-        kept = F.coalesce(F.col("_im_kept"), F.expr("cast(array() as array<bigint>)"))
-    else:
-        kept = in_lexicon(F.col("_im_terms"), lexicon)
-    return found.withColumn(out, signatures(F.col("_im_terms"), kept, text)).drop("_im_terms", "_im_hash", "_im_kept")
+    kept = in_lexicon(F.col("_im_terms"), lexicon.common)
+    if lexicon.rest is not None:
+        found = found.withColumns({"_im_hash": F.xxhash64(text), "_im_common": kept})
+        others = found.select("_im_hash", F.explode(F.array_except("_im_terms", "_im_common")).alias("t"))
+        others = others.join(lexicon.rest, "t", "left_semi").groupBy("_im_hash").agg(F.collect_set("t").alias("_im_kept"))
+        found = found.join(others, "_im_hash", "left")
+        kept = F.array_sort(F.concat("_im_common", F.coalesce("_im_kept", F.expr("cast(array() as array<bigint>)"))))
+    return found.withColumn(out, signatures(F.col("_im_terms"), kept, text)).drop("_im_terms", "_im_hash", "_im_kept", "_im_common")
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
@@ -150,7 +163,7 @@ def next_keys(keys: DataFrame) -> DataFrame:
 
 
 def compare_with_edits(
-    docs: DataFrame, lexicon: Column | DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness.
 
