@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -28,6 +29,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # A task has one core: threads of the library's own would only take memory and wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
