@@ -483,3 +483,34 @@ def test_bounds_of_tiles_and_codes(spark):
     assert (west, east) == (-45.0, 0.0) and abs(north + 40.9798981) < 1e-6 and abs(south + 66.5132604) < 1e-6
     back = one(spark, keys.tile_x(F.lit((west + east) / 2), 3), keys.tile_y(F.lit((south + north) / 2), 3))
     assert back == (3, 5)
+
+
+def test_polygons_are_cut_the_same_in_a_batch_and_by_bands(spark):
+    """Polygons are shuffled by bands only beyond a length, and nothing of them is broadcast, whose size isn't known."""
+    rng, rows = random.Random(3), []
+    for k in range(40):
+        lon, lat = rng.uniform(-170, 170), rng.uniform(-60, 60)
+        ring = [[lon + 0.01 * rng.uniform(0.2, 1) * math.cos(a / 2), lat + 0.01 * rng.uniform(0.2, 1) * math.sin(a / 2)] for a in range(12)]
+        rows.append((k, str([[*ring, ring[0]]])))
+    rows += [(40, "[[[0.0, 0.0], [null, 1.0], [0.01, 0.02], [0.0, 0.0]]]"), (41, "[]"), (42, "no"), (43, None)]
+    polygons = spark.createDataFrame(rows, "osm_id long, coordinates string")
+    found = [cover.hex_polygon_cells(polygons, 9, few=few) for few in (0, 300, 100_000)]
+    one, *others = [sorted(map(tuple, f.collect())) for f in found]
+    assert len(one) > 200 and all(o == one for o in others)
+    assert "BroadcastHashJoin" not in report.explain_text(cover.hex_polygon_cells(polygons, 9, few=0), "simple")
+
+
+def test_boxes_of_all_sizes_hold_the_middles_of_all_near_cells(spark):
+    rng, rows = random.Random(5), []
+    for k in range(120):
+        side, lon, lat = 10 ** rng.uniform(-5, -0.5), rng.uniform(-179, 178), rng.uniform(-80, 79)
+        rows.append((k, lon, lat, lon + side, lat + side * rng.uniform(0.2, 1)))
+    rows += [(120, 1.0, 1.0, 0.9, 0.9), (121, None, 1.0, 2.0, 2.0)]
+    boxes = spark.createDataFrame(rows, "osm_id long, xmin double, ymin double, xmax double, ymax double")
+    got = {}
+    for c in cover.box_cells(boxes, "hex", [6]).collect():
+        got.setdefault(c["osm_id"], []).append(c["cell"])
+    assert "SortMergeJoin" not in report.explain_text(cover.box_cells(boxes, "hex", [6]), "simple")
+    for k, *box in rows[:-1]:  # against the cells listed for one box with a step around it
+        assert sorted(got[k]) == sorted(hexgrid.box_names(tuple(box), 6)), k
+    assert 121 not in got and max(map(len, got.values())) > 10
