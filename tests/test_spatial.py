@@ -514,3 +514,21 @@ def test_boxes_of_all_sizes_hold_the_middles_of_all_near_cells(spark):
     for k, *box in rows[:-1]:  # against the cells listed for one box with a step around it
         assert sorted(got[k]) == sorted(hexgrid.box_names(tuple(box), 6)), k
     assert 121 not in got and max(map(len, got.values())) > 10
+
+
+def test_stored_cells_shuffle_only_the_rows_they_are_made_of(spark):
+    for scheme in spatial.SCHEMES:
+        whole = layouts.occupancy(spark, SF, scheme)
+        table = layouts.stored(spark, SF, f"occupancy_{scheme}")
+        assert set(table.columns) == set(whole.columns)  # what isn't stored follows from what is
+        names = sorted(whole.columns)
+        assert sorted(map(str, table.select(names).collect())) == sorted(map(str, whole.select(names).collect()))
+        stored = spark.read.parquet(layouts.place(spark, SF, f"occupancy_{scheme}", files.ROW_GROUP_ROWS)[1])
+        assert "key_text" not in stored.columns and "blocked" not in stored.columns
+    for name in ("occupancy_zfxy", "cells_hex_poly", "cells_geohash_poly", "cells_hex_points"):
+        plan = report.explain_text(layouts.LAYOUTS[name].build(spark, SF), "simple")
+        assert any(w in plan.split("Exchange")[0] for w in ("Generate explode", "MapInArrow")), plan
+        assert layouts.stored(spark, SF, name).count() > 0
+    points = layouts.stored(spark, SF, "cells_hex_points").select("osm_id", "resolution", "key")
+    named = cover.point_cells(fx.points(spark, SF), "hex", fx.RESOLUTIONS["hex"]).select("osm_id", "resolution", hexgrid.key_of_name("cell").alias("key"))
+    assert points.exceptAll(named).count() == named.exceptAll(points).count() == 0
