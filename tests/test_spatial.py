@@ -532,3 +532,20 @@ def test_stored_cells_shuffle_only_the_rows_they_are_made_of(spark):
     points = layouts.stored(spark, SF, "cells_hex_points").select("osm_id", "resolution", "key")
     named = cover.point_cells(fx.points(spark, SF), "hex", fx.RESOLUTIONS["hex"]).select("osm_id", "resolution", hexgrid.key_of_name("cell").alias("key"))
     assert points.exceptAll(named).count() == named.exceptAll(points).count() == 0
+
+
+@pytest.mark.parametrize("scheme", ["bbox", "quadkey", "morton2d"])
+def test_records_equal_sql(spark, scheme):
+    same_rows(spatial.QUERIES[f"matrix_{scheme}"](spark, SF), spatial.ORACLE_SQL[f"matrix_{scheme}"])
+
+
+def test_records_of_hexagons_count_their_queries(spark):
+    found = spatial.QUERIES["matrix_h3"](spark, SF)
+    keys_shuffled = report.explain_text(found, "simple").split("hashpartitioning(")[1:]
+    assert not any(k.startswith("kind") for k in keys_shuffled)  # texts of records don't go with every hit
+    got = {(r["kind"], r["size"], r["resolution"]): r["n_rows"] for r in found.collect()}
+    for kind, size in (("points", "05"), ("poly", "01")):
+        own = spatial.QUERIES[f"viewport_h3_{kind}_{size}"](spark, SF).groupBy("resolution").count().collect()
+        assert {r["resolution"]: r["count"] for r in own} == {r: n for (k, s, r), n in got.items() if (k, s) == (kind, size) and n}
+    own = spatial.h3_radius(spark, SF).groupBy("radius_m", "resolution").count().collect()
+    assert {(str(r["radius_m"]), r["resolution"]): r["count"] for r in own} == {(s, r): n for (k, s, r), n in got.items() if k == "radius" and n}
