@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cellarium.functions import heights, hexgrid, keys, sqlnames, wkb
 from cellarium.operators import cover, lookup, ranges, report, route
 from cellarium.plans import fixtures as fx
-from cellarium.plans import layouts, spatial
+from cellarium.plans import layouts, spatial, templates
 from cellarium.sources import files
 
 QUICK = [
@@ -549,3 +549,11 @@ def test_records_of_hexagons_count_their_queries(spark):
         assert {r["resolution"]: r["count"] for r in own} == {r: n for (k, s, r), n in got.items() if (k, s) == (kind, size) and n}
     own = spatial.h3_radius(spark, SF).groupBy("radius_m", "resolution").count().collect()
     assert {(str(r["radius_m"]), r["resolution"]): r["count"] for r in own} == {(s, r): n for (k, s, r), n in got.items() if k == "radius" and n}
+
+
+def test_templates_write_only_the_tables_they_name(spark, tmp_path):
+    sf = str(tmp_path / "in")
+    spark.read.parquet(f"{SF}/orders.parquet").limit(50).write.parquet(f"{sf}/orders.parquet")
+    spatial.QUERIES["template_corridor_zfxy"](spark, sf).collect()
+    there = [n for n in templates.TABLES if layouts.versions(spark, layouts.place(spark, sf, n, files.ROW_GROUP_ROWS)[0])]
+    assert there == ["occupancy_zfxy"]
