@@ -557,3 +557,13 @@ def test_templates_write_only_the_tables_they_name(spark, tmp_path):
     spatial.QUERIES["template_corridor_zfxy"](spark, sf).collect()
     there = [n for n in templates.TABLES if layouts.versions(spark, layouts.place(spark, sf, n, files.ROW_GROUP_ROWS)[0])]
     assert there == ["occupancy_zfxy"]
+
+
+def test_a_strip_of_a_sweep_is_cut_into_files(spark):
+    rows = [(k, 8 + k % 3, k % 2, 0) for k in range(100)] + [(k, 17, 0, 1) for k in range(5)]
+    cells = spark.createDataFrame(rows, "osm_id long, x long, y long, hbin long")
+    got = sorted((r["hbin"], r["x"], r["y"], r["osm_id"], r["file"]) for r in spatial.strip_files(cells, 40).collect())
+    assert [r[4] for r in got if r[0] == 0] == [k // 40 for k in range(100)] and [r[4] for r in got if r[0] == 1] == [0] * 5
+    # Neither a strip nor the number of sizes makes a task or a shuffle of its own
+    plan = report.explain_text(spatial.strip_files(cells, 40), "simple")
+    assert "hashpartitioning(hbin, strip, 2" not in plan
