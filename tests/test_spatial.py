@@ -567,3 +567,13 @@ def test_a_strip_of_a_sweep_is_cut_into_files(spark):
     # Neither a strip nor the number of sizes makes a task or a shuffle of its own
     plan = report.explain_text(spatial.strip_files(cells, 40), "simple")
     assert "hashpartitioning(hbin, strip, 2" not in plan
+
+
+def test_geohash_covers_are_stored_by_number_in_one_pass(spark):
+    plan = report.explain_text(layouts.LAYOUTS["cells_geohash_poly"].build(spark, SF), "simple")
+    assert plan.count("Exchange ") == 1 and plan.count("FileScan parquet") == 1
+    table = layouts.stored(spark, SF, "cells_geohash_poly").select("osm_id", "resolution", "cell")
+    whole = cover.box_cells(fx.buildings(spark, SF), "geohash", fx.RESOLUTIONS["geohash"]).select("osm_id", "resolution", "cell")
+    assert table.exceptAll(whole).count() == whole.exceptAll(table).count() == 0
+    _, filters = scanned(spark, spatial.cell_hits(spark, SF, "geohash", "poly", 0.01, 8))
+    assert "GreaterThanOrEqual(key," in filters
