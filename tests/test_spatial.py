@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import struct
 import time
 
@@ -577,3 +578,32 @@ def test_geohash_covers_are_stored_by_number_in_one_pass(spark):
     assert table.exceptAll(whole).count() == whole.exceptAll(table).count() == 0
     _, filters = scanned(spark, spatial.cell_hits(spark, SF, "geohash", "poly", 0.01, 8))
     assert "GreaterThanOrEqual(key," in filters
+
+
+@pytest.mark.parametrize("name", ["occupancy_zfxy", "occupancy_zxy_heightbin", "occupancy_morton3d", "obstacles"])
+def test_code_of_builds_is_short_enough_to_be_compiled(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = report.explain_text(layouts.LAYOUTS[name].build(spark, SF), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000  # the JVM interprets longer methods for ever
+
+
+def test_steps_of_heights_equal_the_expression(spark):
+    tags = ["12", " 12 m ", "1_000", "30 ft", "10;12", "-3", "9999", "9998.5", "12d", ".5", "", ";", "feet", None, " 30 ft", "1e2 metres", "600"]
+    df = spark.createDataFrame([(t, u) for t in tags for u in tags], "height string, building_levels string")
+    df = df.withColumns({"min_height": F.col("building_levels"), "building_min_level": F.col("height")})
+    got = heights.estimate_heights(df)
+    assert set(got.columns) - set(df.columns) == {"max_height_m", "min_height_m", "height_source", "levels", "min_level"}
+    levels, low = heights.parse_levels("building_levels"), heights.parse_levels("building_min_level")
+    high = F.coalesce(heights.parse_height_m("height"), levels * 3.0, F.lit(15.0))
+    bottom = F.coalesce(heights.parse_height_m("min_height"), low * 3.0, F.lit(0.0))
+    same = got.select(high.eqNullSafe(F.col("max_height_m")) & bottom.eqNullSafe(F.col("min_height_m")) & levels.eqNullSafe(F.col("levels")))
+    assert all(r[0] for r in same.collect())
+
+
+def test_heights_are_read_once_after_buildings_were_dealt(spark):
+    plan = report.explain_text(layouts.LAYOUTS["obstacles"].build(spark, SF), "simple")
+    assert plan.count("Exchange ") == 1 and "regexp_replace" not in plan.split("Exchange ")[1]
