@@ -607,3 +607,22 @@ def test_steps_of_heights_equal_the_expression(spark):
 def test_heights_are_read_once_after_buildings_were_dealt(spark):
     plan = report.explain_text(layouts.LAYOUTS["obstacles"].build(spark, SF), "simple")
     assert plan.count("Exchange ") == 1 and "regexp_replace" not in plan.split("Exchange ")[1]
+
+
+def test_one_number_sorts_the_files_of_all_folders(spark, tmp_path):
+    rows = [(k * 7 % 5, k * 11 % 13, k * 17 % 19, k % 3) for k in range(500)]
+    df = spark.createDataFrame(rows, "f long, x long, y long, part int").coalesce(1)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    files.write_sorted(df, str(tmp_path / "t"), ["f", "x", "y"], ["part"], 100, None, True, keys.packed("f", "x", "y"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    for part in range(3):
+        found = [tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / f"part={part}")).select("f", "x", "y").collect()]
+        assert found == sorted(r[:3] for r in rows if r[3] == part)
+    most = one(spark, keys.packed(F.lit(2**40), F.lit(2**22 - 1), F.lit(5)), keys.packed(F.lit(2**18 - 1), F.lit(2**22 - 1), F.lit(5)))
+    assert most[0] == most[1] > 0
+    for name, layout in layouts.LAYOUTS.items():
+        if name.startswith(("occupancy", "cells_hex", "obstacles")):
+            assert layout.number is not None
+            own = [layout.number().alias("n"), *layout.by]
+            got = [tuple(r) for r in layout.build(spark, SF).select(*own).distinct().collect()]
+            assert [r[1:] for r in sorted(got)] == sorted(r[1:] for r in got), name
