@@ -626,3 +626,60 @@ def test_one_number_sorts_the_files_of_all_folders(spark, tmp_path):
             own = [layout.number().alias("n"), *layout.by]
             got = [tuple(r) for r in layout.build(spark, SF).select(*own).distinct().collect()]
             assert [r[1:] for r in sorted(got)] == sorted(r[1:] for r in got), name
+
+
+#: The cut that the SQL of occupancy has: what is over it gets no cells.
+CAPS = "(x1-x0+1)*(y1-y0+1) > 200 OR (x1-x0+1)*(y1-y0+1)*(v1-v0+1) > 1000 AS over"
+
+
+@pytest.mark.parametrize(("name", "case"), [("route_zfxy", "19@30")])
+def test_routes_go_around_buildings_over_a_cap(spark, tmp_path, name, case):
+    whole = spatial.ORACLE_SQL[name].replace(CAPS, "x0 + x1 + y0 + y1 IS NULL AS over")
+    found = {}
+    # 35000 covers the start's column and what lies east of it; 40000 all columns
+    for keys_of in ([1, 2], [1, 2, 35_000], [35_000, 40_000, 500, None]):
+        sf = str(tmp_path / f"in{len(found)}")
+        spark.createDataFrame([(k,) for k in keys_of], "o_orderkey long").write.parquet(f"{sf}/orders.parquet")
+        same_rows(spatial.QUERIES[name](spark, sf), whole, sf)
+        row = spatial.QUERIES[name](spark, sf).where(F.col("case") == case).first()
+        found[len(found)] = (row["route_found"], row["length"], row["lookup_count"] > 0)
+    assert list(found.values()) == [(True, 66, False), (True, 68, True), (False, None, True)]
+
+
+def test_cells_of_large_boxes_are_bounded_by_the_case(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        x0, y0, v0 = (rng.randrange(-20, 20) for _ in range(3))
+        rows.append((k, 1 + k % 2, x0, x0 + rng.randrange(30), y0, y0 + rng.randrange(30), v0, v0 + rng.randrange(-2, 10)))
+    rows += [(k, 1, -(2**40), 2**40, -(2**40), 2**40, 40, 50) for k in range(300, 310)]  # no array could hold their cells
+    sized = spark.createDataFrame(rows, "osm_id long, part int, x0 long, x1 long, y0 long, y1 long, v0 long, v1 long").withColumn("over", F.lit(True))
+    sized = sized.unionByName(sized.limit(1).withColumn("x1", F.lit(None).cast("long")))
+    cases = [{"case": "a", "part": 1, "x0": 0, "x1": 4, "y0": -3, "y1": 9, "v0": 2, "v1": 3},
+             {"case": "b", "part": 1, "x0": 2, "x1": 9, "y0": 5, "y1": 20, "v0": 45, "v1": 45},
+             {"case": "c", "part": 2, "x0": -40, "x1": -5, "y0": 0, "y1": 0, "v0": 9, "v1": 9}]
+    got = [tuple(r) for r in lookup.cells_of_boxes(cover.large_boxes(sized, "part"), cases, "part").collect()]
+    want = {
+        (c["case"], x, y) for c in cases for x in range(c["x0"], c["x1"] + 1) for y in range(c["y0"], c["y1"] + 1)
+        if any(p == c["part"] and a <= x <= b and d <= y <= e and v <= w and v <= c["v1"] and w >= c["v0"] for _, p, a, b, d, e, v, w in rows)
+    }
+    assert set(got) == want and len({r[0] for r in got}) == 3
+    assert len(got) <= sum((c["x1"] - c["x0"] + 1) * (c["y1"] - c["y0"] + 1) ** 2 for c in cases)
+
+
+@pytest.mark.parametrize("name", ["large_zfxy"])
+def test_boxes_over_a_cap_are_stored(spark, tmp_path, name):
+    spark.createDataFrame([(k,) for k in (1, 2, 500, 35_000)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    table = layouts.stored(spark, str(tmp_path), name)
+    assert {r["osm_id"] for r in table.select("osm_id").distinct().collect()} == {500, 35_000}
+    few = lookup.cells_of_boxes(table, spatial.corridor_cases(name[6:]), spatial.PART[name[6:]])
+    _, filters = scanned(spark, few)
+    assert "LessThanOrEqual(x0" in filters and "GreaterThanOrEqual(v1" in filters
+    plan = report.explain_text(layouts.LAYOUTS[name].build(spark, SF), "simple")
+    assert plan.count("Exchange ") == 1 and "regexp_replace" not in plan.split("Exchange ")[1]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = report.explain_text(layouts.LAYOUTS[name].build(spark, SF), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000
